@@ -135,15 +135,14 @@ def _word_count(s: Column) -> Column:
 
 
 def with_text_stats(df: DataFrame, desc: str = "description", only_if: Column | None = None) -> DataFrame:
-    """Adds _desc_s (stripped), _desc_rate and _desc_words once per row (each text is scanned a
-    fixed number of times; the projection is not collapsed because the columns are reused)."""
-    s = stripped(F.col(desc))
-    if only_if is not None:
-        s = F.when(only_if, s)
-    out = df.withColumn("_desc_s", s)
-    out = out.withColumn("_desc_chars", sorted_chars(F.col("_desc_s")))
-    return (out.withColumn("_desc_rate", _median_char_rate(F.col("_desc_s"), F.col("_desc_chars")))
-            .withColumn("_desc_words", _word_count(F.col("_desc_s"))).drop("_desc_chars"))
+    """Adds _desc_s (stripped), _desc_rate (top character share) and _desc_words, each text
+    scanned once by an Arrow-batched helper (exact counts, whole texts)."""
+    from roadlens.functions.text_udfs import text_stats
+    src = F.col(desc) if only_if is None else F.when(only_if, F.col(desc))
+    out = df.withColumn("_desc_st", text_stats(src))
+    return (out.withColumn("_desc_s", stripped(src))
+            .withColumn("_desc_rate", F.col("_desc_st.rate"))
+            .withColumn("_desc_words", F.col("_desc_st.words")).drop("_desc_st"))
 
 
 def area_error(lat: Column, lon: Column, area: dict | None = None) -> Column:

@@ -158,7 +158,7 @@ def q_val_service_area(spark, sf):
 
 
 @register("val_desc_noise", A.with_views(f"""
-SELECT incident_id, round(rate, 6) AS repeat_rate, coalesce(rate > 0.7, false) AS noisy,
+SELECT incident_id, CASE WHEN rate > 0.5 THEN round(rate, 6) END AS majority_rate, coalesce(rate > 0.7, false) AS noisy,
   CASE WHEN rate > 0.7 THEN substring(s, 1, 30) END AS error_value
 FROM (SELECT incident_id, s, {REPEAT} AS rate FROM (SELECT incident_id, s, {CHARS} AS cs
       FROM (SELECT incident_id, {STRIP} AS s FROM incidents_text) a) a2) b"""))
@@ -166,7 +166,8 @@ def q_val_desc_noise(spark, sf):
     df = V.with_text_stats(A.table(spark, sf, "incidents_text"))
     r = F.col("_desc_rate")
     e = V.noise_error_from(r, F.col("_desc_s"))
-    return rounded(df.select("incident_id", r.alias("repeat_rate"), F.coalesce(r > 0.7, F.lit(False)).alias("noisy"),
+    return rounded(df.select("incident_id", F.when(r > 0.5, r).alias("majority_rate"),
+                             F.coalesce(r > 0.7, F.lit(False)).alias("noisy"),
                              e["value"].alias("error_value")))
 
 
