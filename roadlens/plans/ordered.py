@@ -69,3 +69,31 @@ def trailing_frame(df: DataFrame, part: list[str], idx: str, aggs: dict[str, tup
     base = Window.partitionBy(*part, "_blk").orderBy(idx)
     out = both.withColumns({k: a.over(base.rowsBetween(lo, hi)) for k, (a, lo, hi) in aggs.items()})
     return out.filter("_own").drop("_blk", "_own")
+
+
+def asof_latest(left: DataFrame, right: DataFrame, by: list[str], ts: str, cols: list[str],
+                bucket_seconds: int = 86400) -> DataFrame:
+    """For every left row, the values of the latest right row with the same ``by`` key and
+    right.ts <= left.ts (unbounded look-back).
+
+    Both sides are unioned, ordered per (key, time bucket) and the last right row is
+    carried forward with ``last(ignorenulls)``; the value entering each bucket comes from a
+    one-row-per-bucket table, so no key is ever a single window partition.
+    """
+    r = right.select(*by, F.col(ts).alias("_ts"), F.struct(*[F.col(c) for c in cols], F.col(ts).alias("_rts")).alias("_obs"),
+                     F.lit(0).alias("_side"))
+    lcols = [c for c in left.columns]
+    l_ = left.select(*by, F.col(ts).alias("_ts"), F.lit(None).cast(r.schema["_obs"].dataType).alias("_obs"),
+                     F.lit(1).alias("_side"), F.struct(*[F.col(c) for c in lcols]).alias("_row"))
+    u = (r.withColumn("_row", F.lit(None).cast(l_.schema["_row"].dataType)).unionByName(l_)
+         .withColumn("_tb", F.floor(F.unix_micros(F.col("_ts").cast("timestamp")) / F.lit(bucket_seconds * 1_000_000))))
+    w = (Window.partitionBy(*by, "_tb").orderBy("_ts", "_side")
+         .rowsBetween(Window.unboundedPreceding, 0))
+    local = u.withColumn("_loc", F.last("_obs", ignorenulls=True).over(w))
+    per_bucket = u.groupBy(*by, "_tb").agg(F.max_by("_obs", F.when(F.col("_obs").isNotNull(), F.col("_ts"))).alias("_blast"))
+    wb = Window.partitionBy(*by).orderBy("_tb").rowsBetween(Window.unboundedPreceding, -1)
+    carry = per_bucket.select(*by, "_tb", F.last("_blast", ignorenulls=True).over(wb).alias("_carry"))
+    out = local.filter(F.col("_side") == 1).join(carry, [*by, "_tb"])
+    got = F.coalesce(F.col("_loc"), F.col("_carry"))
+    return out.select(*[F.col(f"_row.{c}").alias(c) for c in lcols],
+                      *[got[c].alias(c) for c in cols], got["_rts"].alias("matched_ts"))
