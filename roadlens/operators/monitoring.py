@@ -44,7 +44,9 @@ def drift_mae(df: DataFrame, part=("model",), order="seq", pred="predicted", act
     cols = {f"mae_{n}": F.when(F.col("idx") >= n, F.col(f"_a{n}")) for n in windows}
     drift = F.lit(False)
     for n in windows:
-        drift = drift | F.coalesce((F.col("idx") >= n) & (F.col(f"_a{n}") > baseline * factor), F.lit(False))
+        # compared at 1e-9 so the summation order of the engine cannot flip a boundary case
+        drift = drift | F.coalesce((F.col("idx") >= n) & (F.round(F.col(f"_a{n}"), 9) > round(baseline * factor, 9)),
+                                   F.lit(False))
     cols["drift"] = drift
     return out.withColumns(cols).drop(*[f"_a{n}" for n in windows], "_err")
 

@@ -19,8 +19,8 @@ from roadlens.plans.registry import register, rounded
 SELECT incident_id, model, idx,
   CASE WHEN idx >= 100 THEN round(avg(err) OVER (PARTITION BY model ORDER BY seq ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 6) END AS mae_100,
   CASE WHEN idx >= 500 THEN round(avg(err) OVER (PARTITION BY model ORDER BY seq ROWS BETWEEN 499 PRECEDING AND CURRENT ROW), 6) END AS mae_500,
-  coalesce(idx >= 100 AND avg(err) OVER (PARTITION BY model ORDER BY seq ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) > 3.5 * 1.05, false)
-   OR coalesce(idx >= 500 AND avg(err) OVER (PARTITION BY model ORDER BY seq ROWS BETWEEN 499 PRECEDING AND CURRENT ROW) > 3.5 * 1.05, false) AS drift
+  coalesce(idx >= 100 AND round(avg(err) OVER (PARTITION BY model ORDER BY seq ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 9) > 3.675, false)
+   OR coalesce(idx >= 500 AND round(avg(err) OVER (PARTITION BY model ORDER BY seq ROWS BETWEEN 499 PRECEDING AND CURRENT ROW), 9) > 3.675, false) AS drift
 FROM (SELECT *, abs(predicted - actual) AS err, row_number() OVER (PARTITION BY model ORDER BY seq) AS idx FROM predictions) p"""))
 def q_drift_mae(spark, sf):
     out = M.drift_mae(A.table(spark, sf, "predictions"))
