@@ -72,8 +72,13 @@ def q_src_news_xml(spark, sf):
                     F.date_format(F.timestamp_add("DAY", -F.col("age_days"), F.lit(AS_OF).cast("timestamp")),
                                   "EEE, dd MMM yyyy HH:mm:ss 'GMT'"),
                     F.lit("</pubDate><source url=\"https://news.example\">"), F.col("source"), F.lit("</source></item>"))
-    # one <item> per line, written by every task in parallel; the reader splits on the row tag
-    news.select(item.alias("value")).write.text(p)
+    # feeds of at most 1000 items each (a bounded group), one RSS document per feed folder
+    feeds = (news.select(F.floor(F.col("news_id") / 1000).alias("feed"), "news_id", item.alias("value"))
+             .groupBy("feed").agg(F.concat(F.lit("<rss><channel>"),
+                                           F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("news_id", "value"))),
+                                                                       lambda x: x["value"])),
+                                           F.lit("</channel></rss>")).alias("value")))
+    feeds.repartition("feed").write.partitionBy("feed").text(p)
     x = R.read_news_xml(spark, p)
     return x.withColumn("age_days", R.rfc822_age_days(F.col("pub_date"), AS_OF))
 
