@@ -32,6 +32,7 @@ def build_session(app: str = "roadlens", cpus: str | int = "*", shuffle_partitio
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 

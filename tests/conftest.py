@@ -18,6 +18,8 @@ def spark():
         d = tempfile.mkdtemp(prefix="roadlens-test-ckpt-", dir="/tmp")
         s.conf.set("spark.checkpoint.dir", d)
     s.sparkContext.setCheckpointDir(s.conf.get("spark.checkpoint.dir"))
+    from roadlens.session import ship_package
+    ship_package(s)
     yield s
     s.stop()
 
