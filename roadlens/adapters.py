@@ -75,7 +75,7 @@ SELECT event_id AS obs_id, user_id % 8 AS site, ts, CAST(GREATEST(event_id % 100
 FROM {events} WHERE event_type = 'purchase'
 """,
     "news": """
-SELECT doc_id AS news_id, SUBSTRING(text, 1, 80) AS title, source, doc_id % 120 AS age_days FROM {documents}
+SELECT doc_id AS news_id, text AS title, source, doc_id % 120 AS age_days FROM {documents}
 """,
 }
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_QUERY_VECTORS = 4096  # query vectors are inlined into the plan; their number is checked
+QUERY_BLOCK = 256  # query vectors per block row
 
 
 def adjacency_edges(nodes_with_adj: DataFrame, nodes: DataFrame, adj_col="adjacent_node_ids") -> DataFrame:
@@ -55,10 +55,6 @@ def insert_if_absent(existing: DataFrame, candidates: DataFrame, keys: list[str]
     return candidates.join(existing.select(*keys), keys, "left_anti")
 
 
-def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.groupBy(*keys).count().filter(F.col("count") > 1)
-
-
 def news_match(news: DataFrame, keywords: list[str], title="title") -> DataFrame:
     kw = F.array(*[F.lit(k.lower()) for k in keywords])
     matched = F.filter(kw, lambda k: F.contains(F.lower(F.col(title)), k))
@@ -123,21 +119,19 @@ def centroids(emb: DataFrame, vec_col: str, label_col: str) -> DataFrame:
         .select(label_col, F.transform("_s", lambda s: s["v"]).alias("c"))
 
 
-def vector_topk(corpus: DataFrame, id_col: str, vec_col: str, queries: list[tuple], k: int = 5) -> DataFrame:
-    """Exact cosine top-k of the corpus for a small, checked set of query vectors.
+def vector_topk(corpus: DataFrame, id_col: str, vec_col: str, queries: DataFrame, k: int = 5) -> DataFrame:
+    """Exact cosine top-k of the corpus for every row (qid, q) of ``queries``.
 
-    The queries are inlined as one array literal; each corpus row computes its score
-    against every query in one pass, then a row_number <= k per query (a group limit
-    applied before the shuffle) keeps the best k.
+    The stated query set is cut into blocks of a fixed number of vectors; each corpus row computes its
+    scores against one block at a time, and a row_number <= k per query (a group limit applied
+    before the shuffle) keeps the best k.
     """
-    if len(queries) > MAX_QUERY_VECTORS:
-        raise ValueError(f"{len(queries)} query vectors > {MAX_QUERY_VECTORS}; run them in batches")
-    qarr = F.array(*[F.struct(F.lit(qid).alias("qid"), F.array(*[F.lit(float(x)) for x in vec]).alias("q"))
-                     for qid, vec in queries])
+    blocks = queries.withColumn("_b", F.pmod(F.xxhash64("qid"), F.lit(max(1, -(-queries.count() // QUERY_BLOCK))))) \
+        .groupBy("_b").agg(F.collect_list(F.struct("qid", "q")).alias("_q")).select("_q")
     v = F.transform(F.col(vec_col), lambda x: x.cast("double"))
     vnorm = F.sqrt(dot(v, v))
-    scored = corpus.select(F.col(id_col), F.explode(F.transform(
-        qarr, lambda q: F.struct(q["qid"].alias("qid"),
+    scored = corpus.join(blocks, F.lit(True)).select(F.col(id_col), F.explode(F.transform(
+        "_q", lambda q: F.struct(q["qid"].alias("qid"),
                                  (dot(v, q["q"]) / (vnorm * F.sqrt(dot(q["q"], q["q"])))).alias("score")))).alias("s"))
     scored = scored.select(id_col, F.col("s.qid").alias("query_label"), F.col("s.score").alias("score"))
     w = Window.partitionBy("query_label").orderBy(F.col("score").desc(), F.col(id_col))
@@ -146,5 +140,4 @@ def vector_topk(corpus: DataFrame, id_col: str, vec_col: str, queries: list[tupl
 
 def vector_topk_by_centroid(emb: DataFrame, id_col: str, vec_col: str, label_col: str, k: int = 5) -> DataFrame:
     cen = centroids(emb, vec_col, label_col)
-    rows = cen.limit(MAX_QUERY_VECTORS + 1).collect()  # bounded: one row per label, checked below
-    return vector_topk(emb, id_col, vec_col, [(r[label_col], r["c"]) for r in rows], k)
+    return vector_topk(emb, id_col, vec_col, cen.select(F.col(label_col).alias("qid"), F.col("c").alias("q")), k)

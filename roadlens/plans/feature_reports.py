@@ -205,11 +205,11 @@ SELECT incident_id,
 FROM (SELECT incident_id, event_cause,
         CASE WHEN d IS NULL OR d = '' OR d = 'NULL' THEN 'Reported ' || coalesce(event_cause, 'unknown') || ' at ' ||
              corridor || '.' ELSE d END AS t
-      FROM (SELECT incident_id, event_cause, corridor, CASE WHEN k % 3 = 0 THEN 'NULL' WHEN k % 3 = 1 THEN substring(description, 1, 8)
+      FROM (SELECT incident_id, event_cause, corridor, CASE WHEN k % 3 = 0 THEN 'NULL' WHEN k % 3 = 1 THEN corridor
               ELSE description END AS d FROM incidents_text) a) b"""))
 def q_normalize_report(spark, sf):
     df = A.table(spark, sf, "incidents_text")
-    d = (F.when(F.col("k") % 3 == 0, F.lit("NULL")).when(F.col("k") % 3 == 1, F.substring("description", 1, 8))
+    d = (F.when(F.col("k") % 3 == 0, F.lit("NULL")).when(F.col("k") % 3 == 1, F.col("corridor"))
          .otherwise(F.col("description")))
     src = df.select("incident_id", "event_cause", d.alias("description"), F.col("corridor").alias("address"))
     out = FE.normalize_report(src)

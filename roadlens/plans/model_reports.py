@@ -11,48 +11,65 @@ from roadlens.plans.registry import register, rounded
 # Promotion rule.
 PROMOTE_FACTOR = 1.05
 
-CANDIDATES_SQL = ("cand", """SELECT model AS component, seq // 1000 AS version_no,
-  1 - sum(pow(actual - predicted, 2)) / (sum(actual * actual) - sum(actual) * sum(actual) / count(*)) AS r2
-  FROM predictions GROUP BY model, seq // 1000""")
+# Candidates: one per model and 200 predictions, of a quality that differs by version; every tenth
+# version is followed by a rollback to the version five before it.
+VERSION_ROWS, ROLLBACK_EVERY, ROLLBACK_BY = 200, 10, 5
+NOISY = ("predicted + ((seq * 17) % 100 - 50) * CAST(0.15 AS DOUBLE) * (1 + (CAST(floor(seq / 200) AS BIGINT) * 5) % 7)")
+
+CAND_SQL = ("cand", f"""SELECT model AS component, version, round(1 - sum(pow(actual - p, 2))
+    / (sum(actual * actual) - sum(actual) * sum(actual) / count(*)), 9) AS score
+  FROM (SELECT model, seq // {VERSION_ROWS} AS version, actual, {NOISY} AS p FROM predictions) x GROUP BY model, version""")
+EVENTS_SQL = ("registry_events", f"""SELECT component, version * 2 AS seq, false AS rb, version AS v, score AS s FROM cand
+  UNION ALL SELECT c.component, c.version * 2 + 1, true, o.version, o.score FROM cand c JOIN cand o
+    ON o.component = c.component AND o.version = c.version - {ROLLBACK_BY} WHERE c.version % {ROLLBACK_EVERY} = {ROLLBACK_EVERY - 1}""")
+
+
+def _fold_sql(where: str) -> str:
+    state = "{'seq': x.seq, 'rb': false, 'v': x.v, 's': x.s, 'n': a.n + %d}"
+    return f"""SELECT component, r.v AS active_version, r.s AS active_score, r.n AS promotions FROM (
+  SELECT component, list_reduce(list({{'seq': seq, 'rb': rb, 'v': v, 's': s, 'n': 1}} ORDER BY seq),
+    lambda a, x: CASE WHEN x.rb THEN {state % 0} WHEN x.s > {PROMOTE_FACTOR} * a.s THEN {state % 1} ELSE a END) AS r
+  FROM registry_events {where} GROUP BY component) f"""
 
 
 def _candidates(spark, sf):
-    p = A.table(spark, sf, "predictions").withColumn("version_no", F.floor(F.col("seq") / 1000))
-    return MD.reg_metrics(p, "predicted", "actual", ["model", "version_no"]).select(
-        F.col("model").alias("component"), "version_no", "r2")
+    p = A.table(spark, sf, "predictions").withColumn("version", F.floor(F.col("seq") / VERSION_ROWS))
+    scored = MD.reg_metrics(p.withColumn("predicted", F.expr(NOISY)), "predicted", "actual", ["model", "version"])
+    return scored.select(F.col("model").alias("component"), "version", F.round("r2", 9).alias("score"))
+
 
+def _events(cand):
+    old = cand.select("component", (F.col("version") + ROLLBACK_BY).alias("_at"), F.col("version").alias("_v"), F.col("score").alias("_s"))
+    at = cand.filter(F.col("version") % ROLLBACK_EVERY == ROLLBACK_EVERY - 1).select("component", F.col("version").alias("_at"))
+    back = at.join(old, ["component", "_at"]).select(
+        "component", (F.col("_at") * 2 + 1).alias("seq"), F.lit("rollback").alias("kind"), F.col("_v").alias("version"),
+        F.col("_s").alias("score"))
+    return cand.select("component", (F.col("version") * 2).alias("seq"), F.lit("candidate").alias("kind"), "version", "score").unionByName(back)
 
-@register("model_promotion", A.with_views("""
-SELECT component, r.v AS active_version, r.n AS promotions FROM (
-  SELECT component, list_reduce(list({'v': version_no, 'r2': round(r2, 9), 'n': 1} ORDER BY version_no),
-    lambda a, x: CASE WHEN x.r2 > 1.05 * a.r2 THEN {'v': x.v, 'r2': x.r2, 'n': a.n + 1} ELSE a END) AS r
-  FROM cand GROUP BY component) s""", CANDIDATES_SQL))
+
+@register("model_promotion", A.with_views(_fold_sql(""), CAND_SQL, EVENTS_SQL))
 def q_model_promotion(spark, sf):
-    c = _candidates(spark, sf)
-    return MD.promotion_fold(c, "component", "version_no", "r2", PROMOTE_FACTOR).select(
-        "component", "active_version", "promotions")
+    return MD.promotion_fold(_events(_candidates(spark, sf)), "component", PROMOTE_FACTOR)
 
 
-@register("active_model", A.with_views("""
-SELECT model AS component, max_by(seq // 1000, seq) AS active_version FROM predictions GROUP BY model"""))
+@register("active_model", A.with_views(f"SELECT component, active_version FROM ({_fold_sql('')}) m", CAND_SQL, EVENTS_SQL))
 def q_active_model(spark, sf):
-    p = A.table(spark, sf, "predictions")
-    return p.groupBy(F.col("model").alias("component")).agg(
-        F.max_by(F.floor(F.col("seq") / 1000), "seq").alias("active_version"))
+    return MD.promotion_fold(_events(_candidates(spark, sf)), "component", PROMOTE_FACTOR).select("component", "active_version")
 
 
-@register("retrain_gate", A.with_views("""
-SELECT component, r2 > 1.05 * prev_r2 AS promote FROM (
-  SELECT component, version_no, round(r2, 9) AS r2, lag(round(r2, 9)) OVER (PARTITION BY component ORDER BY version_no) AS prev_r2 FROM cand) x
-WHERE version_no = (SELECT max(version_no) FROM cand c2 WHERE c2.component = x.component)""", CANDIDATES_SQL))
+@register("retrain_gate", A.with_views(f"""
+SELECT c.component, c.version AS candidate, a.active_version, a.active_score IS NULL OR c.score > {PROMOTE_FACTOR} * a.active_score AS promote
+FROM (SELECT * FROM cand c WHERE version = (SELECT max(version) FROM cand d WHERE d.component = c.component)) c
+LEFT JOIN ({_fold_sql("e WHERE seq < 2 * (SELECT max(version) FROM cand d WHERE d.component = e.component)")}) a
+  ON a.component = c.component""", CAND_SQL, EVENTS_SQL))
 def q_retrain_gate(spark, sf):
-    c = _candidates(spark, sf).withColumn("r2", F.round("r2", 9))
-    last2 = c.groupBy("component").agg(F.max_by(F.struct("version_no", "r2"), "version_no").alias("cur"),
-                                       F.max("version_no").alias("_m"))
-    prev = c.join(last2.select("component", "_m"), "component").filter(F.col("version_no") == F.col("_m") - 1) \
-        .select("component", F.col("r2").alias("prev_r2"))
-    return last2.join(prev, "component", "left").select(
-        "component", (F.col("cur.r2") > PROMOTE_FACTOR * F.col("prev_r2")).alias("promote"))
+    """The newest candidate against the model that was active when it was trained."""
+    c = _candidates(spark, sf)
+    newest = c.groupBy("component").agg(F.max("version").alias("candidate"), F.max_by("score", "version").alias("score"))
+    before = _events(c).join(newest.select("component", "candidate"), "component").filter(F.col("seq") < 2 * F.col("candidate"))
+    active = MD.promotion_fold(before, "component", PROMOTE_FACTOR)
+    promote = F.col("active_score").isNull() | (F.col("score") > PROMOTE_FACTOR * F.col("active_score"))
+    return newest.join(active, "component", "left").select("component", "candidate", "active_version", promote.alias("promote"))
 
 
 @register("duration_model")

@@ -134,12 +134,13 @@ SELECT doc_id, name, CASE WHEN contains(lower(name), 'password') OR contains(low
   THEN CASE WHEN length(v) > 6 THEN substring(v, 1, 3) || repeat('*', length(v) - 6) || substring(v, length(v) - 2, 3) ELSE '***' END
   ELSE v END AS shown, substring(v, 1, 8) || '...' AS api_key_shown
 FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'DB_PASSWORD' WHEN 1 THEN 'SERVICE_HOST' ELSE 'API_TOKEN' END AS name,
-        substring(text, 1, CAST(doc_id % 10 + 2 AS INTEGER)) AS v FROM documents) x"""))
+        CASE doc_id % 2 WHEN 0 THEN source ELSE lang || '_' || source || '_' || CAST(doc_id AS VARCHAR) END AS v FROM documents) x"""))
 def q_mask_secret(spark, sf):
     d = A.table(spark, sf, "documents")
     name = (F.when(F.col("doc_id") % 3 == 0, "DB_PASSWORD").when(F.col("doc_id") % 3 == 1, "SERVICE_HOST")
             .otherwise("API_TOKEN"))
-    v = F.expr("substring(text, 1, CAST(doc_id % 10 + 2 AS INT))")
+    v = F.when(F.col("doc_id") % 2 == 0, F.col("source")).otherwise(
+        F.concat_ws("_", "lang", "source", F.col("doc_id").cast("string")))
     x = d.select("doc_id", name.alias("name"), v.alias("v"))
     return x.select("doc_id", "name", SC.mask_secret(F.col("name"), F.col("v")).alias("shown"),
                     SC.mask_api_key(F.col("v")).alias("api_key_shown"))
