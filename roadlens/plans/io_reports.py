@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from roadlens import adapters as A
 from roadlens.operators import sets as SE
-from roadlens.plans.registry import AS_OF, register
+from roadlens.plans.registry import AS_OF, register, rounded
 from roadlens.session import scratch_path
 from roadlens.sources import readers as R
 from roadlens.sources import sinks as K
@@ -27,29 +27,50 @@ def _csv_source(spark, sf):
         F.when(F.col("event_observed"), F.lit("not a date")).alias("end_datetime"),
         F.lit(None).cast("string").alias("resolved_datetime"), F.lit(None).cast("string").alias("closed_datetime"),
         "event_cause", "priority", (F.col("event_cause") == "road_closure").cast("string").alias("requires_road_closure"),
-        "veh_type", "corridor", F.substring("description", 1, 200).alias("description"),
+        "veh_type", "corridor", "description",
         F.col("corridor").alias("address"))
 
 
-@register("src_csv_incidents")
+@register("src_csv_incidents", A.with_views("""
+SELECT round(latitude, 6) AS latitude, round(longitude, 6) AS longitude, strftime(start_datetime, '%Y-%m-%d %H:%M:%S') AS start_text,
+  CAST(NULL AS VARCHAR) AS end_text, CAST(NULL AS VARCHAR) AS resolved_text, CAST(NULL AS VARCHAR) AS closed_text, event_cause,
+  priority, event_cause = 'road_closure' AS requires_road_closure, veh_type, corridor, description, corridor AS address
+FROM incidents_text WHERE k % 17 <> 0"""))
 def q_src_csv_incidents(spark, sf):
     p = _path(spark, "csv")
-    _csv_source(spark, sf).write.option("header", True).csv(p)
-    return R.read_incident_csv(spark, p).select("latitude", "longitude", "start_datetime", "end_datetime", "event_cause")
-
-
-@register("src_json_incidents")
+    _csv_source(spark, sf).write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False,
+                                         ignoreTrailingWhiteSpace=False).csv(p)
+    d = R.read_incident_csv(spark, p)
+    text = {f"{c}_text": F.date_format(f"{c}_datetime", "yyyy-MM-dd HH:mm:ss") for c in ("start", "end", "resolved", "closed")}
+    return rounded(d.withColumns(text).drop("start_datetime", "end_datetime", "resolved_datetime", "closed_datetime"))
+
+
+@register("src_json_incidents", A.with_views("""
+SELECT CASE WHEN k % 19 > 2 THEN incident_id END AS incident_id, round(CASE WHEN k % 19 > 2 THEN latitude END, 6) AS lat,
+  round(CASE WHEN k % 19 > 2 THEN longitude END, 6) AS lon, CASE WHEN k % 19 > 2 THEN description END AS description,
+  CASE WHEN k % 19 > 2 THEN incident_type END AS incident_type, round(CASE WHEN k % 19 > 2 THEN severity_raw END, 6) AS severity,
+  CASE WHEN k % 19 = 0 THEN '{broken ' || incident_id END AS broken_text, k % 19 <= 2 AS corrupt
+FROM incidents_text"""))
 def q_src_json_incidents(spark, sf):
     inc = A.table(spark, sf, "incidents_text")
-    payload = F.to_json(F.struct("incident_id", F.struct("latitude", "longitude").alias("location"),
-                                 F.col("start_datetime").cast("string").alias("timestamp"),
-                                 F.substring("description", 1, 300).alias("description"), "incident_type",
-                                 F.col("severity_raw").alias("severity_initial")))
-    bad = F.concat(F.lit("{broken "), F.col("incident_id"))
-    df = inc.select(F.when(F.col("k") % 19 == 0, bad).otherwise(payload).alias("payload"))
-    out = R.parse_incident_json(df)
-    return out.select(F.col("incident.incident_id").alias("incident_id"), F.col("incident.location.latitude").alias("lat"),
-                      F.col("_corrupt").isNotNull().alias("corrupt"))
+
+    def payload(lat):
+        return F.to_json(F.struct("incident_id", F.struct(lat.alias("latitude"), "longitude").alias("location"),
+                                  F.col("start_datetime").cast("string").alias("timestamp"), "description", "incident_type",
+                                  F.col("severity_raw").alias("severity_initial")))
+
+    good = payload(F.col("latitude"))
+    text = (F.when(F.col("k") % 19 == 0, F.concat(F.lit("{broken "), F.col("incident_id")))
+            .when(F.col("k") % 19 == 1, payload(F.lit("abc"))).when(F.col("k") % 19 == 2, F.concat(good, F.lit(" and more")))
+            .otherwise(good))
+    out = R.parse_incident_json(inc.select(text.alias("payload")))
+    i = "incident."
+    broken = F.when(F.col("_corrupt").startswith("{broken"), F.col("_corrupt"))
+    return rounded(out.select(
+        F.col(i + "incident_id").alias("incident_id"), F.col(i + "location.latitude").alias("lat"),
+        F.col(i + "location.longitude").alias("lon"), F.col(i + "description").alias("description"),
+        F.col(i + "incident_type").alias("incident_type"), F.col(i + "severity_initial").alias("severity"),
+        broken.alias("broken_text"), F.col("_corrupt").isNotNull().alias("corrupt")))
 
 
 @register("src_incident_tables")
@@ -104,41 +125,63 @@ def q_snk_feedback(spark, sf):
     return spark.read.option("header", True).csv(p)
 
 
-@register("snk_audit_export")
+@register("snk_audit_export", A.with_views("""
+SELECT 'csv' AS fmt, seq, incident_id, '{"operation":"' || operation || '";"status":"' || status || '"}' AS details
+FROM (SELECT seq, CASE WHEN seq % 7 <> 0 THEN incident_id END AS incident_id, operation, status FROM audit_entries) a
+UNION ALL SELECT 'json', seq, incident_id, '{"operation":"' || operation || '","status":"' || status || '"}'
+FROM (SELECT seq, CASE WHEN seq % 7 <> 0 THEN incident_id END AS incident_id, operation, status FROM audit_entries) b"""))
 def q_snk_audit_export(spark, sf):
     a = A.table(spark, sf, "audit_entries")
-    det = F.create_map(F.lit("operation"), F.col("operation"), F.lit("status"), F.col("status"))
-    src = a.select("seq", "incident_id", det.alias("details"))
-    return K.export_audit(src, "csv").unionByName(K.export_audit(src, "json"))
+    src = a.select("seq", F.when(F.col("seq") % 7 != 0, F.col("incident_id")).alias("incident_id"),
+                   F.struct("operation", "status").alias("details"))
+    csv, js = _path(spark, "export-csv"), _path(spark, "export-json")
+    K.export_audit(src, "csv", csv)
+    K.export_audit(src, "json", js)
+    back = spark.read.schema("seq long, incident_id string, details string").options(header=True, quote="").csv(csv)
+    lines = spark.read.schema("seq long, incident_id string, details struct<operation:string,status:string>").json(js)
+    return back.select(F.lit("csv").alias("fmt"), "*").unionByName(
+        lines.select(F.lit("json").alias("fmt"), "seq", "incident_id", F.to_json("details").alias("details")))
 
 
-@register("snk_geojson")
-def q_snk_geojson(spark, sf):
+FORECAST_SQL = ("shown", """SELECT n.day, r.node_id, r.lon, r.lat, n.value / 100.0 AS weight
+  FROM (SELECT step // 24 AS day, node_id + 1 AS node_id, occupancy * 100 AS value FROM node_series) n
+  JOIN road_nodes r ON r.node_id = n.node_id WHERE n.value >= 5""")
+
+
+def _shown(spark, sf):
     ns = A.table(spark, sf, "node_series")
-    nodes = A.table(spark, sf, "road_nodes")
     pts = ns.select((F.floor(F.col("step") / 24)).alias("day"), (F.col("node_id") + 1).alias("node_id"),
-                    (F.col("occupancy") * 100).alias("value")).join(nodes, "node_id")
-    gj = K.geojson(pts, "day")
-    parsed = F.from_json("geojson", "type string, features array<struct<properties:struct<weight:double,node_id:long>>>")
-    return gj.select("day", F.size(parsed["features"]).alias("n_features"),
-                     F.aggregate(F.transform(parsed["features"], lambda f: f["properties"]["weight"]), F.lit(0.0),
-                                 lambda a, b: a + b).alias("total_weight"))
+                    (F.col("occupancy") * 100).alias("value")).join(A.table(spark, sf, "road_nodes"), "node_id")
+    return K.forecast_features(pts, "day")
 
 
-@register("heatmap_weights")
+@register("snk_geojson", A.with_views("""
+SELECT day, count(*) AS n_features, round(sum(weight), 6) AS total_weight, round(sum(lon), 6) AS total_lon, round(sum(lat), 6) AS total_lat
+FROM shown GROUP BY day""", FORECAST_SQL))
+def q_snk_geojson(spark, sf):
+    p = _path(spark, "geojson")
+    K.write_geojson(_shown(spark, sf), "day", p)
+    schema = ("type string, geometry struct<type:string,coordinates:array<double>>, "
+              "properties struct<weight:double,node_id:long>, day long")
+    d = spark.read.schema(schema).json(p).filter("type = 'Feature' and geometry.type = 'Point'")
+    at = F.col("geometry.coordinates")
+    return rounded(d.groupBy("day").agg(F.count("*").alias("n_features"), F.sum("properties.weight").alias("total_weight"),
+                                        F.sum(at[0]).alias("total_lon"), F.sum(at[1]).alias("total_lat")))
+
+
+@register("heatmap_weights", A.with_views("""
+SELECT day, node_id, round(lon, 6) AS lon, round(lat, 6) AS lat, round(w, 6) AS weight FROM (
+  SELECT s.*, s.weight * CASE WHEN m.node_id IS NOT NULL THEN 0.35 ELSE 1 END AS w FROM shown s LEFT JOIN
+    (SELECT DISTINCT user_id % 8 + 1 AS node_id, day(start_datetime) - 1 AS day FROM incidents WHERE incident_type = 'roadwork') m
+    ON m.node_id = s.node_id AND m.day = s.day WHERE s.weight >= 0.15) x WHERE w > 0.05""", FORECAST_SQL))
 def q_heatmap_weights(spark, sf):
-    ns = A.table(spark, sf, "node_series")
-    nodes = A.table(spark, sf, "road_nodes")
-    pts = ns.select((F.floor(F.col("step") / 24)).alias("day"), (F.col("node_id") + 1).alias("node_id"),
-                    (F.col("occupancy") * 100).alias("value")).join(nodes, "node_id")
-    gj = K.geojson(pts, "day")
-    f = F.from_json("geojson", "features array<struct<geometry:struct<coordinates:array<double>>,properties:struct<weight:double>>>")
-    ex = gj.select("day", F.explode(f["features"]).alias("ft")).select(
-        "day", F.col("ft.geometry.coordinates")[0].alias("lon"), F.col("ft.geometry.coordinates")[1].alias("lat"),
-        F.col("ft.properties.weight").alias("w"))
-    mitigated = F.col("day") % 2 == 0
-    w = F.when(mitigated, F.col("w") * 0.35).otherwise(F.col("w"))
-    return ex.filter(F.col("w") >= 0.15).withColumn("weight", w).filter(F.col("weight") > 0.05).drop("w")
+    """Weights of shown nodes; nodes with roadwork dispatched on the day count as mitigated (35 %)."""
+    inc = A.table(spark, sf, "incidents").filter("incident_type = 'roadwork'")
+    done = inc.select((F.col("user_id") % 8 + 1).alias("node_id"), (F.dayofmonth("start_datetime") - 1).cast("long").alias("day")) \
+        .distinct().withColumn("_m", F.lit(True))
+    shown = _shown(spark, sf).filter(F.col("weight") >= 0.15).join(done, ["node_id", "day"], "left")
+    w = F.when(F.col("_m"), F.col("weight") * 0.35).otherwise(F.col("weight"))
+    return rounded(shown.withColumn("weight", w).filter(F.col("weight") > 0.05).select("day", "node_id", "lon", "lat", "weight"))
 
 
 @register("snk_splits")

@@ -32,7 +32,7 @@ INCIDENT = T.StructType([
 def read_incident_csv(spark: SparkSession, path: str) -> DataFrame:
     """Rows whose latitude/longitude parse as numbers; unparsable dates become null."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in CSV_COLUMNS])
-    raw = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
+    raw = spark.read.schema(schema).options(header=True, mode="PERMISSIVE", multiLine=True, escape='"').csv(path)
     ts = {c: F.try_to_timestamp(F.col(c)) for c in ("start_datetime", "end_datetime", "resolved_datetime",
                                                     "closed_datetime")}
     out = raw.withColumns({"latitude": F.col("latitude").try_cast("double"),
@@ -42,10 +42,18 @@ def read_incident_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_incident_json(df: DataFrame, col: str = "payload") -> DataFrame:
-    """JSON text -> nested incident struct; rows that do not parse keep their text in ``_corrupt``."""
-    parsed = F.from_json(F.col(col), INCIDENT, {"mode": "PERMISSIVE"})
-    ok = F.col(col).isNotNull() & F.get_json_object(F.col(col), "$").isNotNull()
-    return df.withColumn("incident", F.when(ok, parsed)).withColumn("_corrupt", F.when(~ok, F.col(col)))
+    """JSON text -> nested incident struct; rows that do not parse or fit keep their text in ``_corrupt``.
+
+    Read as the only element of an array, a text with anything after its object is no JSON; read as an
+    object, the corrupt-record column tells of values that don't fit their type.
+    """
+    alone = F.size(F.from_json(F.concat(F.lit("["), F.col(col), F.lit("]")), T.ArrayType(INCIDENT))) == 1
+    told = T.StructType([*INCIDENT.fields, T.StructField("_bad", T.StringType())])
+    parsed = F.from_json(F.col(col), told, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    out = df.withColumn("_p", parsed).withColumn("_ok", F.coalesce(alone & F.col("_p._bad").isNull(), F.lit(False)))
+    fields = F.struct(*[F.col(f"_p.{f.name}").alias(f.name) for f in INCIDENT.fields])
+    return out.withColumn("incident", F.when(F.col("_ok"), fields)).withColumn(
+        "_corrupt", F.when(~F.col("_ok"), F.col(col))).drop("_p", "_ok")
 
 
 def read_news_xml(spark: SparkSession, path: str) -> DataFrame:

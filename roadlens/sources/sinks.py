@@ -19,26 +19,31 @@ def write_feedback(df: DataFrame, path: str) -> None:
         .option("header", True).csv(path)
 
 
-def export_audit(df: DataFrame, fmt: str) -> DataFrame:
-    """One text line per entry: a JSON object, or CSV with details as JSON where ',' -> ';'."""
+def export_audit(df: DataFrame, fmt: str, path: str) -> None:
+    """Write the entries: JSON, one object a line, or CSV with a header and details as JSON where ',' -> ';'."""
     if fmt == "json":
-        return df.select(F.to_json(F.struct(*df.columns)).alias("line"))
-    if fmt == "csv":
+        df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    elif fmt == "csv":
         det = F.regexp_replace(F.to_json(F.col("details")), ",", ";")
-        cols = [F.col(c).cast("string") for c in df.columns if c != "details"] + [det]
-        return df.select(F.concat_ws(",", *cols).alias("line"))
-    raise ValueError(f"unsupported export format: {fmt}")
+        df.withColumn("details", det).write.mode("overwrite").options(
+            header=True, quote="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    else:
+        raise ValueError(f"unsupported export format: {fmt}")
 
 
-def geojson(points: DataFrame, group: str, min_value: float = 5.0) -> DataFrame:
-    """Node forecasts -> one FeatureCollection per group; values below min_value dropped, weight = v / 100."""
-    feats = points.filter(F.col("value") >= min_value).select(group, F.struct(
-        F.lit("Feature").alias("type"),
+def forecast_features(points: DataFrame, group: str, min_value: float = 5.0) -> DataFrame:
+    """Node forecasts worth showing: (group, lon, lat, node_id, weight = value / 100), values below min_value dropped."""
+    return points.filter(F.col("value") >= min_value).select(
+        group, "lon", "lat", "node_id", (F.col("value") / 100.0).alias("weight"))
+
+
+def write_geojson(features: DataFrame, group: str, path: str) -> None:
+    """GeoJSON features, one a line, a folder per group: a group of any size is many rows and files."""
+    features.select(
+        group, F.lit("Feature").alias("type"),
         F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates")).alias("geometry"),
-        F.struct((F.col("value") / 100.0).alias("weight"), F.col("node_id").alias("node_id")).alias("properties"),
-    ).alias("f"))
-    return feats.groupBy(group).agg(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"),
-                                                       F.collect_list("f").alias("features"))).alias("geojson"))
+        F.struct("weight", "node_id").alias("properties"),
+    ).write.mode("overwrite").partitionBy(group).json(path)
 
 
 def write_splits(df: DataFrame, path: str) -> DataFrame:
