@@ -7,27 +7,34 @@ from pyspark.sql import functions as F
 from roadlens import adapters as A
 from roadlens.streaming import pipelines as P
 from roadlens.streaming import stateful as ST
-from roadlens.plans.registry import AS_OF, register
+from roadlens.plans.registry import AS_OF, register, rounded
 
 
-@register("stream_ingest")
+@register("stream_ingest", A.with_views("""
+SELECT incident_id, incident_type, strftime(start_datetime, '%Y-%m-%d %H:%M:%S') AS event_text, round(latitude, 6) AS latitude,
+  round(longitude, 6) AS longitude, round(severity_raw, 6) AS severity_raw FROM incidents"""))
 def q_stream_ingest(spark, sf):
-    return P.ingest(spark, sf)
+    d = P.ingest(spark, sf)
+    return rounded(d.withColumn("event_text", F.date_format("event_time", "yyyy-MM-dd HH:mm:ss")).drop("event_time"))
 
 
-@register("stream_dead_letter")
+@register("stream_dead_letter", A.with_views("""
+SELECT CASE WHEN severity_raw > 100 THEN 'dead_letter' ELSE 'main' END AS sink, count(*) AS rows FROM incidents GROUP BY 1"""))
 def q_stream_dead_letter(spark, sf):
     return P.dead_letter(spark, sf).groupBy("sink").agg(F.count("*").alias("rows"))
 
 
-@register("snk_dead_letter")
+@register("snk_dead_letter", A.with_views("SELECT incident_id, round(severity_raw, 6) AS severity_raw FROM incidents WHERE severity_raw > 100"))
 def q_snk_dead_letter(spark, sf):
-    return P.dead_letter(spark, sf).filter(F.col("sink") == "dead_letter").select("incident_id", "severity_raw")
+    return rounded(P.dead_letter(spark, sf).filter(F.col("sink") == "dead_letter").select("incident_id", "severity_raw"))
 
 
-@register("stream_dq")
+@register("stream_dq", A.with_views("""
+SELECT strftime(date_trunc('day', start_datetime), '%Y-%m-%d') AS day, count(*) AS received,
+  count_if(latitude BETWEEN -33.95 AND -33.75 AND longitude BETWEEN 150.95 AND 151.35) AS passed
+FROM incidents GROUP BY 1"""))
 def q_stream_dq(spark, sf):
-    return P.dq_windows(spark, sf)
+    return P.dq_windows(spark, sf).select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "received", "passed")
 
 
 @register("stream_health")

@@ -1,10 +1,10 @@
 """Structured Streaming jobs over the event files.
 
-Sources are file streams of the parquet tables (``pathGlobFilter`` picks one table out
-of the shared folder); every query checkpoints under the cluster's shared checkpoint
-folder and runs with ``trigger(availableNow=True)`` in tests, so a restarted job resumes
-where it stopped.  Event time is cast from ``timestamp_ntz`` to ``timestamp`` before a
-watermark is set.
+A source is the file stream of one table, a single file or a folder of part files; every query
+checkpoints under the cluster's shared checkpoint folder and runs with ``trigger(availableNow=True)``
+in tests, so a restarted job resumes where it stopped.  Rows are processed when they arrive, however
+late: no watermark drops them.  Sinks write one folder per micro-batch and overwrite it when the
+batch is tried again, so a repeated batch is never counted twice.
 """
 
 from __future__ import annotations
@@ -17,13 +17,11 @@ from pyspark.sql import functions as F
 from roadlens.adapters import VIEWS
 from roadlens.session import scratch_path
 
-WATERMARK = "2 hours"
-
-
 def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int = 1) -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-            .option("maxFilesPerTrigger", files_per_trigger).parquet(sf_dir))
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    schema = spark.read.parquet(path).schema
+    # as a pattern the path may be one file as well as a folder of part files
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path[:-1] + "[t]")
 
 
 def incident_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,78 +49,91 @@ def ingest(spark, sf_dir) -> DataFrame:
     return spark.read.parquet(f"{base}/data")
 
 
+def batches(spark, base: str, name: str) -> DataFrame:
+    """All batches of a sink, with their ``batch`` number."""
+    return spark.read.parquet(f"{base}/{name}")
+
+
+def write_batch(df: DataFrame, base: str, name: str, batch_id: int) -> None:
+    df.write.mode("overwrite").parquet(f"{base}/{name}/batch={batch_id}")
+
+
 def dead_letter(spark, sf_dir, max_severity: float = 100.0) -> DataFrame:
-    """Rows failing the severity bound go to a dead-letter table, the rest to the main table."""
+    """Rows failing the severity bound go to a dead-letter table, the rest to the main table, in one pass."""
     def split(batch: DataFrame, batch_id: int, base: str) -> None:
         bad = F.col("severity_raw") > max_severity
-        batch.filter(bad).withColumn("error", F.lit("severity_initial > 100")).write.mode("append") \
-            .parquet(f"{base}/dead_letter")
-        batch.filter(~bad).write.mode("append").parquet(f"{base}/main")
+        batch.withColumns({"error": F.when(bad, "severity_initial > 100"),
+                           "sink": F.when(bad, "dead_letter").otherwise("main")}) \
+            .write.mode("overwrite").partitionBy("sink").parquet(f"{base}/out/batch={batch_id}")
     s = incident_stream(spark, sf_dir).select("incident_id", "severity_raw")
     base = run_available(s, "dead-letter", foreach_batch=split)
-    main = spark.read.parquet(f"{base}/main").withColumn("sink", F.lit("main"))
-    dl = spark.read.parquet(f"{base}/dead_letter").drop("error").withColumn("sink", F.lit("dead_letter"))
-    return main.unionByName(dl)
+    return batches(spark, base, "out").select("incident_id", "severity_raw", "sink")
+
+
+def latest_windows(agg: DataFrame, key: str, name: str) -> DataFrame:
+    """Run an update-mode aggregation to a table of changes and return the last state of every key.
+
+    The state is one row per window; a late row updates its window.  Nothing waits for a watermark,
+    so the last windows are there as well.
+    """
+    base = run_available(agg, name, "update", lambda df, i, base: write_batch(df, base, "changes", i))
+    rows = batches(agg.sparkSession, base, "changes")
+    values = [c for c in rows.columns if c not in (key, "batch")]
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*values), "batch").alias("v"))
+    return last.select(key, *[F.col(f"v.{c}").alias(c) for c in values])
 
 
 def dq_windows(spark, sf_dir) -> DataFrame:
-    s = incident_stream(spark, sf_dir).withWatermark("event_time", WATERMARK)
+    s = incident_stream(spark, sf_dir)
     inside = F.col("latitude").between(-33.95, -33.75) & F.col("longitude").between(150.95, 151.35)
     agg = s.groupBy(F.window("event_time", "1 day").alias("w")).agg(
         F.count("*").alias("received"), F.count_if(inside).alias("passed"))
-    base = run_available(agg.select(F.col("w.start").alias("window_start"), "received", "passed"), "dq")
-    return spark.read.parquet(f"{base}/data")
+    return latest_windows(agg.select(F.col("w.start").alias("window_start"), "received", "passed"), "window_start", "dq")
 
 
 def health_windows(spark, sf_dir) -> DataFrame:
     ev = table_stream(spark, sf_dir, "events")
     sc = spark.sql(VIEWS["service_calls"], events=ev).withColumn("event_time", F.col("ts").cast("timestamp"))
-    agg = (sc.withWatermark("event_time", WATERMARK)
-           .groupBy(F.window("event_time", "5 minutes", "1 minute").alias("w"))
-           .agg(F.percentile_approx("latency_ms", 0.95).alias("p95_ms"),
-                F.percentile_approx("latency_ms", 0.99).alias("p99_ms"), (F.count("*") / 5.0).alias("per_minute")))
-    base = run_available(agg.select(F.col("w.start").alias("window_start"), "p95_ms", "p99_ms", "per_minute"), "health")
-    return spark.read.parquet(f"{base}/data")
+    agg = sc.groupBy(F.window("event_time", "5 minutes", "1 minute").alias("w")).agg(
+        F.percentile_approx("latency_ms", 0.95).alias("p95_ms"), F.percentile_approx("latency_ms", 0.99).alias("p99_ms"),
+        (F.count("*") / 5.0).alias("per_minute"))
+    return latest_windows(agg.select(F.col("w.start").alias("window_start"), "p95_ms", "p99_ms", "per_minute"),
+                          "window_start", "health")
 
 
 def dup_pairs(spark, sf_dir, window_minutes: int = 30, km: float = 2.0) -> DataFrame:
-    """Stream-stream self join: same type, |dt| <= window, earlier arrival, planar distance."""
-    a = incident_stream(spark, sf_dir).select(
-        F.col("incident_id").alias("id"), F.col("arrival_seq").alias("seq"), F.col("incident_type").alias("typ"),
-        F.col("event_time").alias("t"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon")
-    ).withWatermark("t", WATERMARK)
-    b = incident_stream(spark, sf_dir).select(
-        F.col("incident_id").alias("b_id"), F.col("arrival_seq").alias("b_seq"), F.col("incident_type").alias("b_typ"),
-        F.col("event_time").alias("b_t"), F.col("latitude").alias("b_lat"), F.col("longitude").alias("b_lon")
-    ).withWatermark("b_t", WATERMARK)
-    cond = ((F.col("typ") == F.col("b_typ")) & (F.col("b_seq") < F.col("seq"))
-            & (F.col("b_t") >= F.col("t") - F.expr(f"INTERVAL {window_minutes} MINUTES"))
-            & (F.col("b_t") <= F.col("t") + F.expr(f"INTERVAL {window_minutes} MINUTES")))
-    j = a.join(b, cond)
-    dist = F.sqrt(F.pow(F.abs(F.col("lat") - F.col("b_lat")), 2) + F.pow(F.abs(F.col("lon") - F.col("b_lon")), 2)) * 111.0
-    base = run_available(j.filter(dist <= km).select("id", "b_id", "typ"), "dups")
-    return spark.read.parquet(f"{base}/data")
+    """Duplicate pairs as reports arrive: every batch is compared with itself and with what came before.
+
+    The history is a table of one folder per batch and day, read only for the days a batch reaches; pairs
+    are found by the blocked join of the batch operator (type, time, place cells), so a late report
+    meets the reports around its own time.
+    """
+    from roadlens.operators.dedup import duplicate_pairs
+
+    def compare(batch: DataFrame, batch_id: int, base: str) -> None:
+        s = batch.sparkSession
+        cols = ["incident_id", "arrival_seq", "incident_type", "event_time", "latitude", "longitude"]
+        mine = batch.select(*cols).withColumn("day", F.to_date("event_time"))
+        mine.write.mode("overwrite").partitionBy("day").parquet(f"{base}/seen/batch={batch_id}")
+        seen = s.read.parquet(f"{base}/seen").filter(F.col("batch") <= batch_id)
+        reach = [r["d"] for r in seen.filter(F.col("batch") == batch_id).select(F.explode(F.sequence(
+            F.date_sub("day", 1), F.date_add("day", 1))).alias("d")).distinct().collect()]  # days of one batch
+        near = seen.filter(F.col("day").isin(reach))
+        pairs = duplicate_pairs(near, window_minutes, km, ts_col="event_time")
+        new = near.filter(F.col("batch") == batch_id).select(F.col("arrival_seq").alias("_n")).distinct()
+        mark = lambda c: pairs.join(new, pairs[c] == new["_n"], "left_semi")
+        write_batch(mark("seq").unionByName(mark("dup_seq")).distinct(), base, "pairs", batch_id)
+    base = run_available(incident_stream(spark, sf_dir), "dups", foreach_batch=compare)
+    return batches(spark, base, "pairs").select("id", F.col("dup_id").alias("b_id"), "typ").distinct()
 
 
 def latest_table(spark, sf_dir) -> DataFrame:
-    """Live table of the last update per key, upserted batch by batch (last write wins)."""
+    """Live table of the last update per key (last write wins): batches append their own last updates, and
+    a read takes the latest of them."""
     def upsert(batch: DataFrame, batch_id: int, base: str) -> None:
-        s = batch.sparkSession
-        new = batch.groupBy("key").agg(F.max_by(F.struct("seq", "value"), "seq").alias("v"))
-        cur_path = f"{base}/v{batch_id - 1}"
-        try:
-            cur = s.read.parquet(cur_path)
-            both = cur.unionByName(new)
-        except Exception:  # first batch: no table yet
-            both = new
-        merged = both.groupBy("key").agg(F.max_by("v", "v.seq").alias("v"))
-        merged.write.mode("overwrite").parquet(f"{base}/v{batch_id}")
+        write_batch(batch.groupBy("key").agg(F.max_by(F.struct("seq", "value"), "seq").alias("v")), base, "changes", batch_id)
     ev = table_stream(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("key"),
                                                       F.col("event_id").alias("seq"), "value")
     base = run_available(ev, "latest", foreach_batch=upsert)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(base)
-    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    versions = [st.getPath().getName() for st in fs.listStatus(hadoop) if st.getPath().getName().startswith("v")]
-    last = max(versions, key=lambda n: int(n[1:]))
-    return spark.read.parquet(f"{base}/{last}").select("key", F.col("v.seq").alias("last_seq"),
-                                                        F.col("v.value").alias("last_value"))
+    last = batches(spark, base, "changes").groupBy("key").agg(F.max_by("v", "v.seq").alias("v"))
+    return last.select("key", F.col("v.seq").alias("last_seq"), F.col("v.value").alias("last_value"))

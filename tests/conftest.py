@@ -10,7 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 @pytest.fixture(scope="session")
 def spark():
     from pyspark.sql import SparkSession
-    s = (SparkSession.builder.master("local[*]").appName("roadlens-tests")
+    s = (SparkSession.builder.master(os.environ.get("ROADLENS_TEST_MASTER", "local[*]")).appName("roadlens-tests")
          .config("spark.sql.shuffle.partitions", "8").config("spark.sql.session.timeZone", "UTC")
          .config("spark.ui.enabled", "false").getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
