@@ -351,7 +351,7 @@ PATTERNS = [re.compile(p) for p in (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0
 def brute_spans(text):
     luhn = lambda s: sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(s))) % 10 == 0
     digits = lambda m: re.sub("[^0-9]", "", m[0])
-    passes = [lambda m: True, lambda m: all(int(x) <= 255 for x in m[0].split(".")),
+    passes = [lambda m: True, lambda m: all(len(x.lstrip("0")) < 4 and int(x.lstrip("0") or 0) <= 255 for x in m[0].split(".")),
               lambda m: 16 <= len(digits(m)) <= 19 and luhn(digits(m)), lambda m: 8 <= len(digits(m)) <= 15]
     return [(k, m.start(), m.end()) for k, p in enumerate(PATTERNS) for m in p.finditer(text) if passes[k](m)]
 
@@ -407,7 +407,7 @@ def test_topk(spark):
     rng = random.Random(5)
     rows = [(i, [rng.gauss(0, 1) * (1 + i % 7) for _ in range(6)]) for i in range(300)]
     rows += [(400 + i, [0.5] * 6) for i in range(30)]
-    rows += [(500, None), (501, [1.0, None, 1, 1, 1, 1]), (502, [float("nan")] * 6), (503, [float("inf")] * 6), (None, [9.0] * 6), (504, [])]
+    rows += [(500, None), (501, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (502, [float("nan")] * 6), (503, [float("inf")] * 6), (None, [9.0] * 6), (504, [])]
     rows += [(505, [3.0, 1.0]), (40, [9.0] * 6)]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     asked = [(i, v) for i, v in rows if i is not None and i % 20 == 0]
