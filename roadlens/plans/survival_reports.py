@@ -40,8 +40,7 @@ KM_CTES = [
 def _km(spark, sf):
     inc = A.table(spark, sf, "incidents")
     curves = S.km_curves(inc)
-    base = S.km_input(inc, "incident_type", "duration_min", "event_observed")
-    return inc, curves, S.km_summary(curves, base)
+    return inc, curves, S.km_summary(curves)
 
 
 def _sql(sql):

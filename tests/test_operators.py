@@ -82,8 +82,7 @@ def test_impute_known_and_unseen(spark):
     hist = spark.createDataFrame([("accident", float(d), True) for d in range(1, 120)],
                                  "incident_type string, duration_min double, event_observed boolean")
     curves = survival.km_curves(hist)
-    base = survival.km_input(hist, "incident_type", "duration_min", "event_observed")
-    summ = survival.km_summary(curves, base)
+    summ = survival.km_summary(curves)
     q = spark.createDataFrame([("k", "accident", T0, T0 + dt.timedelta(minutes=5)), ("u", "novel", T0, None)],
                               "incident_id string, incident_type string, start_datetime timestamp_ntz, end_datetime timestamp_ntz")
     out = {r["incident_id"]: r for r in survival.impute_end_datetime(q, summ).collect()}
