@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from roadlens import adapters as A
 from roadlens.operators import features as FE
 from roadlens.operators import validate as V
-from roadlens.operators.playbook import playbook_lookup, playbook_rules, DEFAULT_RULES
+from roadlens.operators.playbook import playbook_lookup, playbook_rules, severity_key, DEFAULT_RULES
 from roadlens.plans.registry import AS_OF, joined, register, rounded
 
 
@@ -123,12 +123,20 @@ def q_playbook_lookup(spark, sf):
 
 @register("src_playbook_rules", A.with_views("""
 SELECT incident_type, bucket, manpower, barricading, diversion, special_equipment, agency_sync, public_advisory,
-  array_to_string(actions, '|') AS actions, array_to_string(communications, '|') AS communications FROM rules""",
-                                             RULES_CTE))
+  array_to_string(actions, '|') AS actions, array_to_string(communications, '|') AS communications,
+  (SELECT count(*) FROM incidents i WHERE lower(i.event_cause) = rules.incident_type AND rules.bucket =
+    CASE WHEN coalesce(i.severity_raw, 0) >= 70 THEN 'high_severity' WHEN coalesce(i.severity_raw, 0) >= 40 THEN 'medium_severity'
+         ELSE 'low_severity' END) AS incidents FROM rules""", RULES_CTE))
 def q_src_playbook_rules(spark, sf):
+    """The rules with the number of incidents that each applies to by type and severity."""
     r = playbook_rules(spark)
-    return r.select(*[c for c in r.columns if c not in ("actions", "communications")],
-                    joined("actions").alias("actions"), joined("communications").alias("communications"))
+    inc = A.table(spark, sf, "incidents")
+    hits = inc.groupBy(F.lower("event_cause").alias("incident_type"), severity_key(F.col("severity_raw")).alias("bucket")).agg(
+        F.count("*").alias("incidents"))
+    r = r.join(hits, ["incident_type", "bucket"], "left")
+    return r.select(*[c for c in r.columns if c not in ("actions", "communications", "incidents")],
+                    joined("actions").alias("actions"), joined("communications").alias("communications"),
+                    F.coalesce("incidents", F.lit(0)).alias("incidents"))
 
 
 @register("structured_features", A.with_views("""

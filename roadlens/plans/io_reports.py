@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from roadlens import adapters as A
 from roadlens.operators import sets as SE
 from roadlens.plans.registry import AS_OF, register, rounded
+from roadlens.plans.set_reports import STRATIFIED_SQL
 from roadlens.session import scratch_path
 from roadlens.sources import readers as R
 from roadlens.sources import sinks as K
@@ -104,25 +105,28 @@ def q_src_news_xml(spark, sf):
     return x.withColumn("age_days", R.rfc822_age_days(F.col("pub_date"), AS_OF))
 
 
-@register("snk_audit_jsonl")
+@register("snk_audit_jsonl", A.with_views("SELECT seq, operation, 'REDACTED_GRID_CELL' AS location, status FROM audit_entries"))
 def q_snk_audit_jsonl(spark, sf):
     p = _path(spark, "audit")
     a = A.table(spark, sf, "audit_entries")
     det = F.create_map(F.lit("location"), F.concat(F.lit("cell_"), F.col("seq").cast("string")),
                        F.lit("user_ip"), F.lit("10.0.0.1"), F.lit("status"), F.col("status"))
     K.write_audit_jsonl(a.select("seq", "ts", "operation", det.alias("details")), p)
-    return spark.read.json(p).select("seq", "operation", F.col("details.location").alias("location"))
+    return spark.read.json(p).select("seq", "operation", F.col("details.location").alias("location"),
+                                    F.col("details.status").alias("status"))
 
 
-@register("snk_feedback")
+@register("snk_feedback", A.with_views("""
+SELECT strftime(start_datetime, '%Y-%m-%d %H:%M:%S') AS start_text, incident_id, CASE WHEN k % 2 = 0 THEN 'true' ELSE 'false' END AS approval,
+  '2 Traffic Constables' AS manpower, '4 Standard Barricades' AS barricading FROM incidents"""))
 def q_snk_feedback(spark, sf):
     p = _path(spark, "feedback")
     inc = A.table(spark, sf, "incidents")
-    fb = inc.select(F.col("start_datetime").cast("string").alias("ts"), "incident_id",
+    fb = inc.select(F.date_format("start_datetime", "yyyy-MM-dd HH:mm:ss").alias("ts"), "incident_id",
                     (F.col("k") % 2 == 0).alias("approval"), F.lit("2 Traffic Constables").alias("manpower"),
                     F.lit("4 Standard Barricades").alias("barricading"))
     K.write_feedback(fb, p)
-    return spark.read.option("header", True).csv(p)
+    return spark.read.option("header", True).csv(p).withColumnRenamed("ts", "start_text")
 
 
 @register("snk_audit_export", A.with_views("""
@@ -184,7 +188,7 @@ def q_heatmap_weights(spark, sf):
     return rounded(shown.withColumn("weight", w).filter(F.col("weight") > 0.05).select("day", "node_id", "lon", "lat", "weight"))
 
 
-@register("snk_splits")
+@register("snk_splits", A.with_views(f"SELECT split, count(*) AS samples FROM ({STRATIFIED_SQL}) s GROUP BY split"))
 def q_snk_splits(spark, sf):
     p = _path(spark, "splits")
     inc = SE.split_stratified(A.table(spark, sf, "incidents"), "incident_id", "event_cause")
@@ -192,7 +196,7 @@ def q_snk_splits(spark, sf):
     return spark.read.json(f"{p}/metadata")
 
 
-@register("snk_feature_store")
+@register("snk_feature_store", A.with_views("SELECT incident_id, 'v1' AS dataset_version, round(severity_raw + 1, 6) AS severity_raw FROM incidents"))
 def q_snk_feature_store(spark, sf):
     p = _path(spark, "features")
     inc = A.table(spark, sf, "incidents").select("incident_id", "severity_raw", "arrival_seq")
@@ -200,4 +204,4 @@ def q_snk_feature_store(spark, sf):
     K.append_features(inc, p, "v1", base)
     K.append_features(inc.withColumn("severity_raw", F.col("severity_raw") + 1), p, "v1",
                       F.timestamp_add("MINUTE", F.lit(1), base))
-    return K.read_features(spark, p).select("incident_id", "dataset_version", "severity_raw")
+    return rounded(K.read_features(spark, p).select("incident_id", "dataset_version", "severity_raw"))

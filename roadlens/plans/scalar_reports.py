@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from roadlens import adapters as A
 from roadlens.functions import scalars as SC
 from roadlens.operators import features as FE
-from roadlens.operators.playbook import DEFAULT_RULES
+from roadlens.operators.playbook import playbook_lookup, playbook_rules
+from roadlens.plans.feature_reports import PLAYBOOK_CTE, RULES_CTE
 from roadlens.plans.registry import joined, register, rounded
 
 FMT_DUR_SQL = """CASE WHEN m IS NULL OR m = 0 THEN '0 min' ELSE concat_ws(' ',
@@ -23,18 +24,17 @@ def q_format_duration(spark, sf):
     return inc.select("incident_id", SC.format_duration(F.col("duration_min") * 10).alias("duration_text"))
 
 
-def _rules_values():
-    vals = sorted({r[i] for r in DEFAULT_RULES for i in (2, 3, 4) if r[i]})
-    return "(VALUES " + ", ".join("('" + v.replace("'", "''") + "')" for v in vals) + ") AS t(term)"
-
-
 @register("translate_terms", A.with_views(f"""
-SELECT term, coalesce(CASE term {' '.join("WHEN '" + k.replace("'", "''") + "' THEN '" + v + "'" for k, v in SC.TRANSLATIONS.items())} END, term) AS display
-FROM {_rules_values()}"""))
+SELECT term, coalesce(CASE term {' '.join("WHEN '" + k.replace("'", "''") + "' THEN '" + v + "'" for k, v in SC.TRANSLATIONS.items())} END, term) AS display,
+  count(*) AS incidents
+FROM (SELECT unnest([manpower, barricading, diversion]) AS term FROM pb) x GROUP BY term""", RULES_CTE, PLAYBOOK_CTE))
 def q_translate_terms(spark, sf):
-    vals = sorted({r[i] for r in DEFAULT_RULES for i in (2, 3, 4) if r[i]})
-    df = spark.range(1).select(F.explode(F.array(*[F.lit(v) for v in vals])).alias("term"))
-    return df.select("term", SC.translate_terms(F.col("term")).alias("display"))
+    """The display text of every resource that the incidents' playbooks name."""
+    df = A.table(spark, sf, "incidents").select("incident_id", "event_cause", F.col("severity_raw").alias("severity_score"))
+    pb = playbook_lookup(df, playbook_rules(spark), type_col="event_cause")
+    terms = pb.select(F.explode(F.array("manpower", "barricading", "diversion")).alias("term")).groupBy("term").agg(
+        F.count("*").alias("incidents"))
+    return terms.select("term", SC.translate_terms(F.col("term")).alias("display"), "incidents")
 
 
 NEWS_Q_SQL = f"""

@@ -17,16 +17,23 @@ def q_distinct_locations(spark, sf):
     return S.distinct_locations(A.table(spark, sf, "incidents"), "longitude", "latitude")
 
 
-@register("split_random")
+@register("split_random", A.with_views("""
+SELECT incident_id, CASE WHEN h1 < 15 THEN 'test' WHEN h2 < 15 THEN 'val' ELSE 'train' END AS split
+FROM (SELECT incident_id, CAST('0x' || substr(md5(incident_id || ':test'), 1, 8) AS BIGINT) % 100 AS h1,
+  CAST('0x' || substr(md5(incident_id || ':val'), 1, 8) AS BIGINT) % 100 AS h2 FROM incidents) x"""))
 def q_split_random(spark, sf):
-    out = S.split_random(A.table(spark, sf, "incidents"), "incident_id")
-    return out.groupBy("split").agg(F.count("*").alias("rows"))
+    return S.split_random(A.table(spark, sf, "incidents"), "incident_id").select("incident_id", "split")
 
 
-@register("split_stratified")
+STRATIFIED_SQL = """SELECT incident_id, event_cause, CASE WHEN p < 0.70 THEN 'train' WHEN p < 0.70 + 0.15 THEN 'val' ELSE 'test' END AS split
+FROM (SELECT incident_id, event_cause, (row_number() OVER (PARTITION BY event_cause ORDER BY md5(incident_id), incident_id) - 1)
+    / CAST(count(*) OVER (PARTITION BY event_cause) AS DOUBLE) AS p, count(*) OVER (PARTITION BY event_cause) AS n FROM incidents) x WHERE n > 5"""
+
+
+@register("split_stratified", A.with_views(STRATIFIED_SQL))
 def q_split_stratified(spark, sf):
     out = S.split_stratified(A.table(spark, sf, "incidents"), "incident_id", "event_cause")
-    return out.groupBy("event_cause", "split").agg(F.count("*").alias("rows"))
+    return out.select("incident_id", "event_cause", "split")
 
 
 TARGETS = ("targets", """SELECT incident_type, max_by(incident_id, arrival_seq) AS target_id,

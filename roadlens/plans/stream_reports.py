@@ -61,21 +61,17 @@ def q_stream_latest(spark, sf):
 
 @register("alert_dedup")
 def q_alert_dedup(spark, sf):
-    out = ST.alert_dedup(A.table(spark, sf, "alerts"))
-    return out.groupBy("alert_id").agg(F.count_if("fired").alias("fired"), F.count_if("escalated").alias("escalated"),
-                                       F.count("*").alias("alerts"))
+    return ST.alert_dedup(A.table(spark, sf, "alerts"))
 
 
 @register("auth_lockout")
 def q_auth_lockout(spark, sf):
-    out = ST.auth_lockout(A.table(spark, sf, "service_calls"))
-    return out.groupBy("key").agg(F.count_if("rejected_locked").alias("rejected"), F.count("*").alias("calls"))
+    return ST.auth_lockout(A.table(spark, sf, "service_calls"))
 
 
 @register("rate_limit_flags")
 def q_rate_limit_flags(spark, sf):
-    out = ST.rate_limit_flags(A.table(spark, sf, "events"))
-    return out.groupBy("key").agg(F.max("window_no").alias("windows"), F.count_if("limited").alias("limited"))
+    return ST.rate_limit_flags(A.table(spark, sf, "events"))
 
 
 # Time-to-live per cached kind, in seconds.
