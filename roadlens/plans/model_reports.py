@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from roadlens import adapters as A
+from roadlens.operators import cox as CX
+from roadlens.operators import features as FE
 from roadlens.operators import models as MD
+from roadlens.operators import sets as SE
+from roadlens.operators import survival as SV
+from roadlens.operators.playbook import playbook_lookup, playbook_rules
 from roadlens.plans.registry import register, rounded
+from roadlens.plans.survival_reports import KM_CTES
 
 # Promotion rule.
 PROMOTE_FACTOR = 1.05
@@ -72,22 +79,160 @@ def q_retrain_gate(spark, sf):
     return newest.join(active, "component", "left").select("component", "candidate", "active_version", promote.alias("promote"))
 
 
+def _labelled(spark, sf):
+    """Incidents with the model inputs, both labels and the part of their split."""
+    inc = FE.structured_features(A.table(spark, sf, "incidents"))
+    mean = inc.agg(F.avg("duration_min").alias("_mean"))  # one row: null durations take the mean
+    inc = inc.join(F.broadcast(mean), F.lit(True)).withColumns({
+        "duration_label": F.log1p(F.greatest(F.lit(0.0), F.coalesce("duration_min", "_mean"))),
+        "severity_label": FE.severity_proxy_v2(F.col("priority"), F.col("event_cause") == "road_closure", F.col("veh_type"),
+                                               F.col("corridor"), F.col("event_cause"), F.col("duration_min"))}).drop("_mean")
+    return MD.split3(MD.assemble(inc, FE.STRUCTURED_COLUMNS), "incident_id")
+
+
+def _part(df, name):
+    return df.filter(F.col("part") == name)
+
+
 @register("duration_model")
 def q_duration_model(spark, sf):
-    from roadlens.operators.features import STRUCTURED_COLUMNS, structured_features
-    inc = structured_features(A.table(spark, sf, "incidents"))
-    df = MD.assemble(inc.withColumn("label", F.log1p(F.greatest(F.lit(0.0), F.col("duration_min")))), STRUCTURED_COLUMNS)
-    train, test = df.randomSplit([0.8, 0.2], seed=42)
-    model = MD.fit_gbt(train, "label", max_iter=20, max_depth=4)
-    pred = model.transform(test).withColumn("pred_minutes", F.greatest(F.lit(0.0), F.expm1("prediction")))
-    return rounded(MD.reg_metrics(pred, "prediction", "label"))
+    df = _labelled(spark, sf)
+    model = MD.fit_gbt(_part(df, "train"), "duration_label")
+    return rounded(MD.reg_metrics(model.transform(_part(df, "test")), "prediction", "duration_label"))
+
+
+@register("quantile_severity")
+def q_quantile_severity(spark, sf):
+    """Severity with its 95 % interval: boosted trees and split-conformal residual quantiles."""
+    df = _labelled(spark, sf)
+    model = MD.fit_gbt(_part(df, "train"), "severity_label")
+    lo, hi = MD.conformal_bounds(model, _part(df, "calib"), "severity_label")
+    clip = lambda c: F.least(F.lit(100.0), F.greatest(F.lit(0.0), c))
+    out = model.transform(_part(df, "test"))
+    return rounded(out.select("incident_id", clip(F.col("prediction")).alias("severity"),
+                              clip(F.col("prediction") + F.lit(min(lo, 0.0))).alias("ci_lower"),
+                              clip(F.col("prediction") + F.lit(max(hi, 0.0))).alias("ci_upper"),
+                              F.col("severity_label").alias("actual")))
 
 
 @register("calibrate_confidence")
 def q_calibrate_confidence(spark, sf):
-    p = A.table(spark, sf, "predictions")
-    d = p.select(F.least(F.lit(1.0), F.col("predicted") / 100.0).alias("confidence"),
-                 (1 - F.least(F.lit(1.0), F.abs(F.col("predicted") - F.col("actual")) / 100.0)).alias("label"))
-    d = MD.assemble(d, ["confidence"])
-    m = MD.isotonic(d, "features", "label")
-    return rounded(m.transform(d).agg(F.avg("prediction").alias("mean_calibrated"), F.count("*").alias("rows")))
+    """Isotonic calibration of severity and duration confidences, fitted on one half and scored on the other."""
+    p = MD.split3(A.table(spark, sf, "predictions"), "seq", 50, 0)
+    error = F.abs(F.col("predicted") - F.col("actual"))
+    raw = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("predicted") / 100.0))
+    out = None
+    for kind, scale in (("severity", 100.0), ("duration", 300.0)):
+        d = p.select("part", raw.alias("confidence"), (1 - F.least(F.lit(1.0), error / scale)).alias("label"))
+        m = MD.isotonic(_part(d, "train"), "confidence", "label")
+        test = m.transform(MD.assemble(_part(d, "test"), ["confidence"]))
+        row = test.agg(F.avg("prediction").alias("mean_calibrated"), F.avg("label").alias("mean_label"),
+                       F.avg(F.pow(F.col("prediction") - F.col("label"), 2)).alias("mse"), F.count("*").alias("rows"))
+        row = row.select(F.lit(kind).alias("kind"), "*")
+        out = row if out is None else out.unionByName(row)
+    return rounded(out)
+
+
+COX_COLUMNS = ["cov_type", "cov_priority", "cov_hour"]
+
+
+def _cox(spark, sf):
+    inc = FE.survival_covariates(A.table(spark, sf, "incidents"))
+    return inc, CX.cox_fit(inc, "duration_min", "event_observed", COX_COLUMNS)
+
+
+@register("cox_fit")
+def q_cox_fit(spark, sf):
+    inc, m = _cox(spark, sf)
+    rows = inc.agg(F.count_if((F.col("duration_min") > 0)).alias("rows"))
+    coef = F.array(*[F.struct(F.lit(c).alias("covariate"), F.lit(float(b)).alias("coefficient")) for c, b in zip(m.columns, m.beta)])
+    return rounded(rows.select("rows", F.explode(coef).alias("c")).select("c.covariate", "c.coefficient", "rows"))
+
+
+@register("cox_adjust")
+def q_cox_adjust(spark, sf):
+    inc, m = _cox(spark, sf)
+    summ = SV.km_summary(SV.km_curves(inc)).filter(F.col("grp") == SV.POPULATION).select("median_duration", "ci_lower", "ci_upper")
+    out = CX.cox_adjust(inc.join(F.broadcast(summ), F.lit(True)), m, ["median_duration", "ci_lower", "ci_upper"])
+    return rounded(out.select("incident_id", "cox_factor", "median_duration", "ci_lower", "ci_upper"))
+
+
+@register("cox_expectation")
+def q_cox_expectation(spark, sf):
+    inc, m = _cox(spark, sf)
+    return rounded(CX.cox_expectation(inc, m).select("incident_id", "expected_duration"))
+
+
+ROUTE_TYPES = "('accident','congestion','road_closure','hazard','event')"
+
+
+@register("duration_route", A.with_views(f"""
+SELECT incident_id, CASE WHEN missing AND known THEN 'survival' WHEN missing THEN 'historical' ELSE 'model' END AS route,
+  round(CASE WHEN missing AND known THEN p.median_duration WHEN missing THEN CASE event_cause WHEN 'accident' THEN 45.0 WHEN 'congestion' THEN 70.0
+    WHEN 'road_closure' THEN 120.0 WHEN 'hazard' THEN 60.0 WHEN 'event' THEN 90.0 ELSE 70.0 END ELSE duration_min END, 6) AS duration
+FROM (SELECT incident_id, event_cause, duration_min, k % 4 < 3 AS missing,
+    event_cause IN {ROUTE_TYPES} AND coalesce(lower(priority), 'low') IN ('high', 'medium', 'low') AS known FROM incidents) i
+  CROSS JOIN (SELECT median_duration FROM km_summary WHERE grp = '__population__') p""", *KM_CTES))
+def q_duration_route(spark, sf):
+    inc = A.table(spark, sf, "incidents")
+    summ = SV.km_summary(SV.km_curves(inc)).filter(F.col("grp") == SV.POPULATION).select(F.col("median_duration").alias("survival"))
+    end = F.when(F.col("k") % 4 == 0, "none").when(F.col("k") % 4 == 1, "").when(F.col("k") % 4 == 2, "NaT").otherwise(
+        F.col("start_datetime").cast("string"))
+    out = MD.duration_route(inc.withColumn("end_text", end).join(F.broadcast(summ), F.lit(True)), "duration_min", "survival")
+    return rounded(out.select("incident_id", "route", "duration"))
+
+
+@register("embed_text")
+def q_embed_text(spark, sf):
+    """L2-normalised hashed word counts of every document's whole text."""
+    return MD.embed_text(A.table(spark, sf, "documents"), "text", 256).select("doc_id", "embedding")
+
+
+@register("attributions")
+def q_attributions(spark, sf):
+    df = _labelled(spark, sf)
+    names = FE.STRUCTURED_COLUMNS
+    train = _part(df, "train")
+    model = MD.fit_linear(train, "severity_label")
+    means = list(train.agg(*[F.avg(n) for n in names]).first())
+    out = MD.contributions(_part(df, "test"), model, names, means)
+    return rounded(SE.topk_attributions(out, "incident_id", "contributions", names, 5))
+
+
+@register("congestion_forecast")
+def q_congestion_forecast(spark, sf):
+    """Occupancy six steps ahead per node, 0 to 100: linear in the last twelve steps."""
+    return rounded(_forecast(spark, sf))
+
+
+def _forecast(spark, sf, lags: int = 12, ahead: int = 6):
+    s = A.table(spark, sf, "node_series")
+    w = Window.partitionBy("node_id").orderBy("step")
+    cols = [f"lag{i}" for i in range(lags)]
+    x = s.withColumns({c: F.lag("occupancy", i).over(w) for i, c in enumerate(cols)}).withColumn("label", F.lead("occupancy", ahead).over(w))
+    x = MD.assemble(x.dropna(subset=cols), cols)
+    model = MD.fit_linear(x.filter("label is not null"), "label")
+    last = x.withColumn("_l", F.max("step").over(Window.partitionBy("node_id"))).filter("step = _l")
+    value = F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.col("prediction") * 100))
+    return model.transform(last).select("node_id", F.col("step").alias("from_step"), (F.col("step") + ahead).alias("step"), value.alias("forecast"))
+
+
+@register("score_incidents")
+def q_score_incidents(spark, sf):
+    """The prediction row of every incident: severity and interval, duration and route, resources, forecast."""
+    df = _labelled(spark, sf)
+    model = MD.fit_linear(_part(df, "train"), "severity_label")
+    lo, hi = MD.conformal_bounds(model, _part(df, "calib"), "severity_label")
+    clip = lambda c: F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.coalesce(c, F.lit(50.0))))
+    out = model.transform(df)
+    out = out.withColumns({"severity_score": clip(F.col("prediction")), "severity_low": clip(F.col("prediction") + lo),
+                           "severity_high": clip(F.col("prediction") + hi), "predicted_by_ai": F.col("prediction").isNotNull()})
+    cov = FE.survival_covariates(out)
+    expected = CX.cox_expectation(cov, CX.cox_fit(cov, "duration_min", "event_observed", COX_COLUMNS), "survival")
+    end = F.when(F.col("event_observed"), F.col("start_datetime").cast("string"))
+    routed = MD.duration_route(expected.withColumn("end_text", end), "duration_min", "survival")
+    routed = routed.withColumn("duration_estimate", F.coalesce("duration", F.lit(30.0))).withColumn("node_id", F.col("user_id") % 8)
+    pb = playbook_lookup(routed, playbook_rules(spark), type_col="event_cause")
+    pb = pb.join(_forecast(spark, sf).select("node_id", "forecast"), "node_id", "left")
+    return rounded(pb.select("incident_id", "severity_score", "severity_low", "severity_high", "severity_bucket", "duration_estimate",
+                             "route", "manpower", "barricading", "diversion", "forecast", "predicted_by_ai"))
