@@ -17,7 +17,8 @@ from roadlens.session import build_session  # noqa: E402
 
 HEADLINE = ["val_combined", "dup_detect", "km_fit_by_type", "impute_end_datetime", "encode_features",
             "playbook_lookup", "nearest_node", "knn_graph", "weather_asof", "drift_mae", "latency_fallback",
-            "news_for_incident", "vector_topk", "service_error_rate", "dq_threshold_alerts"]
+            "news_for_incident", "vector_topk", "service_error_rate", "dq_threshold_alerts",
+            "score_incidents", "stream_dq", "stream_dup_detect", "alert_dedup", "snk_geojson", "src_csv_incidents"]
 
 
 def main() -> None:

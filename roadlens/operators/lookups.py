@@ -119,6 +119,15 @@ def centroids(emb: DataFrame, vec_col: str, label_col: str) -> DataFrame:
         .select(label_col, F.transform("_s", lambda s: s["v"]).alias("c"))
 
 
+def masked_mean(tokens: DataFrame, vec_col: str, mask_col: str, key: str) -> DataFrame:
+    """Mean vector ``c`` per key over the rows whose mask is 1 (all zero where there are none)."""
+    e = tokens.select(key, mask_col, F.posexplode(vec_col).alias("pos", "x"))
+    total = F.sum(F.when(F.col(mask_col) == 1, F.col("x").cast("double")).otherwise(0.0))
+    g = e.groupBy(key, "pos").agg((total / F.greatest(F.sum(mask_col), F.lit(1e-9))).alias("v"))
+    return g.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("_s")) \
+        .select(key, F.transform("_s", lambda s: s["v"]).alias("c"))
+
+
 def vector_topk(corpus: DataFrame, id_col: str, vec_col: str, queries: DataFrame, k: int = 5) -> DataFrame:
     """Exact cosine top-k of the corpus for every row (qid, q) of ``queries``.
 

@@ -166,18 +166,30 @@ def dq_window_metrics(df: DataFrame, width: str = "1 day", ts="start_datetime")
                   / (2.0 * F.count("*"))).alias("completeness"))
 
 
-def dq_threshold_alerts(df: DataFrame, order="arrival_seq") -> DataFrame:
+def dq_threshold_alerts(df: DataFrame, order="arrival_seq", fields=("temperature", "priority", "veh_type")) -> DataFrame:
     """Cumulative totals over arrival order; alert rows once total > 100 and the pass rate is
-    below 0.90 or a field is missing in more than 40 %."""
+    below 0.90 or any of ``fields`` is missing in more than 40 %.
+
+    The totals before a bucket come from sums per bucket and per block of buckets, so the offsets of
+    any number of buckets are never one task.
+    """
+    names = ["one", "pass_", *[f"miss_{f}" for f in fields]]
     d = df.select(F.col(order).alias("seq"), F.lit(1).alias("one"),
                   in_area(F.col("latitude"), F.col("longitude")).cast("int").alias("pass_"),
-                  F.col("temperature").isNull().cast("int").alias("miss"))
-    c = running_sums(d, [], "seq", ["one", "pass_", "miss"], F.floor(F.col("seq") / SEQ_BUCKET))
+                  *[F.col(f).isNull().cast("int").alias(f"miss_{f}") for f in fields])
+    block = F.floor(F.col("seq") / (SEQ_BUCKET * SEQ_BUCKET))
+    d = d.withColumn("_block", block)
+    c = running_sums(d, ["_block"], "seq", names, F.floor(F.col("seq") / SEQ_BUCKET))
+    totals = d.groupBy("_block").agg(*[F.sum(n).alias(n) for n in names])
+    w = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # a row per billion reports and more
+    before = totals.select("_block", *[F.coalesce(F.sum(n).over(w), F.lit(0)).alias(f"before_{n}") for n in names])
+    c = c.join(before, "_block").withColumns({f"cum_{n}": F.col(f"cum_{n}") + F.col(f"before_{n}") for n in names})
     pr = F.col("cum_pass_") / F.col("cum_one")
-    mr = F.col("cum_miss") / F.col("cum_one")
-    return (c.filter((F.col("cum_one") > DQ_MIN_TOTAL) & ((pr < DQ_MIN_PASS_RATE) | (mr > DQ_MAX_MISSING)))
-            .select("seq", pr.alias("pass_rate"), mr.alias("missing_temperature_rate"),
-                    (pr < DQ_MIN_PASS_RATE).alias("low_pass_rate"), (mr > DQ_MAX_MISSING).alias("high_missing")))
+    rates = {f: F.col(f"cum_miss_{f}") / F.col("cum_one") for f in fields}
+    high = F.greatest(*rates.values()) > DQ_MAX_MISSING if len(rates) > 1 else next(iter(rates.values())) > DQ_MAX_MISSING
+    return (c.filter((F.col("cum_one") > DQ_MIN_TOTAL) & ((pr < DQ_MIN_PASS_RATE) | high))
+            .select("seq", pr.alias("pass_rate"), *[r.alias(f"missing_{f}_rate") for f, r in rates.items()],
+                    (pr < DQ_MIN_PASS_RATE).alias("low_pass_rate"), high.alias("high_missing")))
 
 
 def health_snapshot(df: DataFrame, ts="ts", value="latency_ms") -> DataFrame:

@@ -107,14 +107,32 @@ def q_audit_summary(spark, sf):
 
 @register("audit_op_details", A.with_views("""
 SELECT operation, count(*) AS entries, count(DISTINCT incident_id) AS incidents,
-  round(count_if(status <> 'success') / count(*), 6) AS non_success_rate,
-  min(ts) AS first_ts, max(ts) AS last_ts FROM audit_entries GROUP BY operation"""))
+  round(count_if(status <> 'success') / count(*), 6) AS non_success_rate, min(ts) AS first_ts, max(ts) AS last_ts,
+  round(CASE WHEN operation = 'embedding_generation' THEN count_if(seq % 3 = 0) / count(*) END, 6) AS cached_rate,
+  round(CASE WHEN operation = 'embedding_generation' THEN avg(seq % 97 + 0.5) END, 6) AS average_latency_ms,
+  CAST(sum(CASE WHEN operation = 'missing_value_imputation' THEN seq % 4 END) AS BIGINT) AS fields_imputed,
+  CAST(sum(CASE WHEN operation = 'duplicate_detection' THEN seq % 5 END) AS BIGINT) AS duplicates_found,
+  CAST(sum(CASE WHEN operation = 'validation_batch' THEN seq % 50 + 1 END) AS BIGINT) AS reports_validated
+FROM audit_entries GROUP BY operation"""))
 def q_audit_op_details(spark, sf):
+    """Per operation the metrics that its details carry: a JSON text per entry, read by schema."""
     a = A.table(spark, sf, "audit_entries")
-    return rounded(a.groupBy("operation").agg(
+    op, seq = F.col("operation"), F.col("seq")
+    fields = F.transform(F.sequence(F.lit(0), (seq % 4 - 1).cast("int")), lambda i: F.concat(F.lit("field_"), i.cast("string")))
+    details = (F.when(op == "embedding_generation", F.to_json(F.struct((seq % 3 == 0).alias("cached"), (seq % 97 + 0.5).alias("latency_ms"))))
+               .when(op == "missing_value_imputation", F.to_json(F.struct(
+                   F.when(seq % 4 > 0, fields).otherwise(F.array().cast("array<string>")).alias("fields_imputed"), (seq % 4).alias("field_count"))))
+               .when(op == "duplicate_detection", F.to_json(F.struct((seq % 5).alias("duplicate_count"))))
+               .otherwise(F.to_json(F.struct((seq % 50 + 1).alias("total_reports")))))
+    d = F.from_json("details", "cached boolean, latency_ms double, field_count long, duplicate_count long, total_reports long")
+    x = a.withColumn("details", details).withColumn("d", d)
+    return rounded(x.groupBy("operation").agg(
         F.count("*").alias("entries"), F.count_distinct("incident_id").alias("incidents"),
         (F.count_if(F.col("status") != "success") / F.count("*")).alias("non_success_rate"),
-        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")))
+        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
+        F.avg(F.col("d.cached").cast("int")).alias("cached_rate"), F.avg("d.latency_ms").alias("average_latency_ms"),
+        F.sum("d.field_count").alias("fields_imputed"), F.sum("d.duplicate_count").alias("duplicates_found"),
+        F.sum("d.total_reports").alias("reports_validated")))
 
 
 @register("class_distribution", A.with_views("""
@@ -125,25 +143,28 @@ def q_class_distribution(spark, sf):
 
 
 @register("feature_store_stats", A.with_views("""
-SELECT dataset_version, count(*) AS vectors, 11 AS features, round(count(*) * 11 * 8 / 1048576.0, 6) AS size_mb
-FROM (SELECT CASE WHEN event_observed THEN 'v1' ELSE 'v0' END AS dataset_version FROM incidents) x GROUP BY 1"""))
+SELECT dataset_version, count(*) AS vectors, CAST(max(width) AS BIGINT) AS features, round(sum(width) * 8 / 1048576.0, 6) AS size_mb
+FROM (SELECT CASE WHEN event_observed THEN 'v1' ELSE 'v0' END AS dataset_version, 8 AS width FROM incidents) x GROUP BY 1"""))
 def q_feature_store_stats(spark, sf):
-    inc = A.table(spark, sf, "incidents")
-    store = inc.select(F.when(F.col("event_observed"), "v1").otherwise("v0").alias("dataset_version"))
-    n_feat = len(NUM) + 9  # encoded width of the default store: numerics + one-hot groups
+    """Stored vectors per version with their width and size, from the vectors themselves."""
+    inc = FE.structured_features(A.table(spark, sf, "incidents"))
+    store = inc.select(F.when(F.col("event_observed"), "v1").otherwise("v0").alias("dataset_version"),
+                       F.array(*FE.STRUCTURED_COLUMNS).alias("vector"))
     return rounded(store.groupBy("dataset_version").agg(
-        F.count("*").alias("vectors"), F.lit(n_feat).alias("features"),
-        (F.count("*") * n_feat * 8 / 1048576.0).alias("size_mb")))
+        F.count("*").alias("vectors"), F.max(F.size("vector")).cast("long").alias("features"),
+        (F.sum(F.size("vector")) * 8 / 1048576.0).alias("size_mb")))
 
 
 @register("model_usage_stats", A.with_views("""
 SELECT model, count(*) AS predictions, round(avg(abs(predicted - actual)), 6) AS mae,
   round(count_if(abs(predicted - actual) > 5) / count(*), 6) AS error_rate,
-  round((avg(abs(predicted - actual)) - 3.5) / 3.5 * 100, 6) AS degradation_pct FROM predictions GROUP BY model"""))
+  round((avg(abs(predicted - actual)) - 3.5) / 3.5 * 100, 6) AS degradation_pct, round(avg(latency_ms), 6) AS average_latency_ms
+FROM predictions p JOIN service_calls c ON c.seq = p.seq GROUP BY model"""))
 def q_model_usage_stats(spark, sf):
     p = A.table(spark, sf, "predictions").withColumn("_e", F.abs(F.col("predicted") - F.col("actual")))
+    p = p.join(A.table(spark, sf, "service_calls").select("seq", "latency_ms"), "seq")
     return rounded(p.groupBy("model").agg(
-        F.count("*").alias("predictions"), F.avg("_e").alias("mae"),
+        F.avg("latency_ms").alias("average_latency_ms"), F.count("*").alias("predictions"), F.avg("_e").alias("mae"),
         (F.count_if(F.col("_e") > 5) / F.count("*")).alias("error_rate"),
         ((F.avg("_e") - 3.5) / 3.5 * 100).alias("degradation_pct")))
 
@@ -159,12 +180,14 @@ def q_reg_metrics(spark, sf):
 
 @register("mean_pool", A.with_views("""
 SELECT label, count(*) AS dims, round(sum(v), 6) AS sum_components, round(max(v), 6) AS max_component FROM (
-  SELECT label, pos, sum(x) / greatest(count(x), 1e-9) AS v FROM (
-    SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) e GROUP BY label, pos) g
+  SELECT label, pos, sum(CASE WHEN vec_id % 4 <> 0 THEN x ELSE 0 END) / greatest(count_if(vec_id % 4 <> 0), 1e-9) AS v FROM (
+    SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) e GROUP BY label, pos) g
 GROUP BY label"""))
 def q_mean_pool(spark, sf):
-    from roadlens.operators.lookups import centroids
-    c = centroids(A.table(spark, sf, "embeddings"), "embedding", "label")
+    """Masked mean of the vectors of a group; a fourth of them stands for padding."""
+    from roadlens.operators.lookups import masked_mean
+    emb = A.table(spark, sf, "embeddings").withColumn("mask", (F.col("vec_id") % 4 != 0).cast("int"))
+    c = masked_mean(emb, "embedding", "mask", "label")
     return rounded(c.select("label", F.size("c").alias("dims"),
                             F.aggregate("c", F.lit(0.0), lambda a, x: a + x).alias("sum_components"),
                             F.array_max("c").alias("max_component")))

@@ -170,16 +170,26 @@ def q_incident_label(spark, sf):
 
 
 @register("plan_b", A.with_views("""
-SELECT incident_id, CASE WHEN severity_raw >= 70 THEN 'high_severity' WHEN severity_raw >= 40 THEN 'medium_severity' ELSE 'low_severity' END AS bucket,
-  round(CASE WHEN severity_raw >= 70 THEN duration_min * 1.45 WHEN severity_raw >= 40 THEN duration_min * 1.25 ELSE duration_min END, 6) AS plan_b_duration
-FROM incidents"""))
+SELECT incident_id, bucket,
+  round(sev_duration, 6) AS plan_b_duration, plan_b_manpower, plan_b_barricading, plan_b_action
+FROM (SELECT pb.incident_id, pb.bucket, dur * CASE pb.bucket WHEN 'high_severity' THEN 1.45 WHEN 'medium_severity' THEN 1.25 ELSE 1.0 END AS sev_duration,
+    CASE WHEN bucket <> 'low_severity' THEN '1 Constable' ELSE manpower END AS plan_b_manpower,
+    CASE bucket WHEN 'high_severity' THEN '5 Cones' WHEN 'medium_severity' THEN '2 Standard Barricades' ELSE barricading END AS plan_b_barricading,
+    CASE bucket WHEN 'high_severity' THEN 'Rely heavily on VMS alerts instead of physical diversions.'
+      WHEN 'medium_severity' THEN 'Prioritize heavy vehicle diversion only.' ELSE diversion END AS plan_b_action FROM pb) x""", RULES_CTE, PLAYBOOK_CTE))
 def q_plan_b(spark, sf):
-    from roadlens.operators.playbook import severity_key
-    inc = A.table(spark, sf, "incidents")
-    b = severity_key(F.col("severity_raw"))
-    d = (F.when(b == "high_severity", F.col("duration_min") * 1.45).when(b == "medium_severity", F.col("duration_min") * 1.25)
-         .otherwise(F.col("duration_min")))
-    return rounded(inc.select("incident_id", b.alias("bucket"), d.alias("plan_b_duration")))
+    """The plan with one constable: its own resources and a longer duration, the playbook's own for low severity."""
+    inc = A.table(spark, sf, "incidents").select("incident_id", "event_cause", "duration_min", F.col("severity_raw").alias("severity_score"))
+    pb = playbook_lookup(inc, playbook_rules(spark), type_col="event_cause", duration_col="duration_min")
+    b = F.col("severity_bucket")
+    # The constrained plan's texts and factors.
+    pick = lambda high, medium, low: F.when(b == "high_severity", high).when(b == "medium_severity", medium).otherwise(low)
+    return rounded(pb.select(
+        "incident_id", b.alias("bucket"), (F.col("duration_min") * pick(1.45, 1.25, 1.0)).alias("plan_b_duration"),
+        pick("1 Constable", "1 Constable", F.col("manpower")).alias("plan_b_manpower"),
+        pick("5 Cones", "2 Standard Barricades", F.col("barricading")).alias("plan_b_barricading"),
+        pick("Rely heavily on VMS alerts instead of physical diversions.", "Prioritize heavy vehicle diversion only.",
+             F.col("diversion")).alias("plan_b_action")))
 
 
 @register("id_defaults", A.with_views("""

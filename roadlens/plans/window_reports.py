@@ -174,13 +174,18 @@ def q_dq_window_metrics(spark, sf):
 
 @register("dq_threshold_alerts", A.with_views("""
 SELECT seq, round(cum_pass / cum_total, 6) AS pass_rate, round(cum_missing_temp / cum_total, 6) AS missing_temperature_rate,
-  cum_pass / cum_total < 0.9 AS low_pass_rate, cum_missing_temp / cum_total > 0.4 AS high_missing
+  round(cum_missing_priority / cum_total, 6) AS missing_priority_rate, round(cum_missing_veh / cum_total, 6) AS missing_veh_type_rate,
+  cum_pass / cum_total < 0.9 AS low_pass_rate,
+  greatest(cum_missing_temp, cum_missing_priority, cum_missing_veh) / cum_total > 0.4 AS high_missing
 FROM (SELECT arrival_seq AS seq,
         count(*) OVER w AS cum_total,
         sum(CASE WHEN latitude BETWEEN -33.95 AND -33.75 AND longitude BETWEEN 150.95 AND 151.35 THEN 1 ELSE 0 END) OVER w AS cum_pass,
-        sum(CASE WHEN temperature IS NULL THEN 1 ELSE 0 END) OVER w AS cum_missing_temp
+        sum(CASE WHEN temperature IS NULL THEN 1 ELSE 0 END) OVER w AS cum_missing_temp,
+        sum(CASE WHEN priority IS NULL THEN 1 ELSE 0 END) OVER w AS cum_missing_priority,
+        sum(CASE WHEN veh_type IS NULL THEN 1 ELSE 0 END) OVER w AS cum_missing_veh
       FROM incidents WINDOW w AS (ORDER BY arrival_seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) c
-WHERE cum_total > 100 AND (cum_pass / cum_total < 0.9 OR cum_missing_temp / cum_total > 0.4)"""))
+WHERE cum_total > 100 AND (cum_pass / cum_total < 0.9
+  OR greatest(cum_missing_temp, cum_missing_priority, cum_missing_veh) / cum_total > 0.4)"""))
 def q_dq_threshold_alerts(spark, sf):
     return rounded(M.dq_threshold_alerts(A.table(spark, sf, "incidents")))
 
