@@ -1,4 +1,4 @@
-"""Driver contract: entry() runs on sf0.001 and every registered key builds a DataFrame."""
+"""Driver contract: entry() runs on sf0.001; names of queries and SQL agree."""
 
 import importlib.util
 import os
