@@ -19,6 +19,8 @@ from roadlens.session import ensure_checkpoint_dir
 #: Words are runs of characters other than space, tab, line feed, vertical tab, form feed, return.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
+#: White space in a line that is not one space already.
+UNEVEN = r"[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]"
 
 #: A side of a join is broadcast only below this many rows (two longs each, 16 MB); beyond, it is shuffled.
 BROADCAST_ROWS = 1_000_000
@@ -42,8 +44,8 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
 _U = np.uint64
 _GAP_BYTE = np.zeros(256, dtype=bool)
 _GAP_BYTE[[9, 10, 11, 12, 13, 32]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15
 _CHUNK = 1 << 20
 _tables: dict[str, np.ndarray] = {}
@@ -82,12 +84,18 @@ def _chunk_words(data: np.ndarray, bounds: np.ndarray, lower: bool):
     word = ~gap
     starts = np.flatnonzero(word & opens)
     ends = np.flatnonzero(word & closes) + 1
+    return span_names(LOWER[data] if lower else data, starts, ends), starts, ends
+
+
+def span_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of every span."""
+    n = len(data)
     up, down = powers(n + 1)
     acc = np.empty(n + 1, dtype=_U)
     acc[0] = 0
-    np.cumsum((_LOWER[data] if lower else data).astype(_U) * up[:n] + up[:n], dtype=_U, out=acc[1:])
+    np.cumsum(data.astype(_U) * up[:n] + up[:n], dtype=_U, out=acc[1:])
     h = (acc[ends] - acc[starts]) * down[starts]
-    return mix(h ^ ((ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))), starts, ends
+    return mix(h ^ ((ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93)))
 
 
 def _long_words(data: np.ndarray, lower: bool):
@@ -140,29 +148,28 @@ def components(links: DataFrame, tag: str = "cc") -> DataFrame:
     """(node, comp): the smallest node reachable over ``links`` (a, b), for nodes that have a link.
 
     Alternating large-star / small-star rounds: every round is a min per node (combined before the
-    shuffle) and a join, both spread over nodes, and the edges are written between rounds.  A star
-    of millions of edges settles in two rounds; a chain of n nodes in about log n.
+    shuffle) and a join, both spread over nodes, and the edges are written between rounds.  Stars stay
+    as they are, a chain of n nodes takes about log n rounds.
     """
-    edges = saved(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), tag)
-    if edges.isEmpty():
-        return edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
-    before = None
-    while True:
+    def written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+        edges = saved(edges.filter("u <> v").distinct(), tag)
+        return edges, edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first()
+
+    edges, now = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
+    while now[0]:
+        before = now
+        few = F.broadcast if now[0] <= BROADCAST_ROWS else (lambda d: d)  # a least neighbour per node: no more rows than edges
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        large = saved(large, tag)
+        large = both.filter("v > u").join(few(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = large.union(least.select("u", F.col("m").alias("v"))).filter("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        little = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        little = little.union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        edges = saved(little, tag)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first()
+        little = large.join(few(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges, now = written(little.union(least.select("u", F.col("m").alias("v"))))
         if now == before:
             break
-        before = now
     found = edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
-    return saved(found.union(found.select(F.col("comp").alias("node"), "comp")).distinct(), tag)
+    return found.union(found.select("comp", "comp").distinct())
 
 
 def similar(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
@@ -186,47 +193,89 @@ def linked_groups(rows: DataFrame, sets_of, pct: int, tag: str) -> DataFrame:
 
     ``rows``: (key, node), a written table; ``sets_of(nodes)``: (node, items array<long>, distinct).
     No bucket is expanded into its pairs.  Each node is first verified against the least node it
-    shares a key with; linked nodes become components.  Keys whose nodes then still lie in several
-    components are settled exactly: their nodes' rarest items (prefix filter with the positional
-    bound) give the only pairs that can still link, and those are verified too.
+    shares a key with, and keys of just two nodes are settled so; linked nodes become components.
+    Nodes of keys that still hold several components go on to their rarest items (prefix filter): a few
+    representatives per item merge most components, and every pair of different components that may
+    still link is verified, so none is lost.
     """
     keys = shared_keys(rows, f"{tag}-keys")
     members = saved(rows.join(small(keys), "key").distinct(), f"{tag}-members")
     sets = saved(sets_of(members.select("node").distinct()), f"{tag}-sets")
     first = members.filter("node <> lo").groupBy("node").agg(F.min("lo").alias("b")).select(F.col("node").alias("a"), "b")
-    links = saved(similar(first, sets, pct), f"{tag}-links")
+    two = members.groupBy("key").agg(F.count("*").alias("n"), F.max("node").alias("a"), F.max("lo").alias("b")).filter("n = 2")
+    links = saved(similar(first.union(two.select("a", "b")).distinct(), sets, pct), f"{tag}-links")
     comp = components(links, f"{tag}-cc")
     placed = members.join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-    span = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-    still = saved(placed.join(span, "key", "left_semi").select("node", "comp").distinct(), f"{tag}-open")
+    span = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"))
+    span = span.filter("lo < hi and n > 2").select("key")  # keys of two nodes are settled
+    still = saved(placed.join(span, "key", "left_semi").select("node").distinct(), f"{tag}-open")
     if still.isEmpty():
         return comp
-    more = similar(rare_pairs(still, sets, pct, tag), sets, pct)
-    more = saved(more, f"{tag}-links2")
-    return comp if more.isEmpty() else components(links.union(more), f"{tag}-cc2")
+    head = rare_items(still, sets, pct, tag)
+    rows = saved(head.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")), f"{tag}-placed")
+    stars = star_pairs(rows, pct, 0)
+    for turn in range(1, STAR_TURNS):
+        stars = stars.union(star_pairs(rows, pct, turn))
+    for pairs in (lambda r: stars, lambda r: mixed_pairs(r, pct)):
+        new = saved(similar(pairs(rows).distinct(), sets, pct), f"{tag}-links")
+        if not new.isEmpty():
+            comp = saved(components(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(new), f"{tag}-cc"), f"{tag}-cc")
+            rows = head.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    return comp
+
+
+#: Representatives of a rare item that its nodes are compared with before what is left is compared pair by pair.
+STAR_TURNS = 3
+_PARITY = [f"s{j}" for j in range(8)]
 
 
-def rare_pairs(nodes: DataFrame, sets: DataFrame, pct: int, tag: str) -> DataFrame:
-    """Pairs of (node, comp) rows in different components that may reach ``pct``.
+def rare_items(nodes: DataFrame, sets: DataFrame, pct: int, tag: str) -> DataFrame:
+    """(item, node, n, pos, s0 .. s7), written: the rarest items of every node that others hold as well.
 
     Items are ordered by how few of the nodes hold them.  Two sets over the threshold share an item
-    among the first (1 - t) of each, and at the first shared one at least t / (1 + t) of both sizes
-    must still lie ahead.  Exact: no pair over the threshold is lost.
+    among the first (1 - t) of each.  s0 .. s7 hold one bit per item, by parity: two sets differ in at
+    least as many items as these words differ in bits.
     """
-    held = sets.join(nodes, "node").select("node", "comp", F.size("items").alias("n"), F.explode("items").alias("item"))
+    held = sets.join(nodes, "node").select("node", F.size("items").alias("n"), F.explode("items").alias("item"))
     held = saved(held, f"{tag}-held")
-    seen = held.groupBy("item").agg(F.count("*").alias("freq"))
-    order = held.join(seen, "item").groupBy("node", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("freq", "item"))).alias("o"))
+    seen = held.groupBy("item").agg(F.count("*").alias("freq")).filter("freq > 1")
+    flip = F.expr("shiftleft(1L, cast(item & 63 as int))")
+    parity = [F.bit_xor(F.when(F.expr("shiftright(item, 6) & 7") == j, flip).otherwise(F.lit(0).cast("long"))).alias(f"s{j}")
+              for j in range(8)]
+    order = held.join(seen, "item", "left").groupBy("node", "n").agg(
+        F.sort_array(F.collect_list(F.struct(F.coalesce("freq", F.lit(1)).alias("freq"), "item"))).alias("o"), *parity)
     lead = F.expr(f"slice(o, 1, int(n - ceil(n * {pct} / 100.0)) + 1)")
-    head = order.select("node", "comp", "n", F.posexplode(lead).alias("pos", "x")).filter("x.freq > 1").select(
-        F.col("x.item").alias("item"), "node", "comp", "n", "pos")
-    head = saved(head, f"{tag}-head")
-    mixed = head.groupBy("item").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("item")
-    head = head.join(mixed, "item", "left_semi")
-    a = head.select("item", *[F.col(c).alias(f"{c}1") for c in ("node", "comp", "n", "pos")])
-    b = head.select("item", *[F.col(c).alias(f"{c}2") for c in ("node", "comp", "n", "pos")])
-    ahead = F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2"))
-    on = [a["item"] == b["item"], F.col("node1") < F.col("node2"), F.col("comp1") != F.col("comp2"),
-          F.lit(100 + pct) * ahead >= F.lit(pct) * (F.col("n1") + F.col("n2"))]
-    cond = on[0] & on[1] & on[2] & on[3]
-    return a.join(b, cond).select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct()
+    head = order.select("node", "n", *_PARITY, F.posexplode(lead).alias("pos", "x")).filter("x.freq > 1")
+    return saved(head.select(F.col("x.item").alias("item"), "node", "n", "pos", *_PARITY), f"{tag}-head")
+
+
+def may_link(a, b, pct: int):
+    """Whether two rows of ``rare_items`` in different components may reach ``pct``: at their first shared
+    item at least t / (1 + t) of both sizes must lie ahead, and the sets differ in at most
+    (1 - t) / (1 + t) of both sizes."""
+    ahead = F.least(a("n") - a("pos"), b("n") - b("pos"))
+    both = a("n") + b("n")
+    apart = sum((F.bit_count(a(w).bitwiseXOR(b(w))) for w in _PARITY), F.lit(0))
+    return ((a("comp") != b("comp")) & (F.lit(100 + pct) * ahead >= F.lit(pct) * both)
+            & (F.lit(100 + pct) * apart <= F.lit(100 - pct) * both))
+
+
+def star_pairs(rows: DataFrame, pct: int, turn: int) -> DataFrame:
+    """Pairs (a, b) of each node with the representative of the rare items that it shares with other components."""
+    row = F.struct("node", "comp", "n", "pos", *_PARITY)
+    reps = rows.groupBy("item").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
+                                    F.min_by(row, F.xxhash64("node", F.lit(turn))).alias("rep")).filter("lo < hi")
+    near = rows.join(reps.select("item", "rep"), "item").filter(may_link(F.col, lambda c: F.col(f"rep.{c}"), pct))
+    return near.select(F.col("node").alias("a"), F.col("rep.node").alias("b"))
+
+
+def mixed_pairs(rows: DataFrame, pct: int) -> DataFrame:
+    """All pairs of different components that share a rare item and may reach ``pct``: nothing is left out."""
+    mixed = rows.groupBy("item").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("item")
+    rows = rows.join(mixed, "item", "left_semi")
+    names = ("node", "comp", "n", "pos", *_PARITY)
+    a = rows.select("item", *[F.col(c).alias(f"{c}_a") for c in names])
+    b = rows.select("item", *[F.col(c).alias(f"{c}_b") for c in names])
+    cond = (a["item"] == b["item"]) & (F.col("node_a") < F.col("node_b")) & may_link(
+        lambda c: F.col(f"{c}_a"), lambda c: F.col(f"{c}_b"), pct)
+    return a.join(b, cond).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
