@@ -16,6 +16,7 @@ columns are not read.
 
 from __future__ import annotations
 
+import os
 import zlib
 
 import numpy as np
@@ -28,61 +29,179 @@ from roadlens.llm import common as C
 END_ID = 1
 
 
+LETTER, DIGIT, SIGN, ODD = 1, 2, 3, 4
+_KIND = np.full(256, ODD, dtype=np.uint8)
+_KIND[33:127] = SIGN
+_KIND[48:58] = DIGIT
+_KIND[65:91] = _KIND[97:123] = LETTER
+_KIND[[39, 60]] = ODD  # apostrophes start contractions, angle brackets the special tokens
+
+
 class Tokenizer:
-    """Token ids of texts, with a bounded memory of word -> ids.
+    """Token ids of texts, with a bounded memory of part -> ids.
 
-    The tokenizer file splits at white space before anything else, so a text's ids are those of its
-    space-separated parts in order; parts repeat, and each is encoded once per worker.
+    The tokenizer file lower-cases, splits at white space and then into runs of letters, single digits and
+    runs of other signs, each encoded by itself.  Words of ASCII and Latin-1 letters are split so by byte
+    classes for a whole chunk at once; any other word is one part, left to the tokenizer.  Each different
+    part is encoded once while it is remembered, and ids are gathered by array operations.
     """
 
-    def __init__(self, path: str, remember: int = 400_000):
+    def __init__(self, path: str, remember: int = 600_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads would only spin
         from tokenizers import Tokenizer as Fast
 
-        self.fast, self.remember, self.ids = Fast.from_file(path), remember, {}
-
-    def _learn(self, parts: list[str]) -> None:
-        if len(self.ids) + len(parts) > self.remember:
-            self.ids.clear()
-        for part, enc in zip(parts, self.fast.encode_batch_fast(parts, add_special_tokens=False)):
-            self.ids[part] = np.array(enc.ids, dtype=np.uint32).tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of every text as little-endian 32-bit values."""
-        split = [t.split(" ") if "\n" not in t else t.replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*split) - self.ids.keys() if split else set()
-        if new:
-            self._learn(sorted(new))
-        get, out = self.ids.__getitem__, []
-        for parts in split:
-            try:
-                out.append(b"".join(map(get, parts)))
-            except KeyError:  # more different parts than are remembered
-                out.append(b"".join(np.array(e.ids, dtype=np.uint32).tobytes()
-                                    for e in self.fast.encode_batch_fast(parts, add_special_tokens=False)))
-        return out
-
-
-def pieces(docs: DataFrame, path: str, length: int) -> DataFrame:
+        self.fast, self.remember = Fast.from_file(path), remember
+        vocab = self.fast.get_vocab()
+        self.last = np.zeros(max(vocab.values()) + 1, dtype=bool)  # tokens that end a part
+        self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        # sorted part hashes and their numbers: a quarter of the memory of a dict
+        self.names, self.number = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        self.flat, self.used = np.zeros(1 << 20, dtype="<u4"), 0
+        self.start, self.size = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64)
+
+    def _encode_parts(self, parts: list[str], odd: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all parts, number of ids of each)."""
+        if not odd:
+            ids = np.array(self.fast.encode("\n".join(parts), add_special_tokens=False).ids, dtype="<u4")
+            stops = np.flatnonzero(self.last[ids]) + 1
+            if len(stops) == len(parts) and stops[-1] == len(ids):
+                return ids, np.diff(stops, prepend=0)
+        each = [e.ids for e in self.fast.encode_batch_fast(parts, add_special_tokens=False)]
+        size = np.array([len(x) for x in each], dtype=np.int64)
+        return np.array([i for x in each for i in x], dtype="<u4"), size
+
+    def _learn(self, first: int, parts: list[str], odd: bool) -> None:
+        """Encode parts and keep their ids under the numbers from ``first`` on."""
+        for at in range(0, len(parts), 20_000):
+            ids, size = self._encode_parts(parts[at:at + 20_000], odd)
+            n = len(size)
+            while first + n > len(self.start):
+                self.start, self.size = (np.append(x, np.zeros_like(x)) for x in (self.start, self.size))
+            while self.used + len(ids) > len(self.flat):
+                self.flat = np.append(self.flat, np.zeros_like(self.flat))
+            self.flat[self.used:self.used + len(ids)] = ids
+            self.start[first:first + n] = self.used + np.cumsum(size) - size
+            self.size[first:first + n] = size
+            self.used += len(ids)
+            first += n
+
+    def _ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids before the end of each word) of the words in a chunk of bytes."""
+        n = len(data)
+        kind = _KIND[data]
+        lead = np.flatnonzero(data == 0xC3)
+        if len(lead):  # two bytes of a Latin-1 letter, except the multiplication and division signs
+            lead = lead[(lead + 1 < n)]
+            lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
+            kind[lead] = kind[lead + 1] = LETTER
+        low = C.LOWER[data]
+        if len(lead):
+            upper = lead[(data[lead + 1] < 0x9F)] + 1
+            low[upper] += 32
+        strange = np.append(0, np.cumsum(kind == ODD))
+        odd_word = strange[ends] > strange[starts]
+        opens = np.zeros(n, dtype=bool)
+        opens[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+        opens[starts] = True
+        inside = np.zeros(n + 1, dtype=np.int8)
+        inside[starts] += 1
+        inside[ends] -= 1
+        opens &= np.cumsum(inside[:-1], dtype=np.int8).astype(bool)
+        if odd_word.any():  # left whole, and as they are
+            mask = np.zeros(n + 1, dtype=np.int8)
+            mask[starts[odd_word]] += 1
+            mask[ends[odd_word]] -= 1
+            mask = np.cumsum(mask[:-1], dtype=np.int8).astype(bool)
+            low[mask] = data[mask]
+            opens[mask] = False
+            opens[starts[odd_word]] = True
+        at = np.flatnonzero(opens)
+        word = np.searchsorted(starts, at, side="right") - 1
+        to = np.append(at[1:], n)
+        to = np.minimum(to, ends[word])
+        names = C.span_names(low, at, to) ^ (odd_word[word].astype(np.uint64) << np.uint64(63))
+        kinds, spot, inverse = np.unique(names, return_index=True, return_inverse=True)
+        place = np.searchsorted(self.names, kinds)
+        new = np.ones(len(kinds), dtype=bool)
+        held = place < len(self.names)
+        new[held] = self.names[place[held]] != kinds[held]
+        if new.any():
+            blob, odd = data.tobytes(), odd_word[word[spot]]
+            number, first = np.zeros(len(kinds), dtype=np.int64), len(self.names)
+            for group, is_odd in ((np.flatnonzero(new & ~odd), False), (np.flatnonzero(new & odd), True)):
+                if len(group):
+                    number[group] = np.arange(first, first + len(group))
+                    self._learn(first, [blob[at[j]:to[j]].decode() for j in spot[group]], is_odd)
+                    first += len(group)
+            self.number = np.insert(self.number, place[new], number[new])
+            self.names = np.insert(self.names, place[new], kinds[new])
+        known = self.number[np.searchsorted(self.names, kinds)][inverse]
+        size = self.size[known]
+        stop = np.cumsum(size)
+        total = int(stop[-1]) if len(stop) else 0
+        flat = self.flat[np.arange(total) + np.repeat(self.start[known] - (stop - size), size)]
+        done = np.append(0, stop)[np.searchsorted(word, np.arange(len(starts)), side="right")]
+        return flat, done
+
+    def encode(self, texts: pa.Array):
+        """Yield (row, ids of its text)."""
+        for first, bounds, _, starts, ends, data in C.text_words(texts):
+            if len(self.names) > self.remember:
+                self._forget()
+            flats, stops, base = [], [np.zeros(1, dtype=np.int64)], 0
+            cuts = np.unique(np.append(np.searchsorted(starts, np.arange(0, len(data), 1 << 20)), len(starts)))
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                lo, hi = starts[a], ends[b - 1]
+                flat, done = self._ids(data[lo:hi], starts[a:b] - lo, ends[a:b] - lo)
+                flats.append(flat)
+                stops.append(done + base)
+                base += len(flat)
+            flat = np.concatenate(flats) if flats else np.zeros(0, dtype="<u4")
+            edge = np.concatenate(stops)[bounds]
+            for row, (a, b) in enumerate(zip(edge[:-1], edge[1:])):
+                yield first + row, flat[a:b]
+
+
+_tokenizers: dict[str, Tokenizer] = {}
+
+
+def tokenizer(path: str) -> Tokenizer:
+    """One tokenizer a Python worker, kept over its tasks."""
+    if path not in _tokenizers:
+        _tokenizers[path] = Tokenizer(path)
+    return _tokenizers[path]
+
+
+def pieces(docs: DataFrame, path: str, length: int, with_ids: bool = True) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, ids) cut at multiples of ``length``."""
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
+    names = [c.split()[0] for c in schema.split(", ")]
     end = np.array([END_ID], dtype="<u4").tobytes()
 
     def run(batches):
-        tok = Tokenizer(path)
+        tok = tokenizer(path)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(ids), 256):
-                rows = [[], [], [], [], [], []]
-                for doc, blob in zip(ids[at:at + 256], tok.encode([t or "" for t in texts.slice(at, 256).to_pylist()])):
-                    blob += end
-                    n = len(blob) // 4
-                    for start in range(0, n, length):
-                        part = blob[4 * start:4 * (start + length)]
-                        for col, v in zip(rows, (doc, start, len(part) // 4, zlib.crc32(part), n, part)):
-                            col.append(v)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, type=pa.int64()) for c in rows[:5]] + [pa.array(rows[5], type=pa.binary())],
-                    ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
+            ids, rows = batch.column(0).to_pylist(), [[] for _ in range(6)]
+
+            def flush():
+                cols = [pa.array(c, type=pa.int64()) for c in rows[:5]] + [pa.array(rows[5], type=pa.binary())] * with_ids
+                for c in rows:
+                    c.clear()
+                return pa.RecordBatch.from_arrays(cols, names)
+
+            for row, found in tok.encode(batch.column(1)):
+                blob = found.tobytes() + end
+                n = len(blob) // 4
+                for start in range(0, n, length):
+                    part = blob[4 * start:4 * (start + length)]
+                    for col, v in zip(rows, (ids[row], start, len(part) // 4, zlib.crc32(part), n, part if with_ids else b"")):
+                        col.append(v)
+                if len(rows[0]) >= 2_000:
+                    yield flush()
+            yield flush()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
@@ -155,9 +274,7 @@ def place(rows: DataFrame, length: int, group_docs: int) -> DataFrame:
 
 def pack(docs: DataFrame, path: str, length: int = 2048, group_docs: int = 20_000, with_ids: bool = True) -> DataFrame:
     """One row per piece with its place; ``with_ids`` also returns the piece's ids (little-endian uint32)."""
-    cut = pieces(docs, path, length)
-    cut = C.saved(cut if with_ids else cut.drop("ids"), "pieces")
-    return place(cut, length, group_docs)
+    return place(C.saved(pieces(docs, path, length, with_ids), "pieces"), length, group_docs)
 
 
 def sequences(packed: DataFrame) -> DataFrame:
