@@ -141,7 +141,7 @@ def test_line_dedup(spark):
     places, norm = [], {}
     for d, t, _ in rows:
         for p, raw in enumerate((t or "").split("\n")):
-            x = re.sub(r"[\x20\x09-\x0D]+", " ", lowered(raw)).strip(" ")
+            x = re.sub(r"[\x20\x09-\x0D]+", " ", raw.lower()).strip(" ")
             if x:
                 places.append((d, p, x))
     lines = sorted({x for _, _, x in places})
