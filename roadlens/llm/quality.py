@@ -1,6 +1,6 @@
 """Quality rules: cross-document line frequency, with built-in functions only.
 
-Lines are normalised (A-Z lowered, digits as 0, white space runs as one space, trimmed) and named by
+Lines are normalised (lower case, digits as 0, white space runs as one space, trimmed) and named by
 a hash.  For every host and line the *different* documents are counted: documents that agree on the
 least hash of their other lines count as copies of one, so a group of copies doesn't make its own
 lines frequent.
@@ -25,8 +25,6 @@ from pyspark.sql import functions as F
 
 from roadlens.llm import common as C
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-GAPS = " \t\n\x0b\x0c\r"
 
 #: A line is boilerplate when more than this many different documents of a host hold it ...
 LINE_DOCS = 50
@@ -40,9 +38,11 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, C.GAP), "")
 
 
-def normal(line: Column) -> Column:
-    line = F.translate(line, UPPER + "123456789", LOWER + "000000000")
-    return F.trim(F.regexp_replace(line, C.GAP, " "))
+def normal_lines(text: Column) -> Column:
+    """The normalised lines of a text; all but the trimming is done on the whole text at once."""
+    text = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[1-9]", "0")
+    lines = F.split(F.regexp_replace(text, C.UNEVEN, " "), "\n")
+    return F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def rule_figures(docs: DataFrame, n: int = 8) -> DataFrame:
@@ -50,14 +50,13 @@ def rule_figures(docs: DataFrame, n: int = 8) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     d = docs.withColumn("_w", words(text))
     d = d.withColumn("n_words", F.size("_w").cast("long"))
-    d = d.withColumn("word_chars", F.char_length(F.translate(text, GAPS, "")).cast("long"))
-    d = d.withColumn("n_symbols", (F.char_length(text) - F.char_length(F.translate(text, "#*$%&|<>", ""))).cast("long"))
-    held = F.filter(F.split(text, "\n"), lambda x: F.translate(x, GAPS, "") != "")
+    d = d.withColumn("word_chars", F.char_length(F.array_join("_w", "")).cast("long"))
+    d = d.withColumn("n_symbols", F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long"))
+    held = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     d = d.withColumn("_l", held)
     d = d.withColumn("n_dup_lines", (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"))
-    d = d.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w)))
-    last = F.greatest(F.size("_h") - (n - 1), F.lit(0))
-    step, cur = 1, "_h"
+    last = F.greatest(F.size("_w") - (n - 1), F.lit(0))
+    step, cur = 1, "_w"
     while step < n:
         nxt = f"_h{step}"
         d = d.withColumn(nxt, F.zip_with(cur, F.slice(cur, F.lit(step + 1), F.greatest(F.size(cur) - step, F.lit(0))),
@@ -74,7 +73,7 @@ def rule_figures(docs: DataFrame, n: int = 8) -> DataFrame:
     cover = F.zip_with("_p", F.slice("_p", F.lit(2), F.size("_p")), lambda a, b: F.least(F.lit(n), F.coalesce(b - a, F.lit(n))))
     d = d.withColumn("n_repeat_words", F.when(again, F.aggregate(cover, F.lit(0).cast("long"), lambda a, x: a + x)).otherwise(
         F.lit(0).cast("long")))
-    return d.drop("_w", "_l", "_h", "_v", "_s", "_p", *[f"_h{1 << i}" for i in range(n.bit_length()) if 1 << i < n])
+    return d.drop("_w", "_l", "_v", "_s", "_p", *[f"_h{1 << i}" for i in range(n.bit_length()) if 1 << i < n])
 
 
 def base_failed() -> Column:
@@ -89,8 +88,7 @@ def line_name(line: Column) -> Column:
 def lines_of(docs: DataFrame, host: str) -> DataFrame:
     """(doc_id, host, line, chars, sketch): normalised lines with a character, by hash; sketch: the least
     hash among the document's other lines (0: there are none)."""
-    cut = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), normal), lambda x: x != "")
-    named = F.transform(cut, lambda x: F.struct(line_name(x).alias("line"), F.char_length(x).alias("chars")))
+    named = F.transform(normal_lines(F.col("text")), lambda x: F.struct(line_name(x).alias("line"), F.char_length(x).alias("chars")))
     d = docs.select("doc_id", F.col(host).alias("host"), named.alias("x"))
     d = d.withColumn("least", F.slice(F.array_sort(F.array_distinct(F.transform("x", lambda x: x["line"]))), 1, 2))
     d = d.select("doc_id", "host", "least", F.explode("x").alias("x")).select("doc_id", "host", "least", "x.line", "x.chars")
@@ -156,7 +154,7 @@ rep AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, pos FROM (SEL
   GROUP BY doc_id),
 raw AS (SELECT doc_id, source, unnest(string_split(t, chr(10))) AS line FROM d),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM raw WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
-norm AS (SELECT doc_id, source, trim(regexp_replace(translate(line, '{UPPER}123456789', '{LOWER}000000000'), '[\x20\x09-\x0D]+', ' ', 'g')) AS x
+norm AS (SELECT doc_id, source, trim(regexp_replace(regexp_replace(lower(line), '[1-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS x
   FROM raw),
 ln AS (SELECT doc_id, source, length(x) AS chars, CAST('0x' || substr(md5(x), 1, 15) AS BIGINT) AS line FROM norm WHERE x <> ''),
 two AS (SELECT doc_id, list_sort(list_distinct(list(line))) AS l FROM ln GROUP BY doc_id),
