@@ -236,7 +236,7 @@ def repeated_windows(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame,
     classes = C.saved(live.groupBy("cls").agg(F.min("doc_id").alias("doc_id")), "classes")
     spots = live.select(F.explode("seeds").alias("key"), F.col("cls").alias("node"))
     shared = C.shared_keys(spots, "seeds").select("key")
-    held = C.saved(spots.join(C.small(shared), "key").distinct().groupBy("node").agg(
+    held = C.saved(spots.join(shared, "key").distinct().groupBy("node").agg(
         F.collect_set("key").alias("seeds")).withColumnRenamed("node", "cls"), "held")
     held = C.saved(held.join(classes, "cls").select("doc_id", "cls", "seeds"), "firsts")
     texts = docs.join(C.small(held.select("doc_id")), "doc_id", "left_semi")
@@ -244,7 +244,7 @@ def repeated_windows(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame,
     each = rows.select("doc_id", "cls", F.explode(F.arrays_zip("names", "places")).alias("w")).select(
         F.col("w.names").alias("key"), F.col("doc_id").alias("node"), "cls", F.col("w.places").alias("place"))
     first = C.shared_keys(each, "repeats")
-    late = each.join(C.small(first), "key").filter("node > lo")
+    late = each.join(first, "key").filter("node > lo")
     places = late.groupBy(F.col("node").alias("doc_id"), "cls").agg(F.collect_set("place").alias("places"))
     return told, classes, C.saved(places, "places")
 
