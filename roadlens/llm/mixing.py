@@ -9,9 +9,9 @@ slot j takes block pi(j mod n) of epoch j div n, with pi a permutation of the so
 own per epoch, and blocks are joined by that index.  Permutations are swap-or-not shuffles: exact on any
 length, computed per row, equal on reruns.
 
-Scale: texts are read once for sizes.  Positions in a source's stream come from lanes of bounded size
-(a hash of doc_id) and one offset row per lane, so a source with a third of all rows is spread over
-many lanes; draws are generated in bounded chunks, counted per shard before the shuffle, and meet blocks
+Scale: texts are read once for sizes.  Positions in a source's stream come from lanes (a hash of doc_id,
+the square root of the row count in number) and one offset row per lane, so a source with a third of all
+rows is spread over many lanes; draws are generated in bounded chunks, counted per shard before the shuffle, and meet blocks
 in an equi-join on (source, block).  Per-source figures are one row per source.
 
 Defined results: a null text has size 0 and is never taken; a null source is a source of its own, last
@@ -22,6 +22,8 @@ are not read (``mixed_documents`` keeps them).
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,7 +32,7 @@ from roadlens.llm import common as C
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 BLOCK_WORDS, MIN_BLOCKS, SHARD_SLOTS = 512, 400, 1024
-LANE_ROWS, CHUNK = 50_000, 20_000
+CHUNK = 20_000
 ROUNDS = 16
 
 
@@ -96,7 +98,9 @@ def shard_slots(planned: DataFrame, shard_slots: int, seed: int) -> DataFrame:
     slot = shuffled(F.col("base") + F.col("k"), F.col("total"), F.lit(seed))
     counts = dealt.select("sid", F.floor(slot / shard_slots).cast("long").alias("shard")).groupBy("sid", "shard").agg(
         F.count("*").alias("drawn"))
-    counts = C.saved(counts.withColumn("lane", F.floor(F.col("shard") / LANE_ROWS)), "counts")
+    counts = C.saved(counts, "counts")
+    lane_shards = max(1, math.isqrt(counts.count()))
+    counts = counts.withColumn("lane", F.floor(F.col("shard") / lane_shards))
     first = running(counts, "sid", "lane", ["shard"], "drawn", "first")
     slots = first.select("sid", "shard", F.explode(F.expr("sequence(first, first + drawn - 1)")).alias("j"))
     slots = slots.join(planned.select("sid", "n"), "sid")
@@ -122,7 +126,7 @@ def spans(rows: DataFrame, planned: DataFrame, order: list) -> DataFrame:
 def sized(docs: DataFrame, *more: Column) -> DataFrame:
     """(doc_id, source, size, lane) of every row, written once."""
     d = C.saved(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), *more), "sizes")
-    lanes = max(1, -(-d.count() // LANE_ROWS))
+    lanes = max(1, math.isqrt(d.count()))  # as many lanes as rows in a lane, so that both stay small
     return d.withColumn("lane", F.pmod(F.xxhash64(F.lit(17), "doc_id", "size"), F.lit(lanes)))
 
 
