@@ -170,6 +170,27 @@ def test_line_dedup(spark):
     assert {r.text for r in kept.filter("doc_id = 23").collect()} == {"second other line"}
 
 
+def every_window(line, width):
+    return {line[i:i + width] for i in range(max(1, len(line) - width + 1))}
+
+
+def test_line_dedup_whole_lines(spark):
+    """Lines are compared by windows at every character: a like beginning is not enough."""
+    alike = [("https://example.com/a/one", "https://example.com/b/entirely/other"), ("長い文章の始まりはここまで同じですが後は違う話になります", "長い文章の始まりはここまで同じですがその続きに別の人が来た"),
+             ("x" * 14 + "\u2028" + "abcdefgh" * 4, "x" * 14 + "\u2028" + "ijklmnop" * 4), ("ab", "abc"), ("\U0001f600" * 3 + "a", "\U0001f600" * 3 + "b")]
+    width, pct = line_dedup.WIDTH, line_dedup.PCT
+    rows, want = [], {}
+    for i, (a, b) in enumerate(alike):
+        x, y = every_window(a, width), every_window(b, width)
+        assert 100 * len(x & y) < pct * len(x | y), (a, b)
+        rows += [(2 * i, a, "s"), (2 * i + 1, b, "s")]
+        want |= {2 * i: "", 2 * i + 1: ""}
+    docs = table(spark, rows)
+    assert {r.doc_id: r.removed for r in line_dedup.line_report(docs).collect()} == want
+    got = docs.select("text", line_dedup.shingles(F.col("text"), width).alias("s")).collect()
+    assert all(set(r.s) == every_window(r.text, width) for r in got)
+
+
 def test_quality(spark):
     rows = ROWS + [(1000 + d, t, s) for d, t, s in small_corpus(spark)]
     seen = {r.doc_id: r for r in quality.judged(table(spark, rows)).collect()}
