@@ -188,10 +188,11 @@ def shared_keys(rows: DataFrame, tag: str) -> DataFrame:
                  .filter("lo < hi").select("key", "lo"), tag)
 
 
-def linked_groups(rows: DataFrame, sets_of, pct: int, tag: str) -> DataFrame:
+def linked_groups(rows: DataFrame, sets_of, pct: int, tag: str, near=similar, items=None) -> DataFrame:
     """(node, comp) for nodes linked by set similarity; every candidate pair shares a key of ``rows``.
 
-    ``rows``: (key, node), a written table; ``sets_of(nodes)``: (node, items array<long>, distinct).
+    ``rows``: (key, node), a written table; ``sets_of(nodes)``: (node, items array<long>, distinct), or
+    rows of another form that ``near`` compares as ``similar`` does and ``items`` turns into sets.
     No bucket is expanded into its pairs.  Each node is first verified against the least node it
     shares a key with, and keys of just two nodes are settled so; linked nodes become components.
     Nodes of keys that still hold several components go on to their rarest items (prefix filter): a few
@@ -203,7 +204,7 @@ def linked_groups(rows: DataFrame, sets_of, pct: int, tag: str) -> DataFrame:
     sets = saved(sets_of(members.select("node").distinct()), f"{tag}-sets")
     first = members.filter("node <> lo").groupBy("node").agg(F.min("lo").alias("b")).select(F.col("node").alias("a"), "b")
     two = members.groupBy("key").agg(F.count("*").alias("n"), F.max("node").alias("a"), F.max("lo").alias("b")).filter("n = 2")
-    links = saved(similar(first.union(two.select("a", "b")).distinct(), sets, pct), f"{tag}-links")
+    links = saved(near(first.union(two.select("a", "b")).distinct(), sets, pct), f"{tag}-links")
     comp = components(links, f"{tag}-cc")
     placed = members.join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
     span = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"))
@@ -211,13 +212,13 @@ def linked_groups(rows: DataFrame, sets_of, pct: int, tag: str) -> DataFrame:
     still = saved(placed.join(span, "key", "left_semi").select("node").distinct(), f"{tag}-open")
     if still.isEmpty():
         return comp
-    head = rare_items(still, sets, pct, tag)
+    head = rare_items(still, items(sets.join(still, "node", "left_semi")) if items else sets, pct, tag)
     rows = saved(head.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")), f"{tag}-placed")
     stars = star_pairs(rows, pct, 0)
     for turn in range(1, STAR_TURNS):
         stars = stars.union(star_pairs(rows, pct, turn))
     for pairs in (lambda r: stars, lambda r: mixed_pairs(r, pct)):
-        new = saved(similar(pairs(rows).distinct(), sets, pct), f"{tag}-links")
+        new = saved(near(pairs(rows).distinct(), sets, pct), f"{tag}-links")
         if not new.isEmpty():
             comp = saved(components(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(new), f"{tag}-cc"), f"{tag}-cc")
             rows = head.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
