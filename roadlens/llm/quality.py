@@ -1,15 +1,15 @@
 """Quality rules: cross-document line frequency, with built-in functions only.
 
 Lines are normalised (lower case, digits as 0, white space runs as one space, trimmed) and named by
-a hash.  For every host and line the *different* documents are counted: documents that agree on the
-least hash of their other lines count as copies of one, so a group of copies doesn't make its own
-lines frequent.
+a hash.  For every host and line the *different* documents are counted: documents with the same
+normalised lines in the same order are copies and count once, there and in the host's total, so a group
+of copies doesn't make its own lines frequent.
 Lines over the limit are boilerplate; a document is rejected when the characters left after removing
 them are too few a share of its own (*depleted*).
 
 Scale: the text is read once for the per-document figures and the line table; lines travel as
-(host, line hash, document sketch) rows that are combined before the shuffle, once to distinct rows and
-once to counts, so a line in a third of all documents is pre-aggregated in every task.  Frequent lines
+(host, line hash, document sketch) rows that are combined before the shuffle, once to distinct rows dealt
+by all three and once to counts, so a line in a third of all documents is pre-aggregated in every task.  Frequent lines
 are few; they are joined to the lines by a join that the planner may broadcast by measured size or
 split for skew.  Everything per text (duplicate lines, repeated word windows) stays inside its row.
 
@@ -86,19 +86,22 @@ def line_name(line: Column) -> Column:
 
 
 def lines_of(docs: DataFrame, host: str) -> DataFrame:
-    """(doc_id, host, line, chars, sketch): normalised lines with a character, by hash; sketch: the least
-    hash among the document's other lines (0: there are none)."""
+    """(doc_id, host, line, chars, sketch): normalised lines with a character, by hash; sketch: a hash of all
+    lines of the document in order.  A document without lines has one row with a null line."""
     named = F.transform(normal_lines(F.col("text")), lambda x: F.struct(line_name(x).alias("line"), F.char_length(x).alias("chars")))
     d = docs.select("doc_id", F.col(host).alias("host"), named.alias("x"))
-    d = d.withColumn("least", F.slice(F.array_sort(F.array_distinct(F.transform("x", lambda x: x["line"]))), 1, 2))
-    d = d.select("doc_id", "host", "least", F.explode("x").alias("x")).select("doc_id", "host", "least", "x.line", "x.chars")
-    first, second = F.get("least", F.lit(0)), F.coalesce(F.get("least", F.lit(1)), F.lit(0))
-    return d.select("doc_id", "host", "line", "chars", F.when(F.col("line") == first, second).otherwise(first).alias("sketch"))
+    d = d.withColumn("sketch", F.xxhash64(F.col("x.line")))
+    return d.select("doc_id", "host", "sketch", F.explode_outer("x").alias("x")).select("doc_id", "host", "x.line", "x.chars", "sketch")
+
+
+def hosts_of(lines: DataFrame) -> DataFrame:
+    """(h, docs): the different documents of every host."""
+    return lines.select("host", "sketch").distinct().groupBy(F.col("host").alias("h")).agg(F.count("*").alias("docs"))
 
 
 def frequent_lines(lines: DataFrame, hosts: DataFrame, line_docs: int, line_share: int) -> DataFrame:
-    """(host, line) held by more different documents of the host than both limits allow."""
-    seen = lines.select("host", "line", "sketch").distinct().groupBy("host", "line").agg(F.count("*").alias("n"))
+    """(host, line) held by more different documents of the host than both limits allow; ``hosts``: as ``hosts_of``."""
+    seen = lines.filter("line is not null").select("host", "line", "sketch").distinct().groupBy("host", "line").agg(F.count("*").alias("n"))
     seen = seen.filter(F.col("n") > line_docs)
     return seen.join(hosts, seen["host"].eqNullSafe(hosts["h"])).filter(
         F.lit(1000) * F.col("n") > F.lit(line_share) * F.col("docs")).select("host", "line")
@@ -108,8 +111,7 @@ def depleted(docs: DataFrame, host: str = "source", line_docs: int = LINE_DOCS,
              left_share: int = LEFT_SHARE) -> DataFrame:
     """(doc_id, chars, gone) of documents that lose lines; depleted: 100 * (chars - gone) < left_share * chars."""
     lines = C.saved(lines_of(docs, host), "lines")
-    hosts = docs.groupBy(F.col(host).alias("h")).agg(F.count("*").alias("docs"))
-    often = C.saved(frequent_lines(lines, hosts, line_docs, line_share), "frequent")
+    often = C.saved(frequent_lines(lines, hosts_of(lines), line_docs, line_share), "frequent")
     hit = lines.join(often.withColumnRenamed("host", "h").withColumnRenamed("line", "l"),
                      (F.col("line") == F.col("l")) & F.col("host").eqNullSafe(F.col("h")))
     gone = hit.filter("doc_id is not null").groupBy("doc_id").agg(F.sum("chars").alias("gone"))
@@ -128,10 +130,9 @@ def judged(docs: DataFrame, host: str = "source") -> DataFrame:
 def without_frequent_lines(docs: DataFrame, host: str = "source") -> DataFrame:
     """The lines that stay of every document: (doc_id, host, line, chars, sketch) not over the limits."""
     lines = C.saved(lines_of(docs, host), "lines")
-    hosts = docs.groupBy(F.col(host).alias("h")).agg(F.count("*").alias("docs"))
-    often = C.saved(frequent_lines(lines, hosts, LINE_DOCS, LINE_SHARE), "frequent")
+    often = C.saved(frequent_lines(lines, hosts_of(lines), LINE_DOCS, LINE_SHARE), "frequent")
     often = often.withColumnRenamed("host", "h").withColumnRenamed("line", "l")
-    return lines.join(often, (F.col("line") == F.col("l")) & F.col("host").eqNullSafe(F.col("h")), "left_anti")
+    return lines.filter("line is not null").join(often, (F.col("line") == F.col("l")) & F.col("host").eqNullSafe(F.col("h")), "left_anti")
 
 
 def keep_good(docs: DataFrame, host: str = "source") -> DataFrame:

@@ -248,6 +248,20 @@ def test_quality_depleted(spark):
     assert left.columns == [c.split()[0] for c in DOCS.split(", ")] and left.filter("doc_id = 100").count() == 0
 
 
+def test_quality_depleted_by_many_shared_lines(spark):
+    """30 shared lines and one own line: every document counts; copies count once, in the host's total too."""
+    name = lambda d: "".join(chr(97 + int(c)) for c in str(d))
+    menu = "\n".join(f"menu{name(i)} entry{name(i)} of{name(i)} host{name(i)}" for i in range(30))
+    rows = [(d, f"{menu}\nown line {name(d)}", "h") for d in range(300)]
+    rows += [(1000 + d, f"{menu}\nown line {name(d)}", "g") for d in range(60)]
+    rows += [(2000 + d, "one text of many copies " + " ".join(f"word{name(i)}" for i in range(30)), "g") for d in range(3000)]
+    rows += [(9000 + d, None, "g") for d in range(2000)]
+    rows += [(20_000 + d, f"{menu}\nown line {name(d)}", "few") for d in range(50)]
+    kept = {r.doc_id: r.kept for r in quality.judged(table(spark, rows)).collect()}
+    assert not any(kept[d] for d in [*range(300), *range(1000, 1060), *range(9000, 11_000)])
+    assert all(kept[d] for d in [*range(2000, 5000), *range(20_000, 20_050)])
+
+
 def test_mixing(spark):
     rows = ROWS + [(1000 + d, t, s) for d, t, s in small_corpus(spark)]
     docs = table(spark, rows)
