@@ -434,6 +434,14 @@ def test_pii(spark):
         assert set(named) <= set(r.spans.split(",")) | {""}
 
 
+def test_pii_long_secrets():
+    """Keys of any length are candidates, as one span; a digit may stand anywhere in them."""
+    keys = ["aB3" * 100, "Q" * 19 + "z" * 100 + "7", "x9" * 5000, "a1" * 10, "k" * 300 + "5" + "k" * 300]
+    text = " token ".join([*keys, "b" * 500, "a1" * 9 + "a"])
+    assert [text[a:b] for kind, a, b in pii.more_matches(text) if kind == 5] == keys
+    assert all(any(k == 5 and text[a:b] == key for k, a, b, _, _ in pii.spans(text)) for key in keys)
+
+
 def test_pii_labelers_learn():
     """Votes drawn from known reliabilities: the classifier separates patterns that the votes separate."""
     import numpy as np
