@@ -216,8 +216,8 @@ def main_text(page: str | None) -> str:
             break
         up = up.parent
 
-    def choose(n: Node) -> bool:
-        """Mark the subtree with the largest sum in n; true if that is a named article."""
+    def choose(n: Node) -> None:
+        """Mark the subtree with the largest sum in n, whole up to an enclosing article."""
         top = max(subtree(n), key=lambda x: x.sum)
         up, whole = top, None
         while up is not None:
@@ -226,15 +226,13 @@ def main_text(page: str | None) -> str:
             up = up.parent
         for x in subtree(whole or top):
             x.mark = True
-        return whole is not None
 
     todo = [body]
     while todo:
         n = todo.pop()
         if n.mark or n.noise or n.density < limit:
             continue
-        if choose(n):
-            break  # the page names its article: nothing outside it is added
+        choose(n)
         todo.extend(reversed(n.kids))
     lines, block, parts = [], -1, []
 

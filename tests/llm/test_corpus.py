@@ -403,6 +403,14 @@ def test_density():
     assert density.main_text("plain &lt;b&gt; text") == "plain <b> text"
 
 
+def test_density_sibling_articles():
+    """Every article at or over the threshold is taken, not only the one with the largest sum."""
+    parts = [[f"part {i} paragraph {j} " + f"tells w{i}x{j} a long story of the day " * k for j in range(n)] for i, (n, k) in enumerate([(6, 6), (3, 10)])]
+    body = "".join("<article>" + "".join(f"<p>{p}</p>" for p in part) + "</article>" for part in parts)
+    got = density.main_text(f"<html><body><nav><a href='/'>home</a></nav>{body}<footer>all rights reserved</footer></body></html>")
+    assert got == "\n".join(" ".join(p.split()) for part in parts for p in part)
+
+
 def test_density_pages(spark):
     pages = spark.createDataFrame([(1, "u", None), (None, None, "<p>x</p>"), (2, "v", "<article><p>a</p></article>")],
                                   "page_id long, url string, html string")
