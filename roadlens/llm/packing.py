@@ -2,8 +2,8 @@
 
 Texts are tokenized in Arrow batches.  A document longer than a sequence is cut into full sequences
 and a tail; everything after that works on (doc_id, start, length) rows only, never on texts.  The
-pieces are dealt to randomised groups by a hash of the document id; in each group the pieces are
-taken in decreasing length and each goes to the first open bin with room.  A tournament tree over the
+pieces are dealt to randomised groups by a hash of document id, start and content, so rows that share a
+null or repeated id spread over all groups (only equal pieces meet); in each group the pieces are taken in decreasing length and each goes to the first open bin with room.  A tournament tree over the
 bins' free capacities (every inner node holds the larger of its children) finds that bin in log n
 steps.  Groups are independent tasks of a bounded expected size, so the work grows with the rows and
 a lost executor repeats only its groups.
@@ -257,8 +257,9 @@ def place(rows: DataFrame, length: int, group_docs: int) -> DataFrame:
     """Add sequence_id and offset to the piece rows (any columns besides doc_id, start, length)."""
     n = rows.count()
     groups = max(1, -(-n // group_docs))
-    dealt = rows.withColumn("_group", F.pmod(F.xxhash64(F.lit(29), "doc_id"), F.lit(groups)))
     cols = rows.columns
+    by = [c for c in ("doc_id", "start", "ids_crc32") if c in cols]
+    dealt = rows.withColumn("_group", F.pmod(F.xxhash64(F.lit(29), *by), F.lit(groups)))
     schema = rows.schema.add("sequence_id", "long").add("offset", "long")
 
     def run(table: pa.Table) -> pa.Table:

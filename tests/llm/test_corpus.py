@@ -344,6 +344,14 @@ def test_packing(spark):
         assert end <= 2048
 
 
+def test_packing_deals_rows_of_one_id(spark):
+    """Pieces under a null or repeated doc_id are spread over the groups."""
+    rows = spark.range(4000).selectExpr("if(id % 2 = 0, null, 7L) doc_id", "0L start", "id % 50 + 1 length", "id * 31 ids_crc32")
+    got = packing.place(rows, 2048, 100).collect()
+    size = collections.Counter(r.sequence_id // packing.GROUP_SPAN for r in got)
+    assert len(got) == 4000 and len(size) == 40 and max(size.values()) < 200
+
+
 def test_first_fit_decreasing():
     import numpy as np
 
