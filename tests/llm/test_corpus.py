@@ -544,3 +544,22 @@ def test_pipeline(spark):
             assert {r.doc_id for r in docs.collect()} == want
     assert docs.agg(F.max("length")).first()[0] <= 2048 and "sequence_id" in docs.columns
     assert os.path.exists(os.path.join(os.path.dirname(corpus_pipeline.__file__), "__spark_entry__.py"))
+
+
+def test_pipeline_writes_between_stages(spark, monkeypatch):
+    """Every stage after the first reads its predecessor's written result, with its rows."""
+    import corpus_pipeline
+
+    seen = []
+
+    def stage(spark, docs, sf_dir):
+        seen.append((docs.inputFiles(), docs.count()))
+        return docs.filter(f"doc_id % {len(seen) + 1} <> 0")
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(name, stage) for name in ("one", "two", "three")])
+    ids = {r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    left = {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()}
+    assert left == {d for d in ids if d % 2 and d % 3 and d % 4} and len(seen) == 3
+    assert all("documents.parquet" in f for f in seen[0][0])
+    assert all(f"corpus-{name}-" in f for name, (files, _) in zip(("one", "two"), seen[1:]) for f in files)
+    assert all(files for files, _ in seen)
