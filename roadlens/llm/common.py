@@ -33,6 +33,32 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Frees a query's shuffle files when it ends; a written table doesn't need them any more.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """As ``saved``; the shuffle files behind the table are freed once it stands."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, "false")
+    conf.set(_CLEANUP, "true")
+    try:
+        return saved(df, tag)
+    finally:
+        conf.set(_CLEANUP, before)
+
+
+def free(*tables: DataFrame) -> None:
+    """Remove tables that ``saved`` or ``stored`` wrote and that no later query reads."""
+    for t in tables:
+        spark = t.sparkSession
+        base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/corpus-"
+        for name in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+            if f"{base.split('://')[-1].split(':', 1)[-1]}" in name:
+                path = spark._jvm.org.apache.hadoop.fs.Path(name)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Mark a written table of two long columns for broadcast when it is counted to be small."""
     n = df.count() if rows is None else rows

@@ -9,6 +9,7 @@ from roadlens.llm.ngram_join import op6_ngram_join
 from roadlens.llm.packing import op10_packing
 from roadlens.llm.pii import op4_pii
 from roadlens.llm.quality import OP5_SQL, op5_quality
+from roadlens.llm.simhash import op12_simhash
 from roadlens.llm.substring import OP9_SQL, op9_substring
 from roadlens.llm.topk import OP8_SQL, op8_topk
 from roadlens.llm.warc import OP1_SQL, op1_warc
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_topk": op8_topk,
     "op9_substring": op9_substring,
     "op10_packing": op10_packing,
+    "op12_simhash": op12_simhash,
 }
 
 SQL: dict[str, str] = {
