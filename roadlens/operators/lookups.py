@@ -68,17 +68,21 @@ def title_tokens(news: DataFrame, title="title"):
 def news_for_incident(terms: DataFrame, news: DataFrame, n: int = 5, max_age_days: int = 60) -> DataFrame:
     """Top-n news per incident among items sharing a term, newest (smallest age) first.
 
-    Each term is first cut to its own top-n (the global top-n of an incident is inside the
-    union of its terms' top-n), so a common term never pairs every incident with every item.
+    News are ranked once for every different set of terms, and incidents meet that ranking by the set's name: a term of
+    a third of all incidents is looked up once.  Each term is first cut to its own top-n (the global top-n of a set is
+    inside the union of its terms' top-n), so a common term never pairs a set with every item.
     """
     tok = (news.filter(F.col("age_days") <= max_age_days)
            .select("news_id", "age_days", F.explode(title_tokens(news)).alias("term")))
     wt = Window.partitionBy("term").orderBy("age_days", "news_id")
     per_term = tok.withColumn("_r", F.row_number().over(wt)).filter(F.col("_r") <= n).drop("_r")
-    it = terms.select("incident_id", F.explode("terms").alias("term"))
-    cand = it.join(per_term, "term").select("incident_id", "news_id", "age_days").distinct()
-    wi = Window.partitionBy("incident_id").orderBy("age_days", "news_id")
-    return cand.withColumn("rk", F.row_number().over(wi)).filter(F.col("rk") <= n)
+    named = terms.select("incident_id", F.array_sort(F.array_distinct("terms")).alias("terms"))
+    sets = named.select("terms").distinct()
+    cand = sets.select("terms", F.explode("terms").alias("term")).join(per_term, "term").select("terms", "news_id", "age_days").distinct()
+    ws = Window.partitionBy("terms").orderBy("age_days", "news_id")
+    ranked = cand.withColumn("rk", F.row_number().over(ws)).filter(F.col("rk") <= n)
+    ranked = ranked.groupBy("terms").agg(F.collect_list(F.struct("news_id", "age_days", "rk")).alias("_top"))  # n items a set
+    return named.join(ranked, "terms").select("incident_id", F.explode("_top").alias("_t")).select("incident_id", "_t.*")
 
 
 def news_top_n(news: DataFrame, part: list[str], order: str, n: int = 5, max_age_days: int = 60) -> DataFrame:

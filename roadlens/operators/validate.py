@@ -102,47 +102,37 @@ def stripped(desc: Column) -> Column:
     return F.btrim(desc, F.lit(C.PY_WS_CHARS))
 
 
-def _median_char_rate(s: Column, chars: Column) -> Column:
-    low = F.lower(s)
-    cand = F.element_at(chars, (F.floor(F.size(chars) / 2) + 1).cast("int"))
-    count = F.length(low) - F.length(F.replace(low, cand, F.lit("")))
-    return F.when((F.length(s) > 0) & (F.size(chars) > 0), count / F.length(s))
-
-
-def sorted_chars(s: Column) -> Column:
-    """Non-space characters of lower(s), sorted (native sort, no lambda comparator)."""
-    return F.sort_array(F.array_remove(F.array_remove(F.split(F.lower(s), ""), " "), ""))
+#: Two groups of letters that take under half of ordinary text each, and leave under half to all other characters.
+LETTER_GROUPS = ("[eaiouy]", "[tnshrdl]")
 
 
-def repeat_rate(desc: Column) -> Column:
-    """Share of the stripped length taken by the median non-space character of lower(stripped).
+def repeat_rate(s: Column) -> Column:
+    """Share of the stripped text ``s`` taken by its most frequent non-space character (lower case) wherever that is over one
+    half; else a value of at most one half.
 
-    A character above half of all non-space characters is the median of their sorted
-    array, so this equals the most-frequent-character rate whenever that rate is over
-    one half, and the > 0.7 rule is decided exactly in O(n log n) per text instead of
-    one pass per distinct character.
+    A character above half of all non-space characters is the median of their sorted array.  Only texts are sorted in
+    which some group of characters takes over half, as else no character can.
     """
-    s = stripped(desc)
-    return _median_char_rate(s, sorted_chars(s))
-
-
-def word_count(desc: Column) -> Column:
-    return _word_count(stripped(desc))
+    low = F.lower(s)
+    counts = [F.regexp_count(low, F.lit(g)) for g in LETTER_GROUPS]
+    counts.append(F.length(low) - counts[0] - counts[1])
+    chars = F.sort_array(F.array_remove(F.array_remove(F.split(low, ""), " "), ""))
+    middle = F.element_at(chars, (F.floor(F.size(chars) / 2) + 1).cast("int"))
+    rate = F.when(F.size(chars) > 0, (F.length(low) - F.length(F.replace(low, middle, F.lit("")))) / F.length(s))
+    return F.when(F.length(s) > 0, F.when(2 * F.greatest(*counts) > F.length(s), rate).otherwise(F.lit(0.0)))
 
 
-def _word_count(s: Column) -> Column:
+def word_count(s: Column) -> Column:
+    """Words of a stripped text."""
     return F.when(F.length(s) == 0, F.lit(0)).otherwise(F.size(F.split(s, C.PY_WS + "+")))
 
 
 def with_text_stats(df: DataFrame, desc: str = "description", only_if: Column | None = None) -> DataFrame:
-    """Adds _desc_s (stripped), _desc_rate (top character share) and _desc_words, each text
-    scanned once by an Arrow-batched helper (exact counts, whole texts)."""
-    from roadlens.functions.text_udfs import text_stats
+    """Adds _desc_s (stripped), _desc_rate (share of a character over one half, see ``repeat_rate``) and _desc_words, by built-in
+    functions over whole texts."""
     src = F.col(desc) if only_if is None else F.when(only_if, F.col(desc))
-    out = df.withColumn("_desc_st", text_stats(src))
-    return (out.withColumn("_desc_s", stripped(src))
-            .withColumn("_desc_rate", F.col("_desc_st.rate"))
-            .withColumn("_desc_words", F.col("_desc_st.words")).drop("_desc_st"))
+    out = df.withColumn("_desc_s", stripped(src))
+    return out.withColumns({"_desc_rate": repeat_rate(F.col("_desc_s")), "_desc_words": word_count(F.col("_desc_s"))})
 
 
 def area_error(lat: Column, lon: Column, area: dict | None = None) -> Column:

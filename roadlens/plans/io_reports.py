@@ -174,7 +174,7 @@ def q_snk_geojson(spark, sf):
 
 
 @register("heatmap_weights", A.with_views("""
-SELECT day, node_id, round(lon, 6) AS lon, round(lat, 6) AS lat, round(w, 6) AS weight FROM (
+SELECT day, node_id, round(lon, 8) AS lon, round(lat, 8) AS lat, round(w, 8) AS weight FROM (
   SELECT s.*, s.weight * CASE WHEN m.node_id IS NOT NULL THEN 0.35 ELSE 1 END AS w FROM shown s LEFT JOIN
     (SELECT DISTINCT user_id % 8 + 1 AS node_id, day(start_datetime) - 1 AS day FROM incidents WHERE incident_type = 'roadwork') m
     ON m.node_id = s.node_id AND m.day = s.day WHERE s.weight >= 0.15) x WHERE w > 0.05""", FORECAST_SQL))
@@ -185,7 +185,8 @@ def q_heatmap_weights(spark, sf):
         .distinct().withColumn("_m", F.lit(True))
     shown = _shown(spark, sf).filter(F.col("weight") >= 0.15).join(done, ["node_id", "day"], "left")
     w = F.when(F.col("_m"), F.col("weight") * 0.35).otherwise(F.col("weight"))
-    return rounded(shown.withColumn("weight", w).filter(F.col("weight") > 0.05).select("day", "node_id", "lon", "lat", "weight"))
+    # eight digits: a product of two short numbers has halves at the sixth, which engines round differently
+    return rounded(shown.withColumn("weight", w).filter(F.col("weight") > 0.05).select("day", "node_id", "lon", "lat", "weight"), 8)
 
 
 @register("snk_splits", A.with_views(f"SELECT split, count(*) AS samples FROM ({STRATIFIED_SQL}) s GROUP BY split"))

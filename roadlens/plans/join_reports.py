@@ -11,6 +11,7 @@ from roadlens.operators import graph as G
 from roadlens.operators import lookups as L
 from roadlens.plans.ordered import asof_latest
 from roadlens.plans.registry import AS_OF, register, rounded
+from roadlens.session import scratch_table
 
 NEAREST_SQL = ("nearest", """SELECT incident_id, node_id, user_id FROM (
   SELECT i.incident_id, i.user_id, n.node_id, row_number() OVER (PARTITION BY i.incident_id
@@ -33,8 +34,9 @@ def q_knn_graph(spark, sf):
 
 
 @register("graph_propagate", A.with_views("""
-SELECT n.node_id, round(x0.x, 6) AS x_0, round(h1.x, 6) AS x_1, round(h2.x, 6) AS x_2, round(h3.x, 6) AS x_3
-FROM road_nodes n
+SELECT n.node_id, round(x0.x, 6) AS x_0, round(h1.x, 6) AS x_1, round(h2.x, 6) AS x_2, round(h3.x, 6) AS x_3,
+  round(g1.x, 6) AS g_1, round(g2.x, 6) AS g_2, round(g3.x, 6) AS g_3
+FROM road_nodes n JOIN g1 ON g1.node_id = n.node_id JOIN g2 ON g2.node_id = n.node_id JOIN g3 ON g3.node_id = n.node_id
 LEFT JOIN x0 ON x0.node_id = n.node_id
 LEFT JOIN h1 ON h1.node_id = n.node_id LEFT JOIN h2 ON h2.node_id = n.node_id LEFT JOIN h3 ON h3.node_id = n.node_id""",
     NEAREST_SQL, KNN_SQL,
@@ -42,14 +44,21 @@ LEFT JOIN h1 ON h1.node_id = n.node_id LEFT JOIN h2 ON h2.node_id = n.node_id LE
               LEFT JOIN nearest ne ON ne.node_id = n.node_id GROUP BY n.node_id"""),
     ("h1", "SELECT k.src AS node_id, avg(x0.x) AS x FROM knn k JOIN x0 ON x0.node_id = k.dst GROUP BY k.src"),
     ("h2", "SELECT k.src AS node_id, avg(h1.x) AS x FROM knn k JOIN h1 ON h1.node_id = k.dst GROUP BY k.src"),
-    ("h3", "SELECT k.src AS node_id, avg(h2.x) AS x FROM knn k JOIN h2 ON h2.node_id = k.dst GROUP BY k.src")))
+    ("h3", "SELECT k.src AS node_id, avg(h2.x) AS x FROM knn k JOIN h2 ON h2.node_id = k.dst GROUP BY k.src"),
+    ("und", "SELECT src, dst FROM knn UNION SELECT dst, src FROM knn UNION SELECT node_id, node_id FROM road_nodes"),
+    ("deg", "SELECT src AS node_id, count(*) AS n FROM und GROUP BY src"),
+    ("nw", "SELECT u.src, u.dst, 1 / sqrt(a.n * b.n) AS w FROM und u JOIN deg a ON a.node_id = u.src JOIN deg b ON b.node_id = u.dst"),
+    *[(f"g{h}", f"SELECT src AS node_id, sum(w * p.x) AS x FROM nw JOIN {'x0' if h == 1 else f'g{h - 1}'} p ON p.node_id = nw.dst GROUP BY src")
+      for h in (1, 2, 3)]))
 def q_graph_propagate(spark, sf):
     nodes = A.table(spark, sf, "road_nodes")
     near = G.nearest_node(A.table(spark, sf, "incidents"), nodes)
     x0 = nodes.select("node_id").join(near.groupBy("node_id").agg(F.count("*").alias("n")), "node_id", "left") \
         .select("node_id", F.coalesce(F.col("n"), F.lit(0)).cast("double").alias("x"))
-    edges = G.knn_graph(nodes, 4)
-    return rounded(G.propagate(edges, x0, 3).select("node_id", "x_0", "x_1", "x_2", "x_3"))
+    edges = scratch_table(G.knn_graph(nodes, 4), "edges")
+    x0 = scratch_table(x0, "loads")
+    out = G.propagate(edges, x0, 3).join(G.propagate_normalized(edges, x0, 3), "node_id")
+    return rounded(out.select("node_id", *[f"x_{h}" for h in range(4)], *[f"g_{h}" for h in (1, 2, 3)]))
 
 
 @register("adjacency_edges", A.with_views("""
@@ -147,12 +156,13 @@ def q_prediction_vs_actual(spark, sf):
 @register("weather_asof", A.with_views("""
 SELECT i.incident_id, w.precipitation, coalesce(w.precipitation > 0, false) AS weather_alert
 FROM (SELECT incident_id, user_id % 8 AS site, start_datetime FROM incidents) i
-ASOF LEFT JOIN weather_obs w ON i.site = w.site AND i.start_datetime >= w.ts"""))
+ASOF LEFT JOIN (SELECT site, ts, max_by(precipitation, obs_id) AS precipitation FROM weather_obs GROUP BY site, ts) w
+  ON i.site = w.site AND i.start_datetime >= w.ts"""))
 def q_weather_asof(spark, sf):
     inc = A.table(spark, sf, "incidents").select("incident_id", (F.col("user_id") % 8).alias("site"),
                                                  F.col("start_datetime").alias("ts"))
-    obs = A.table(spark, sf, "weather_obs").select("site", "ts", "precipitation")
-    out = asof_latest(inc, obs, ["site"], "ts", ["precipitation"])
+    obs = A.table(spark, sf, "weather_obs").select("site", "ts", "precipitation", "obs_id")
+    out = asof_latest(inc, obs, ["site"], "ts", ["precipitation"], tie="obs_id")
     return rounded(out.select("incident_id", "precipitation",
                               F.coalesce(F.col("precipitation") > 0, F.lit(False)).alias("weather_alert")))
 

@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from dataclasses import dataclass
+
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadlens import adapters as A
+from roadlens.functions import scalars as SC
 from roadlens.operators import cox as CX
+from roadlens.operators import embedding as EM
 from roadlens.operators import features as FE
+from roadlens.operators import forecast as FC
+from roadlens.operators import graph as G
+from roadlens.operators import lookups as L
 from roadlens.operators import models as MD
 from roadlens.operators import sets as SE
-from roadlens.operators import survival as SV
+from roadlens.operators import shapley as SH
 from roadlens.operators.playbook import playbook_lookup, playbook_rules
+from roadlens.plans.ordered import asof_latest
 from roadlens.plans.registry import register, rounded
-from roadlens.plans.survival_reports import KM_CTES
+from roadlens.session import scratch_table
 
 # Promotion rule.
 PROMOTE_FACTOR = 1.05
@@ -79,53 +88,112 @@ def q_retrain_gate(spark, sf):
     return newest.join(active, "component", "left").select("component", "candidate", "active_version", promote.alias("promote"))
 
 
-def _labelled(spark, sf):
-    """Incidents with the model inputs, both labels and the part of their split."""
-    inc = FE.structured_features(A.table(spark, sf, "incidents"))
+#: Dimensions of the description's embedding among the model inputs; background rows of the attributions.
+TEXT_DIMS, BACKGROUNDS = 8, 4
+INPUTS = FE.STRUCTURED_COLUMNS
+
+
+def _labelled(spark, sf) -> DataFrame:
+    """Incidents with the model inputs ``x`` (eight features and the description's embedding), both labels and the part of
+    their split; written once, as every fit, bound and score reads it."""
+    docs = A.table(spark, sf, "documents").filter("doc_id is not null").dropDuplicates(["doc_id"])
+    text = EM.embed_text(docs, "doc_id", "text", EM.fitted_words(docs, "text", TEXT_DIMS), TEXT_DIMS)
+    n = max(docs.count(), 1)  # an incident's description is the text that its number points to
+    inc = A.table(spark, sf, "incidents").withColumn("doc_key", F.pmod("arrival_seq", F.lit(n)))
+    inc = FE.structured_features(inc).join(text.withColumnRenamed("doc_id", "doc_key"), "doc_key", "left").drop("doc_key")
     mean = inc.agg(F.avg("duration_min").alias("_mean"))  # one row: null durations take the mean
     inc = inc.join(F.broadcast(mean), F.lit(True)).withColumns({
         "duration_label": F.log1p(F.greatest(F.lit(0.0), F.coalesce("duration_min", "_mean"))),
         "severity_label": FE.severity_proxy_v2(F.col("priority"), F.col("event_cause") == "road_closure", F.col("veh_type"),
                                                F.col("corridor"), F.col("event_cause"), F.col("duration_min"))}).drop("_mean")
-    return MD.split3(MD.assemble(inc, FE.STRUCTURED_COLUMNS), "incident_id")
+    none = F.array_repeat(F.lit(0.0), TEXT_DIMS)  # no description: as a text without words
+    x = F.concat(F.array(*[F.coalesce(F.col(c), F.lit(0.0)) for c in INPUTS]), F.coalesce("embedding", none))
+    return scratch_table(MD.split3(inc.withColumn("x", x), "incident_id").drop(*INPUTS, "embedding"), "labelled")
 
 
 def _part(df, name):
     return df.filter(F.col("part") == name)
 
 
+def _vectors(df):
+    return df.withColumn("features", array_to_vector("x"))
+
+
+@dataclass
+class Fits:
+    """The models of one table set: fitted on the train part, bounds from the calib part."""
+
+    rows: DataFrame
+    severity: object
+    duration: object
+    severity_bounds: tuple[float, float]
+    duration_bounds: tuple[float, float]
+
+
+_fits: dict[tuple, Fits] = {}
+
+
+def fitted(spark, sf) -> Fits:
+    """The models, fitted once per application and table set: every key that scores uses the same ones."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _fits:
+        rows = _labelled(spark, sf)
+        train, calib = (_vectors(_part(rows, p)) for p in ("train", "calib"))
+        severity, duration = (MD.fit_gbt(train, c) for c in ("severity_label", "duration_label"))
+        _fits[key] = Fits(rows, severity, duration, MD.conformal_bounds(severity, calib, "severity_label"),
+                          MD.conformal_bounds(duration, calib, "duration_label"))
+    return _fits[key]
+
+
+def _within(c):
+    return F.least(F.lit(100.0), F.greatest(F.lit(0.0), c))
+
+
+def _estimates(f: Fits) -> DataFrame:
+    """All incidents with the severity, its interval, and the log of duration, as the models see them."""
+    out = f.severity.transform(_vectors(f.rows)).withColumnRenamed("prediction", "raw_severity")
+    out = f.duration.transform(out).withColumnRenamed("prediction", "log_duration").drop("features")
+    low, high = f.severity_bounds
+    return out.withColumns({"severity": _within(F.col("raw_severity")), "ci_lower": _within(F.col("raw_severity") + min(low, 0.0)),
+                            "ci_upper": _within(F.col("raw_severity") + max(high, 0.0))})
+
+
 @register("duration_model")
 def q_duration_model(spark, sf):
-    df = _labelled(spark, sf)
-    model = MD.fit_gbt(_part(df, "train"), "duration_label")
-    return rounded(MD.reg_metrics(model.transform(_part(df, "test")), "prediction", "duration_label"))
+    """Held-out errors of the duration model, of the log and of the minutes, beside those of the mean."""
+    f = fitted(spark, sf)
+    test = f.duration.transform(_vectors(_part(f.rows, "test")))
+    test = test.withColumns({"minutes": SC.from_log_duration(F.col("prediction")), "actual": SC.from_log_duration(F.col("duration_label"))})
+    mean = _part(f.rows, "train").agg(F.avg(SC.from_log_duration(F.col("duration_label")))).first()[0]
+    out = MD.reg_metrics(test, "prediction", "duration_label").select(F.lit("log").alias("scale"), "*")
+    out = out.unionByName(MD.reg_metrics(test, "minutes", "actual").select(F.lit("minutes").alias("scale"), "*"))
+    return rounded(out.unionByName(MD.reg_metrics(test.withColumn("mean", F.lit(mean)), "mean", "actual").select(
+        F.lit("minutes by mean").alias("scale"), "*")))
 
 
 @register("quantile_severity")
 def q_quantile_severity(spark, sf):
-    """Severity with its 95 % interval: boosted trees and split-conformal residual quantiles."""
-    df = _labelled(spark, sf)
-    model = MD.fit_gbt(_part(df, "train"), "severity_label")
-    lo, hi = MD.conformal_bounds(model, _part(df, "calib"), "severity_label")
-    clip = lambda c: F.least(F.lit(100.0), F.greatest(F.lit(0.0), c))
-    out = model.transform(_part(df, "test"))
-    return rounded(out.select("incident_id", clip(F.col("prediction")).alias("severity"),
-                              clip(F.col("prediction") + F.lit(min(lo, 0.0))).alias("ci_lower"),
-                              clip(F.col("prediction") + F.lit(max(hi, 0.0))).alias("ci_upper"),
-                              F.col("severity_label").alias("actual")))
+    """Severity of every incident with its 95 % interval: boosted trees and split-conformal residual quantiles; ``part`` tells
+    the rows that the model was not fitted on."""
+    out = _estimates(fitted(spark, sf))
+    return rounded(out.select("incident_id", "severity", "ci_lower", "ci_upper", F.col("severity_label").alias("actual"), "part"))
 
 
 @register("calibrate_confidence")
 def q_calibrate_confidence(spark, sf):
-    """Isotonic calibration of severity and duration confidences, fitted on one half and scored on the other."""
-    p = MD.split3(A.table(spark, sf, "predictions"), "seq", 50, 0)
-    error = F.abs(F.col("predicted") - F.col("actual"))
-    raw = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("predicted") / 100.0))
+    """Isotonic calibration of severity and duration confidences, each from its own estimate and error, fitted on one half and
+    scored on the other."""
+    p = A.table(spark, sf, "predictions").select(F.col("seq").alias("id"), "predicted", "actual")
+    f = fitted(spark, sf)
+    d = f.duration.transform(_vectors(f.rows.filter("part <> 'train'"))).select(
+        F.col("incident_id").alias("id"), SC.from_log_duration(F.col("prediction")).alias("predicted"), F.col("duration_min").alias("actual"))
     out = None
-    for kind, scale in (("severity", 100.0), ("duration", 300.0)):
-        d = p.select("part", raw.alias("confidence"), (1 - F.least(F.lit(1.0), error / scale)).alias("label"))
-        m = MD.isotonic(_part(d, "train"), "confidence", "label")
-        test = m.transform(MD.assemble(_part(d, "test"), ["confidence"]))
+    for kind, rows, scale in (("severity", p, 100.0), ("duration", d, 300.0)):
+        share = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c / scale))  # noqa: E731, B023
+        rows = MD.split3(rows.dropna(), "id", 50, 0).select("part", share(F.col("predicted")).alias("confidence"), (
+            1 - share(F.abs(F.col("predicted") - F.col("actual")))).alias("label"))
+        m = MD.isotonic(_part(rows, "train"), "confidence", "label")
+        test = m.transform(MD.assemble(_part(rows, "test"), ["confidence"]))
         row = test.agg(F.avg("prediction").alias("mean_calibrated"), F.avg("label").alias("mean_label"),
                        F.avg(F.pow(F.col("prediction") - F.col("label"), 2)).alias("mse"), F.count("*").alias("rows"))
         row = row.select(F.lit(kind).alias("kind"), "*")
@@ -152,6 +220,8 @@ def q_cox_fit(spark, sf):
 @register("cox_adjust")
 def q_cox_adjust(spark, sf):
     inc, m = _cox(spark, sf)
+    from roadlens.operators import survival as SV
+
     summ = SV.km_summary(SV.km_curves(inc)).filter(F.col("grp") == SV.POPULATION).select("median_duration", "ci_lower", "ci_upper")
     out = CX.cox_adjust(inc.join(F.broadcast(summ), F.lit(True)), m, ["median_duration", "ci_lower", "ci_upper"])
     return rounded(out.select("incident_id", "cox_factor", "median_duration", "ci_lower", "ci_upper"))
@@ -166,73 +236,137 @@ def q_cox_expectation(spark, sf):
 ROUTE_TYPES = "('accident','congestion','road_closure','hazard','event')"
 
 
+def _end_text():
+    """Observed incidents have an end; of the others' missing ends some are texts."""
+    seq = F.col("arrival_seq")
+    return F.when(F.col("event_observed"), F.col("start_datetime").cast("string")).when(seq % 3 == 0, "none").when(
+        seq % 3 == 1, "").when(seq % 6 == 2, "NaT")
+
+
 @register("duration_route", A.with_views(f"""
-SELECT incident_id, CASE WHEN missing AND known THEN 'survival' WHEN missing THEN 'historical' ELSE 'model' END AS route,
-  round(CASE WHEN missing AND known THEN p.median_duration WHEN missing THEN CASE event_cause WHEN 'accident' THEN 45.0 WHEN 'congestion' THEN 70.0
-    WHEN 'road_closure' THEN 120.0 WHEN 'hazard' THEN 60.0 WHEN 'event' THEN 90.0 ELSE 70.0 END ELSE duration_min END, 6) AS duration
-FROM (SELECT incident_id, event_cause, duration_min, k % 4 < 3 AS missing,
-    event_cause IN {ROUTE_TYPES} AND coalesce(lower(priority), 'low') IN ('high', 'medium', 'low') AS known FROM incidents) i
-  CROSS JOIN (SELECT median_duration FROM km_summary WHERE grp = '__population__') p""", *KM_CTES))
+SELECT incident_id, CASE WHEN event_observed THEN 'model' WHEN known THEN 'survival' ELSE 'historical' END AS route,
+  CASE WHEN NOT event_observed AND NOT known THEN CASE event_cause WHEN 'accident' THEN 45.0 WHEN 'congestion' THEN 70.0
+    WHEN 'road_closure' THEN 120.0 WHEN 'hazard' THEN 60.0 WHEN 'event' THEN 90.0 ELSE 70.0 END END AS fixed_duration
+FROM (SELECT incident_id, event_cause, event_observed,
+    event_cause IN {ROUTE_TYPES} AND coalesce(lower(priority), 'low') IN ('high', 'medium', 'low') AS known FROM incidents) i"""))
 def q_duration_route(spark, sf):
-    inc = A.table(spark, sf, "incidents")
-    summ = SV.km_summary(SV.km_curves(inc)).filter(F.col("grp") == SV.POPULATION).select(F.col("median_duration").alias("survival"))
-    end = F.when(F.col("k") % 4 == 0, "none").when(F.col("k") % 4 == 1, "").when(F.col("k") % 4 == 2, "NaT").otherwise(
-        F.col("start_datetime").cast("string"))
-    out = MD.duration_route(inc.withColumn("end_text", end).join(F.broadcast(summ), F.lit(True)), "duration_min", "survival")
-    return rounded(out.select("incident_id", "route", "duration"))
+    """Which estimate an incident's duration comes from, and the fixed medians of the unseen kinds; the estimates of the
+    models (null here) stand in ``score_incidents``."""
+    inc = A.table(spark, sf, "incidents").withColumns({"end_text": _end_text(), "none": F.lit(None).cast("double")})
+    out = MD.duration_route(inc, "none", "none")
+    return rounded(out.select("incident_id", "route", F.col("duration").cast("double").alias("fixed_duration")))
 
 
-@register("embed_text")
+EMBED_DIMS = 64
+
+
+@register("embed_text", A.with_views(rf"""
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+')) AS word FROM documents),
+c AS (SELECT doc_id, CAST('0x' || substr(md5(word), 1, 8) AS BIGINT) % {EMBED_DIMS} AS b, count(*) AS n FROM w GROUP BY ALL),
+f AS (SELECT b, ln(((SELECT count(*) FROM documents) + 1) / (count(*) + 1)) + 1 AS idf FROM c GROUP BY b),
+s AS (SELECT doc_id, sqrt(sum(n * idf * n * idf)) AS size FROM c JOIN f USING (b) GROUP BY doc_id)
+SELECT d.doc_id, r.b AS dim, round(coalesce(c.n * f.idf / s.size, 0), 6) AS value FROM documents d, range({EMBED_DIMS}) r(b)
+LEFT JOIN c ON c.doc_id = d.doc_id AND c.b = r.b LEFT JOIN f ON f.b = r.b LEFT JOIN s ON s.doc_id = d.doc_id"""))
 def q_embed_text(spark, sf):
-    """L2-normalised hashed word counts of every document's whole text."""
-    return MD.embed_text(A.table(spark, sf, "documents"), "text", 256).select("doc_id", "embedding")
+    """Unit vectors of every document's whole text, a row per dimension: words weighted by their frequency in the corpus."""
+    docs = A.table(spark, sf, "documents")
+    out = EM.embed_text(docs, "doc_id", "text", EM.fitted_words(docs, "text", EMBED_DIMS), EMBED_DIMS)
+    return rounded(out.select("doc_id", F.posexplode("embedding").alias("dim", "value")).withColumn("dim", F.col("dim").cast("long")))
+
+
+def _attributions(f: Fits, rows: DataFrame) -> DataFrame:
+    """(incident_id, kind, values, base_value, prediction) of the given rows, for both models."""
+    behind = SE.sample_by_hash(_part(f.rows, "train"), "incident_id", BACKGROUNDS, 5).select("x").collect()  # a fixed number of rows
+    groups = [(i, i + 1) for i in range(len(INPUTS))] + [(len(INPUTS), len(INPUTS) + TEXT_DIMS)]
+    plan = SH.coalitions([list(r.x) for r in behind], groups)
+    return SH.shapley(rows, "incident_id", "x", plan, {"severity": f.severity, "duration": f.duration})
 
 
 @register("attributions")
 def q_attributions(spark, sf):
-    df = _labelled(spark, sf)
-    names = FE.STRUCTURED_COLUMNS
-    train = _part(df, "train")
-    model = MD.fit_linear(train, "severity_label")
-    means = list(train.agg(*[F.avg(n) for n in names]).first())
-    out = MD.contributions(_part(df, "test"), model, names, means)
-    return rounded(SE.topk_attributions(out, "incident_id", "contributions", names, 5))
+    """The five inputs that move every incident's severity and log duration most, by sampled Shapley values."""
+    f = fitted(spark, sf)
+    out = _attributions(f, f.rows)
+    named = out.withColumn("id", F.struct("incident_id", "kind", "base_value", "prediction"))
+    top = SE.topk_attributions(named, "id", "values", INPUTS, 5)
+    return rounded(top.select("id.*", "rk", "feature", "value"))
+
+
+def _series(spark, sf):
+    """Occupancy by road node and step, 0 in steps without an incident: the node of the series k is road node k + 1."""
+    s = A.table(spark, sf, "node_series").select((F.col("node_id") + 1).alias("node_id"), F.col("step").cast("long").alias("step"), "occupancy")
+    ends = s.agg(F.min("step").alias("a"), F.max("step").alias("b"))  # one row
+    steps = s.select("node_id").distinct().join(F.broadcast(ends), F.lit(True)).select("node_id", F.explode(F.sequence("a", "b")).alias("step"))
+    return steps.join(s, ["node_id", "step"], "left").withColumn("occupancy", F.coalesce("occupancy", F.lit(0.0)))
+
+
+def _forecast(spark, sf) -> DataFrame:
+    s = scratch_table(_series(spark, sf), "series")
+    nodes = A.table(spark, sf, "road_nodes").join(s.select("node_id").distinct(), "node_id", "left_semi")
+    return FC.forecast(s, G.knn_graph(nodes, 4))
 
 
 @register("congestion_forecast")
 def q_congestion_forecast(spark, sf):
-    """Occupancy six steps ahead per node, 0 to 100: linear in the last twelve steps."""
+    """Occupancy of every node one to six steps ahead, 0 to 100, with the errors of the model and of the last value over
+    held-out steps."""
     return rounded(_forecast(spark, sf))
 
 
-def _forecast(spark, sf, lags: int = 12, ahead: int = 6):
-    s = A.table(spark, sf, "node_series")
-    w = Window.partitionBy("node_id").orderBy("step")
-    cols = [f"lag{i}" for i in range(lags)]
-    x = s.withColumns({c: F.lag("occupancy", i).over(w) for i, c in enumerate(cols)}).withColumn("label", F.lead("occupancy", ahead).over(w))
-    x = MD.assemble(x.dropna(subset=cols), cols)
-    model = MD.fit_linear(x.filter("label is not null"), "label")
-    last = x.withColumn("_l", F.max("step").over(Window.partitionBy("node_id"))).filter("step = _l")
-    value = F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.col("prediction") * 100))
-    return model.transform(last).select("node_id", F.col("step").alias("from_step"), (F.col("step") + ahead).alias("step"), value.alias("forecast"))
+#: Words of news that count as an active alert.
+ALERT_WORDS = ("protest", "strike", "rally")
+#: Terms that every incident's search holds beside those of its cause, as in ``news_for_incident``.
+COMMON_TERMS = ("the", "und", "der")
+
+
+def _news(spark, sf, inc: DataFrame) -> DataFrame:
+    """(event_cause, news_ids, news_alert): the newest five news items of every cause's terms, and whether one holds an alert word."""
+    news = A.table(spark, sf, "news")
+    causes = inc.select("event_cause").distinct()
+    common = F.array(*[F.lit(t) for t in COMMON_TERMS])
+    terms = causes.select(F.col("event_cause").alias("incident_id"), F.concat(F.split(F.lower("event_cause"), "_"), common).alias("terms"))
+    top = L.news_for_incident(terms, news, 5, 60)
+    hot = L.news_match(news, list(ALERT_WORDS)).select("news_id", F.lit(True).alias("alert"))
+    return top.join(hot, "news_id", "left").groupBy(F.col("incident_id").alias("event_cause")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rk", "news_id"))), lambda r: r["news_id"].cast("string")), "|").alias("news_ids"),
+        F.coalesce(F.max("alert"), F.lit(False)).alias("news_alert"))
 
 
 @register("score_incidents")
 def q_score_incidents(spark, sf):
-    """The prediction row of every incident: severity and interval, duration and route, resources, forecast."""
-    df = _labelled(spark, sf)
-    model = MD.fit_linear(_part(df, "train"), "severity_label")
-    lo, hi = MD.conformal_bounds(model, _part(df, "calib"), "severity_label")
-    clip = lambda c: F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.coalesce(c, F.lit(50.0))))
-    out = model.transform(df)
-    out = out.withColumns({"severity_score": clip(F.col("prediction")), "severity_low": clip(F.col("prediction") + lo),
-                           "severity_high": clip(F.col("prediction") + hi), "predicted_by_ai": F.col("prediction").isNotNull()})
+    """The prediction row of every incident: severity and duration with intervals, route, weather and news, nearest node and
+    its forecast, resources, strongest inputs."""
+    f = fitted(spark, sf)
+    out = _estimates(f)
+    obs = A.table(spark, sf, "weather_obs").select("site", "ts", "precipitation", "obs_id")
+    rain = asof_latest(out.select("incident_id", F.expr("user_id % 8").alias("site"), F.col("start_datetime").alias("ts")), obs, ["site"], "ts",
+                       ["precipitation"], tie="obs_id")
+    rain = rain.select("incident_id", F.coalesce(F.col("precipitation") > 0, F.lit(False)).alias("weather_alert"))
+    out = out.join(rain, "incident_id").join(_news(spark, sf, out), "event_cause", "left").withColumn("news_alert", F.coalesce("news_alert", F.lit(False)))
+    # duration: the model when the end is known (an alert lengthens it), else survival or the fixed median
     cov = FE.survival_covariates(out)
-    expected = CX.cox_expectation(cov, CX.cox_fit(cov, "duration_min", "event_observed", COX_COLUMNS), "survival")
-    end = F.when(F.col("event_observed"), F.col("start_datetime").cast("string"))
-    routed = MD.duration_route(expected.withColumn("end_text", end), "duration_min", "survival")
-    routed = routed.withColumn("duration_estimate", F.coalesce("duration", F.lit(30.0))).withColumn("node_id", F.col("user_id") % 8)
-    pb = playbook_lookup(routed, playbook_rules(spark), type_col="event_cause")
-    pb = pb.join(_forecast(spark, sf).select("node_id", "forecast"), "node_id", "left")
-    return rounded(pb.select("incident_id", "severity_score", "severity_low", "severity_high", "severity_bucket", "duration_estimate",
-                             "route", "manpower", "barricading", "diversion", "forecast", "predicted_by_ai"))
+    out = CX.cox_expectation(cov, CX.cox_fit(cov, "duration_min", "event_observed", COX_COLUMNS), "survival")
+    log = SC.alert_multiplier(F.col("log_duration"), F.col("weather_alert"))
+    out = out.withColumns({"end_text": _end_text(), "by_model": SC.from_log_duration(log)})
+    out = MD.duration_route(out, "by_model", "survival")
+    low, high = f.duration_bounds
+    model, wide = F.col("route") == "model", SC.duration_interval(F.col("duration"), 0.7, 1.5)
+    out = out.withColumns({"duration_low": F.when(model, SC.from_log_duration(log + min(low, 0.0))).otherwise(wide["ci_lower"]),
+                           "duration_high": F.when(model, SC.from_log_duration(log + max(high, 0.0))).otherwise(wide["ci_upper"])})
+    # defaults of a failed prediction, then what news adds
+    boosted = SC.news_boost(F.coalesce("severity", F.lit(50.0)), F.coalesce("duration", F.lit(30.0)), F.col("news_alert"))
+    out = out.withColumns({"predicted_by_ai": F.col("severity").isNotNull() & F.col("duration").isNotNull(),
+                           "severity_score": boosted["severity"], "duration_estimate": boosted["duration"]})
+    forecast = _forecast(spark, sf).filter(F.col("horizon") == FC.HORIZONS).select("node_id", F.col("forecast").alias("congestion_ahead"))
+    nodes = A.table(spark, sf, "road_nodes").join(forecast.select("node_id"), "node_id", "left_semi")
+    out = out.join(G.nearest_node(out.select("incident_id", "latitude", "longitude"), nodes).select("incident_id", "node_id"), "incident_id", "left")
+    out = out.join(forecast, "node_id", "left")
+    why = _attributions(f, f.rows).withColumn("id", F.struct("incident_id", "kind"))
+    why = SE.topk_attributions(why, "id", "values", INPUTS, 5).groupBy("id.incident_id").agg(*[F.array_join(F.transform(F.array_sort(
+        F.collect_list(F.when(F.col("id.kind") == k, F.struct("rk", "feature")))), lambda r: r["feature"]), "|").alias(f"{k}_inputs")
+        for k in ("severity", "duration")])
+    out = playbook_lookup(out.join(why, "incident_id", "left"), playbook_rules(spark), type_col="event_cause")
+    return rounded(out.select(
+        "incident_id", "severity_score", F.col("ci_lower").alias("severity_low"), F.col("ci_upper").alias("severity_high"), "severity_bucket",
+        "duration_estimate", "duration_low", "duration_high", "route", "weather_alert", "news_alert", "news_ids", "node_id", "congestion_ahead",
+        "manpower", "barricading", "diversion", "severity_inputs", "duration_inputs", "predicted_by_ai", "part"))

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadlens.session import scratch_table
+
 
 def running_sums(df: DataFrame, part: list[str], order: str, values: list[str], bucket: Column,
                  inclusive: bool = True, prefix: str = "cum_") -> DataFrame:
@@ -72,28 +74,38 @@ def trailing_frame(df: DataFrame, part: list[str], idx: str, aggs: dict[str, tup
 
 
 def asof_latest(left: DataFrame, right: DataFrame, by: list[str], ts: str, cols: list[str],
-                bucket_seconds: int = 86400) -> DataFrame:
+                tie: str | None = None, ranges: int | None = None) -> DataFrame:
     """For every left row, the values of the latest right row with the same ``by`` key and
-    right.ts <= left.ts (unbounded look-back).
+    right.ts <= left.ts (unbounded look-back); of right rows at one time that with the largest ``tie``.
 
-    Both sides are unioned, ordered per (key, time bucket) and the last right row is
-    carried forward with ``last(ignorenulls)``; the value entering each bucket comes from a
-    one-row-per-bucket table, so no key is ever a single window partition.
+    Both sides are unioned and cut into ranges of (key, time) of even size, however the rows lie in time; inside a range the
+    last right row is carried forward, and the value entering each range comes from a table of one row per range, so no
+    key is ever a single window partition.
     """
-    r = right.select(*by, F.col(ts).alias("_ts"), F.struct(*[F.col(c) for c in cols], F.col(ts).alias("_rts")).alias("_obs"),
-                     F.lit(0).alias("_side"))
-    lcols = [c for c in left.columns]
-    l_ = left.select(*by, F.col(ts).alias("_ts"), F.lit(None).cast(r.schema["_obs"].dataType).alias("_obs"),
-                     F.lit(1).alias("_side"), F.struct(*[F.col(c) for c in lcols]).alias("_row"))
-    u = (r.withColumn("_row", F.lit(None).cast(l_.schema["_row"].dataType)).unionByName(l_)
-         .withColumn("_tb", F.floor(F.unix_micros(F.col("_ts").cast("timestamp")) / F.lit(bucket_seconds * 1_000_000))))
-    w = (Window.partitionBy(*by, "_tb").orderBy("_ts", "_side")
-         .rowsBetween(Window.unboundedPreceding, 0))
+    order = F.col(tie) if tie else F.lit(0)
+    obs = F.struct(*[F.col(c) for c in cols], F.col(ts).alias("_rts"))
+    right = right.dropna(subset=[*by, ts])
+    r = right.select(*by, F.col(ts).alias("_ts"), F.lit(0).alias("_side"), order.alias("_tie"), obs.alias("_obs"))
+    lcols = list(left.columns)
+    row = F.struct(*[F.col(c) for c in lcols])
+    l_ = left.select(*by, F.col(ts).alias("_ts"), F.lit(1).alias("_side"), F.lit(None).cast(r.schema["_tie"].dataType).alias("_tie"),
+                     F.lit(None).cast(r.schema["_obs"].dataType).alias("_obs"), row.alias("_row"))
+    u = r.withColumn("_row", F.lit(None).cast(l_.schema["_row"].dataType)).unionByName(l_)
+    key = [*by, "_ts", "_side", "_tie"]
+    u = u.repartitionByRange(*([ranges] if ranges else []), *key).sortWithinPartitions(*key)
+    u = u.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at"))
+    u = scratch_table(u, "as-of")
+    w = Window.partitionBy(*by, "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
     local = u.withColumn("_loc", F.last("_obs", ignorenulls=True).over(w))
-    per_bucket = u.groupBy(*by, "_tb").agg(F.max_by("_obs", F.when(F.col("_obs").isNotNull(), F.col("_ts"))).alias("_blast"))
-    wb = Window.partitionBy(*by).orderBy("_tb").rowsBetween(Window.unboundedPreceding, -1)
-    carry = per_bucket.select(*by, "_tb", F.last("_blast", ignorenulls=True).over(wb).alias("_carry"))
-    out = local.filter(F.col("_side") == 1).join(carry, [*by, "_tb"])
+    # only keys that lie in several ranges carry anything on: at most two a range
+    per = u.groupBy(*by, "_part").agg(F.max_by("_obs", F.when(F.col("_obs").isNotNull(), F.col("_at"))).alias("_last"))
+    per = per.withColumn("_n", F.count("*").over(Window.partitionBy(*by))).filter("_n > 1")
+    wb = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carry = per.select(*[F.col(b).alias(f"_c_{b}") for b in by], F.col("_part").alias("_c"), F.last("_last", ignorenulls=True).over(wb).alias("_carry"))
+    same = F.col("_part") == F.col("_c")
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"_c_{b}"))
+    out = local.filter(F.col("_side") == 1).join(F.broadcast(carry), same, "left")
     got = F.coalesce(F.col("_loc"), F.col("_carry"))
     return out.select(*[F.col(f"_row.{c}").alias(c) for c in lcols],
                       *[got[c].alias(c) for c in cols], got["_rts"].alias("matched_ts"))

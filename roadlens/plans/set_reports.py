@@ -81,9 +81,12 @@ def q_cache_merge(spark, sf):
 
 
 @register("node_sample", A.with_views("""
-SELECT node_id FROM road_nodes ORDER BY md5(CAST(node_id AS VARCHAR) || ':42'), node_id LIMIT 20"""))
+SELECT round(lon, 9) AS lon, round(lat, 9) AS lat, n_nodes FROM (SELECT lon, lat, min(node_id) AS node_id, count(*) AS n_nodes FROM road_nodes GROUP BY lon, lat) x
+ORDER BY md5(CAST(node_id AS VARCHAR) || ':42'), node_id LIMIT 20"""))
 def q_node_sample(spark, sf):
-    return S.sample_by_hash(A.table(spark, sf, "road_nodes"), "node_id", 20, 42).select("node_id")
+    """Twenty different places of nodes, each with the nodes that stand there."""
+    places = A.table(spark, sf, "road_nodes").groupBy("lon", "lat").agg(F.min("node_id").alias("node_id"), F.count("*").alias("n_nodes"))
+    return rounded(S.sample_by_hash(places, "node_id", 20, 42).select("lon", "lat", "n_nodes"), 9)
 
 
 @register("audit_recent", A.with_views("SELECT seq, operation, status FROM audit_entries ORDER BY seq DESC LIMIT 100"))
