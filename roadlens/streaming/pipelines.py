@@ -2,19 +2,24 @@
 
 A source is the file stream of one table, a single file or a folder of part files; every query
 checkpoints under the cluster's shared checkpoint folder and runs with ``trigger(availableNow=True)``
-in tests, so a restarted job resumes where it stopped.  Rows are processed when they arrive, however
-late: no watermark drops them.  Sinks write one folder per micro-batch and overwrite it when the
+in tests, so a restarted job resumes where it stopped.  Sinks write one folder per micro-batch and overwrite it when the
 batch is tried again, so a repeated batch is never counted twice.
+
+Window figures keep no state in the stream: a micro-batch adds its own partial counts (or sketches) to a table, and reading
+it adds them up, so nothing grows in memory and a late row simply counts in its window.  The search for duplicates is a
+stream-stream interval join whose state ends with the watermark; rows that come later than its delay are found by
+comparing the source with what the stream took, and joined in a second pass.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from roadlens.adapters import VIEWS
+from roadlens.adapters import VIEWS, table
 from roadlens.session import scratch_path
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int = 1) -> DataFrame:
@@ -70,61 +75,109 @@ def dead_letter(spark, sf_dir, max_severity: float = 100.0) -> DataFrame:
     return batches(spark, base, "out").select("incident_id", "severity_raw", "sink")
 
 
-def latest_windows(agg: DataFrame, key: str, name: str) -> DataFrame:
-    """Run an update-mode aggregation to a table of changes and return the last state of every key.
-
-    The state is one row per window; a late row updates its window.  Nothing waits for a watermark,
-    so the last windows are there as well.
-    """
-    base = run_available(agg, name, "update", lambda df, i, base: write_batch(df, base, "changes", i))
-    rows = batches(agg.sparkSession, base, "changes")
-    values = [c for c in rows.columns if c not in (key, "batch")]
-    last = rows.groupBy(key).agg(F.max_by(F.struct(*values), "batch").alias("v"))
-    return last.select(key, *[F.col(f"v.{c}").alias(c) for c in values])
+def partial_table(stream: DataFrame, partial, name: str) -> DataFrame:
+    """Run a stream whose batches each append ``partial(batch)``, a mergeable aggregate, and return all of them."""
+    base = run_available(stream, name, foreach_batch=lambda df, i, base: write_batch(partial(df), base, "partials", i))
+    return batches(stream.sparkSession, base, "partials")
 
 
 def dq_windows(spark, sf_dir) -> DataFrame:
-    s = incident_stream(spark, sf_dir)
     inside = F.col("latitude").between(-33.95, -33.75) & F.col("longitude").between(150.95, 151.35)
-    agg = s.groupBy(F.window("event_time", "1 day").alias("w")).agg(
-        F.count("*").alias("received"), F.count_if(inside).alias("passed"))
-    return latest_windows(agg.select(F.col("w.start").alias("window_start"), "received", "passed"), "window_start", "dq")
+    parts = partial_table(incident_stream(spark, sf_dir), lambda df: df.groupBy(F.window("event_time", "1 day")["start"].alias("window_start")).agg(
+        F.count("*").alias("received"), F.count_if(inside).alias("passed")), "dq")
+    return parts.groupBy("window_start").agg(F.sum("received").alias("received"), F.sum("passed").alias("passed"))
+
+
+#: Relative error of the latency quantiles, and the ratio of a sketch's bucket bounds that keeps it.
+SKETCH_ERROR = 0.01
+SKETCH_RATIO = (1 + SKETCH_ERROR) / (1 - SKETCH_ERROR)
+#: Buckets of zero and of values below it, which mirror those above.
+ZERO, BELOW = -(1 << 39), -(1 << 40)
+PANES = 5
+
+
+def sketch_bucket(x):
+    """The bucket of a value, in the order of the values: bucket b > 0 or < 0 holds (ratio ** (b - 1), ratio ** b]."""
+    at = F.ceil(F.log(F.abs(x)) / F.lit(math.log(SKETCH_RATIO))).cast("long")
+    return F.when(x > 0, at).when(x == 0, F.lit(ZERO)).when(x < 0, F.lit(BELOW) - at)
+
+
+def sketch_value(bucket):
+    """The value that stands for a bucket, at most ``SKETCH_ERROR`` off any value in it."""
+    middle = lambda b: F.lit(2.0) * F.pow(F.lit(SKETCH_RATIO), b.cast("double")) / (SKETCH_RATIO + 1)
+    return F.when(bucket == ZERO, 0.0).when(bucket > -(1 << 38), middle(bucket)).otherwise(-middle(F.lit(BELOW) - bucket))
+
+
+def pane_sketches(calls: DataFrame) -> DataFrame:
+    """(pane, bucket, n): a sketch of the latencies of every minute; sketches of one pane are merged by adding n."""
+    pane = F.window("event_time", "1 minute")["start"]
+    return calls.filter("event_time is not null").groupBy(pane.alias("pane"), sketch_bucket(F.col("latency_ms")).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+def sliding_quantiles(sketches: DataFrame, quantiles: dict[str, float], panes: int = PANES) -> DataFrame:
+    """(window_start, the quantiles, per_minute) of windows of ``panes`` minutes that start every minute, from pane sketches."""
+    back = F.explode(F.sequence(F.lit(0), F.lit(panes - 1)))
+    moved = sketches.withColumn("_back", back).withColumn("window_start", F.timestamp_add("MINUTE", -F.col("_back"), F.col("pane")))
+    whole = moved.groupBy("window_start", "bucket").agg(F.sum("n").alias("n"))
+    w = Window.partitionBy("window_start").orderBy("bucket")  # at most a few thousand buckets, however many calls
+    known = F.when(F.col("bucket").isNotNull(), F.col("n")).otherwise(0)
+    whole = whole.withColumns({"_upto": F.sum(known).over(w), "_known": F.sum(known).over(Window.partitionBy("window_start"))})
+    value = sketch_value(F.col("bucket"))
+    at = {name: F.min(F.when(F.col("bucket").isNotNull() & (F.col("_upto") >= F.ceil(F.lit(q) * F.col("_known"))), F.struct(F.col("_upto"), value.alias("v"))))["v"]
+          for name, q in quantiles.items()}
+    return whole.groupBy("window_start").agg(*[c.alias(k) for k, c in at.items()], (F.sum("n") / float(panes)).alias("per_minute"))
 
 
 def health_windows(spark, sf_dir) -> DataFrame:
     ev = table_stream(spark, sf_dir, "events")
     sc = spark.sql(VIEWS["service_calls"], events=ev).withColumn("event_time", F.col("ts").cast("timestamp"))
-    agg = sc.groupBy(F.window("event_time", "5 minutes", "1 minute").alias("w")).agg(
-        F.percentile_approx("latency_ms", 0.95).alias("p95_ms"), F.percentile_approx("latency_ms", 0.99).alias("p99_ms"),
-        (F.count("*") / 5.0).alias("per_minute"))
-    return latest_windows(agg.select(F.col("w.start").alias("window_start"), "p95_ms", "p99_ms", "per_minute"),
-                          "window_start", "health")
+    return sliding_quantiles(partial_table(sc, pane_sketches, "health"), {"p95_ms": 0.95, "p99_ms": 0.99})
+
+
+REPORT = ["incident_id", "arrival_seq", "incident_type", "event_time", "latitude", "longitude"]
+
+
+def joined_reports(source, delay: str, window_minutes: int, km: float) -> DataFrame:
+    """The stream of duplicate pairs (seq, id, typ, dup_seq, dup_id) of a report stream: ``source()`` reads it once a side."""
+    from roadlens import config as C
+    from roadlens.plans.blocking import bucket, epoch_micros, touched_buckets
+
+    w_us, deg = window_minutes * 60e6, km / C.KM_PER_DEGREE
+    cell = 2 * deg
+    taken = lambda: once(source(), delay)
+    b = taken().select(F.col("incident_id").alias("dup_id"), F.col("arrival_seq").alias("dup_seq"), F.col("incident_type").alias("b_typ"),
+                       F.col("event_time").alias("b_time"), F.col("latitude").alias("b_lat"), F.col("longitude").alias("b_lon"))
+    b = b.withColumns({"b_tb": bucket(epoch_micros(F.col("b_time")), w_us), "b_cy": bucket(F.col("b_lat"), cell), "b_cx": bucket(F.col("b_lon"), cell)})
+    p = taken().select(F.col("incident_id").alias("id"), F.col("arrival_seq").alias("seq"), F.col("incident_type").alias("typ"),
+                       F.col("event_time").alias("time"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
+    p = (p.withColumn("tb", F.explode(touched_buckets(epoch_micros(F.col("time")), w_us, w_us)))
+         .withColumn("cy", F.explode(touched_buckets(F.col("lat"), deg * (1 + 1e-9), cell)))
+         .withColumn("cx", F.explode(touched_buckets(F.col("lon"), deg * (1 + 1e-9), cell))))
+    far = F.sqrt(F.pow(F.abs(F.col("lat") - F.col("b_lat")), 2) + F.pow(F.abs(F.col("lon") - F.col("b_lon")), 2)) * F.lit(C.KM_PER_DEGREE)
+    near = F.expr(f"b_time between time - interval {window_minutes} minutes and time + interval {window_minutes} minutes")
+    same = (F.col("typ") == F.col("b_typ")) & (F.col("tb") == F.col("b_tb")) & (F.col("cy") == F.col("b_cy")) & (F.col("cx") == F.col("b_cx"))
+    return p.join(b, same & near & (F.col("dup_seq") < F.col("seq")) & (far <= km)).select("seq", "id", "typ", "dup_seq", "dup_id")
+
 
+def once(reports: DataFrame, delay: str) -> DataFrame:
+    """A report stream without resent rows (equal ids within the delay) and without those that are too late."""
+    reports = reports.select(*REPORT).dropna(subset=["incident_type", "event_time", "latitude", "longitude"])
+    return reports.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["incident_id"])
 
-def dup_pairs(spark, sf_dir, window_minutes: int = 30, km: float = 2.0) -> DataFrame:
-    """Duplicate pairs as reports arrive: every batch is compared with itself and with what came before.
 
-    The history is a table of one folder per batch and day, read only for the days a batch reaches; pairs
-    are found by the blocked join of the batch operator (type, time, place cells), so a late report
-    meets the reports around its own time.
-    """
+def dup_pairs(spark, sf_dir, window_minutes: int = 30, km: float = 2.0, delay: str = "1 day") -> DataFrame:
+    """Duplicate pairs (id, b_id, typ): the stream's, then those of the reports that came too late for it."""
     from roadlens.operators.dedup import duplicate_pairs
 
-    def compare(batch: DataFrame, batch_id: int, base: str) -> None:
-        s = batch.sparkSession
-        cols = ["incident_id", "arrival_seq", "incident_type", "event_time", "latitude", "longitude"]
-        mine = batch.select(*cols).withColumn("day", F.to_date("event_time"))
-        mine.write.mode("overwrite").partitionBy("day").parquet(f"{base}/seen/batch={batch_id}")
-        seen = s.read.parquet(f"{base}/seen").filter(F.col("batch") <= batch_id)
-        reach = [r["d"] for r in seen.filter(F.col("batch") == batch_id).select(F.explode(F.sequence(
-            F.date_sub("day", 1), F.date_add("day", 1))).alias("d")).distinct().collect()]  # days of one batch
-        near = seen.filter(F.col("day").isin(reach))
-        pairs = duplicate_pairs(near, window_minutes, km, ts_col="event_time")
-        new = near.filter(F.col("batch") == batch_id).select(F.col("arrival_seq").alias("_n")).distinct()
-        mark = lambda c: pairs.join(new, pairs[c] == new["_n"], "left_semi")
-        write_batch(mark("seq").unionByName(mark("dup_seq")).distinct(), base, "pairs", batch_id)
-    base = run_available(incident_stream(spark, sf_dir), "dups", foreach_batch=compare)
-    return batches(spark, base, "pairs").select("id", F.col("dup_id").alias("b_id"), "typ").distinct()
+    source = lambda: incident_stream(spark, sf_dir)
+    on_time = spark.read.parquet(f"{run_available(joined_reports(source, delay, window_minutes, km), 'dups')}/data")
+    taken = spark.read.parquet(f"{run_available(once(source(), delay), 'taken')}/data").select("incident_id")
+    every = table(spark, sf_dir, "incidents").withColumn("event_time", F.col("start_datetime").cast("timestamp")).select(*REPORT)
+    late = every.join(taken, "incident_id", "left_anti").dropDuplicates(["incident_id"])
+    early = every.join(taken, "incident_id", "left_semi").dropDuplicates(["incident_id"])
+    search = lambda a, b: duplicate_pairs(a, window_minutes, km, ts_col="event_time", earlier=b)
+    behind = search(late, late.unionByName(early)).unionByName(search(early, late))
+    return on_time.unionByName(behind).select("id", F.col("dup_id").alias("b_id"), "typ").distinct()
 
 
 def latest_table(spark, sf_dir) -> DataFrame:

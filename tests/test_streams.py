@@ -35,3 +35,40 @@ def test_latest_and_dead_letter(spark, tmp_path):
     rows = lambda df: sorted(tuple(r) for r in df.collect())
     assert rows(P.latest_table(spark, d)) == rows(P.latest_table(spark, SF_SMALL))
     assert P.dead_letter(spark, d).count() == 1000
+
+
+def test_duplicates_with_a_short_delay(spark, tmp_path):
+    """Most reports are too late for a short delay: the second pass finds their pairs, none twice."""
+    d = split_table(spark, tmp_path)
+    key = lambda df: sorted(tuple(r) for r in df.select("id", "b_id", "typ").collect())
+    want = key(P.dup_pairs(spark, SF_SMALL))
+    taken = spark.read.parquet(f"{P.run_available(P.once(P.incident_stream(spark, d), '1 minute'), 'short')}/data").count()
+    assert 0 < taken < 1000
+    got = key(P.dup_pairs(spark, d, delay="1 minute"))
+    assert got == want and len(set(got)) == len(got)
+
+
+def test_sketches_merge_and_keep_their_error(spark):
+    import random
+
+    rnd = random.Random(6)
+    rows = [(i, rnd.randrange(0, 3600), rnd.choice([rnd.lognormvariate(3, 2), 0.0, -rnd.random() * 50])) for i in range(4000)]
+    calls = spark.createDataFrame(rows, "seq long, s long, latency_ms double").selectExpr("*", "timestamp_seconds(1700000040 + s) as event_time")
+    parts = None
+    for i in range(3):  # sketches of parts of the rows, merged
+        part = P.pane_sketches(calls.filter(F.col("seq") % 3 == i))
+        parts = part if parts is None else parts.unionByName(part)
+    out = P.sliding_quantiles(parts, {"p10": 0.1, "p50": 0.5, "p99": 0.99}).selectExpr("unix_seconds(window_start) - 1700000040 as w", "*").collect()
+    assert len(out) == 60 + 4
+    for r in out:
+        held = sorted(v for _, s, v in rows if r.w <= s < r.w + 300)
+        assert abs(r.per_minute * 5 - len(held)) < 1e-9
+        for name, q in (("p10", 0.1), ("p50", 0.5), ("p99", 0.99)):
+            true = held[max(0, -(-int(q * 1000) * len(held) // 1000) - 1)]
+            assert abs(r[name] - true) <= P.SKETCH_ERROR * abs(true) * (1 + 1e-9)
+
+
+def test_health_of_a_folder_of_part_files(spark, tmp_path):
+    d = split_table(spark, tmp_path)
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(S.q_stream_health(spark, d)) == rows(S.q_stream_health(spark, SF_SMALL))
