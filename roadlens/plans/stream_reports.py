@@ -73,17 +73,40 @@ def _stream(spark, sf, view):
     return spark.sql(A.VIEWS[view], events=P.table_stream(spark, sf, "events"))
 
 
-@register("alert_dedup")
+def _chain(rows: str, first: str, period: int) -> str:
+    """SQL of the starts (key, t, seq) of a key's periods among ``rows`` (key, t, seq): ``first`` gives each key's first one, and the
+    first row at or after a period's end starts the next."""
+    return f"""WITH RECURSIVE r AS ({rows}), p AS ({first}
+  UNION ALL SELECT n.key, n.s.t, n.s.seq FROM (SELECT p.key, min({{'t': r.t, 'seq': r.seq}}) AS s FROM p JOIN r ON r.key = p.key AND r.t >= p.t + {period}
+    GROUP BY p.key, p.t) n)
+SELECT * FROM p"""
+
+
+_FIRST = "SELECT key, s.t, s.seq FROM (SELECT key, min({'t': t, 'seq': seq}) AS s FROM r GROUP BY key) f"
+_FIFTH = "SELECT key, t, seq FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY t, seq) AS k FROM r) f WHERE k = 5"
+FIRED_SQL = ("fired", _chain("SELECT alert_id AS key, epoch_us(ts) AS t, seq FROM alerts", _FIRST, 900_000_000))
+BLOCKS_SQL = ("blocks", _chain("SELECT service AS key, epoch_us(ts) AS t, seq FROM service_calls WHERE NOT ok", _FIFTH, 900_000_000))
+WINDOWS_SQL = ("windows", _chain("SELECT CAST(user_id AS VARCHAR) AS key, epoch_us(ts) AS t, event_id AS seq FROM events", _FIRST, 60_000_000))
+
+
+@register("alert_dedup", A.with_views("""
+SELECT a.seq, alert_id, f.seq IS NOT NULL AS fired, f.seq IS NOT NULL AND severity = 'CRITICAL' AS escalated
+FROM alerts a LEFT JOIN fired f ON f.key = a.alert_id AND f.seq = a.seq""", FIRED_SQL))
 def q_alert_dedup(spark, sf):
     return RS.alert_stream(_stream(spark, sf, "alerts"))
 
 
-@register("auth_lockout")
+@register("auth_lockout", A.with_views("""
+SELECT c.seq, service AS key, EXISTS (SELECT 1 FROM blocks b WHERE b.key = c.service AND epoch_us(c.ts) < b.t + 900000000
+  AND (epoch_us(c.ts) > b.t OR (epoch_us(c.ts) = b.t AND c.seq > b.seq))) AS rejected_locked FROM service_calls c""", BLOCKS_SQL))
 def q_auth_lockout(spark, sf):
     return RS.lockout_stream(_stream(spark, sf, "service_calls"))
 
 
-@register("rate_limit_flags")
+@register("rate_limit_flags", A.with_views("""
+SELECT e.event_id AS seq, w.key, w.t + 60000000 AS window_end,
+  row_number() OVER (PARTITION BY w.key, w.t ORDER BY e.ts, e.event_id) > 1000 AS limited
+FROM events e JOIN windows w ON w.key = CAST(e.user_id AS VARCHAR) AND epoch_us(e.ts) >= w.t AND epoch_us(e.ts) < w.t + 60000000""", WINDOWS_SQL))
 def q_rate_limit_flags(spark, sf):
     return RS.rate_stream(P.table_stream(spark, sf, "events"))
 
