@@ -11,7 +11,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadlens.session import ensure_checkpoint_dir
@@ -24,6 +24,8 @@ UNEVEN = r"[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]"
 
 #: A side of a join is broadcast only below this many rows (two longs each, 16 MB); beyond, it is shuffled.
 BROADCAST_ROWS = 1_000_000
+#: The same for links, their least neighbours and open candidates (4 MB): several of them are held at a time.
+BROADCAST_LINKS = 250_000
 
 
 def saved(df: DataFrame, tag: str) -> DataFrame:
@@ -59,10 +61,18 @@ def free(*tables: DataFrame) -> None:
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small(df: DataFrame, rows: int | None = None) -> DataFrame:
+def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a written table of two long columns for broadcast when it is counted to be small."""
     n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+    return F.broadcast(df) if n <= limit else df
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 # --- vectorised words ---------------------------------------------------------------------------
@@ -168,6 +178,12 @@ def lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64) if flat.dtype == _U else flat, type=kind))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values in order (numpy's own way hashes first, which takes far longer on names that share bits)."""
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))[:len(x)]]
+
+
 # --- groups of linked nodes ---------------------------------------------------------------------
 
 def components(links: DataFrame, tag: str = "cc") -> DataFrame:
@@ -178,13 +194,13 @@ def components(links: DataFrame, tag: str = "cc") -> DataFrame:
     as they are, a chain of n nodes takes about log n rounds.
     """
     def written(edges: DataFrame) -> tuple[DataFrame, tuple]:
-        edges = saved(edges.filter("u <> v").distinct(), tag)
+        edges = stored(edges.filter("u <> v").distinct(), tag)
         return edges, edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first()
 
     edges, now = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
     while now[0]:
-        before = now
-        few = F.broadcast if now[0] <= BROADCAST_ROWS else (lambda d: d)  # a least neighbour per node: no more rows than edges
+        before, earlier = now, edges
+        few = F.broadcast if now[0] <= BROADCAST_LINKS else (lambda d: d)  # a least neighbour per node: no more rows than edges
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(few(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -192,6 +208,7 @@ def components(links: DataFrame, tag: str = "cc") -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         little = large.join(few(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges, now = written(little.union(least.select("u", F.col("m").alias("v"))))
+        free(earlier)
         if now == before:
             break
     found = edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
@@ -214,40 +231,136 @@ def shared_keys(rows: DataFrame, tag: str) -> DataFrame:
                  .filter("lo < hi").select("key", "lo"), tag)
 
 
-def linked_groups(rows: DataFrame, sets_of, pct: int, tag: str, near=similar, items=None) -> DataFrame:
-    """(node, comp) for nodes linked by set similarity; every candidate pair shares a key of ``rows``.
+#: Keys that are sorted together before they travel, and keys to a bucket.
+PACK, PACK_BUCKET = 1 << 20, 1 << 20
 
-    ``rows``: (key, node), a written table; ``sets_of(nodes)``: (node, items array<long>, distinct), or
-    rows of another form that ``near`` compares as ``similar`` does and ``items`` turns into sets.
-    No bucket is expanded into its pairs.  Each node is first verified against the least node it
+
+def packed_members(rows: DataFrame, n: int, tag: str) -> DataFrame:
+    """(key, node, lo, n): of ``rows`` (node, keys array<long>; ``n`` rows and keys to a row at most known by count), every key that
+    different nodes hold, with its nodes; ``lo`` is one of the key's nodes, at most the node itself, and ``n`` counts them (at least).
+
+    Keys travel sorted, as packed arrays.  A batch settles its own keys first and sends one node a key, so a key that a
+    third of all rows hold reaches its bucket as one number a batch.
+    """
+    buckets = max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // PACK_BUCKET))
+    edges = np.array([-(-(j << 64) // buckets) for j in range(1, buckets)], dtype=_U)
+    names = ["key", "node", "lo", "n"]
+
+    def unlike(key: np.ndarray, node: np.ndarray):
+        """Sorted distinct (key, node), and where every key begins."""
+        order = np.lexsort((node, key))
+        key, node = key[order], node[order]
+        new = np.ones(len(key), dtype=bool)
+        new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+        key, node = key[new], node[new]
+        return key, node, np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))[:len(key)]), order[new]
+
+    def cut(key, *columns, held: bool):
+        at = np.concatenate(([0], np.searchsorted(key, edges), [len(key)]))
+        for j, (lo, hi) in enumerate(zip(at[:-1], at[1:])):
+            if lo < hi:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([j], type=pa.int32()), pa.array([held]), *[pa.array([c[lo:hi].tobytes()], type=pa.binary()) for c in (key, *columns)]],
+                    ["bucket", "held", "key", "node", "more"])
+
+    def flush(keys, nodes):
+        key, node, first, _ = unlike(np.concatenate(keys), np.concatenate(nodes))
+        count = np.diff(np.append(first, len(key)))
+        many = np.repeat(count > 1, count)
+        lo = np.repeat(node[first], count)
+        yield from cut(key[first], node[first], count, held=False)
+        yield from cut(key[many], node[many], lo[many], held=True)
+
+    def emit(batches):
+        keys, nodes, size = [], [], 0
+        for batch in batches:
+            lists = batch.column(1)
+            each = np.diff(lists.offsets.to_numpy())
+            keys.append(lists.flatten().to_numpy().view(_U))
+            nodes.append(np.repeat(batch.column(0).to_numpy(), each))
+            size += len(keys[-1])
+            if size >= PACK:
+                yield from flush(keys, nodes)
+                keys, nodes, size = [], [], 0
+        if size:
+            yield from flush(keys, nodes)
+
+    def meet(table: pa.Table) -> pa.Table:
+        held = np.array(table.column("held").to_pylist())
+
+        def column(name, which, kind=np.int64):
+            return np.concatenate([np.frombuffer(x.as_py(), dtype=kind) for x, k in zip(table.column(name), held) if k == which] or [np.zeros(0, dtype=kind)])
+
+        key, node, first, kept = unlike(column("key", False, _U), column("node", False))
+        sent, count = column("key", False, _U), column("more", False)
+        heads = key[first]
+        total = np.zeros(len(heads), dtype=np.int64)
+        np.add.at(total, np.searchsorted(heads, sent), count)
+        runs = np.diff(np.append(first, len(key)))
+        many = np.repeat(runs > 1, runs)
+        own = column("key", True, _U)
+        out = [np.concatenate([key[many], own]).view(np.int64), np.concatenate([node[many], column("node", True)]),
+               np.concatenate([np.repeat(node[first], runs)[many], column("more", True)]),
+               np.concatenate([np.repeat(total, runs)[many], total[np.searchsorted(heads, own)]])]
+        return pa.table([pa.array(x) for x in out], names=names)
+
+    sent = rows.select("node", "keys").mapInArrow(emit, "bucket int, held boolean, key binary, node binary, more binary")
+    return stored(sent.groupBy("bucket").applyInArrow(meet, "key long, node long, lo long, n long"), f"{tag}-members")
+
+
+#: Representatives of a key that its nodes are compared with.
+KEY_REPS = 12
+
+
+def several(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """The rows of ``members`` whose keys hold nodes of several components, with ``comp``."""
+    placed = members.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    span = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
+    return placed.drop("lo").join(span, "key", "left_semi").select("key", "node", "n", "comp").distinct()
+
+
+def linked_groups(members: DataFrame, sets_of, pct: int, tag: str, near=similar, items=None) -> DataFrame:
+    """(node, comp) for nodes linked by set similarity; every candidate pair shares a key of ``members``.
+
+    ``members``: as ``packed_members`` gives them (removed in the end); ``sets_of(nodes)``: (node, items array<long>,
+    distinct), or rows of another form that ``near`` compares as ``similar`` does and ``items`` turns into sets.
+    No bucket is expanded into its pairs.  Each node is first verified against one node it
     shares a key with, and keys of just two nodes are settled so; linked nodes become components.
-    Nodes of keys that still hold several components go on to their rarest items (prefix filter): a few
+    Where a key still holds several components, its nodes are verified against ``KEY_REPS`` representatives of it, which
+    settles keys of no more nodes.  Nodes of larger keys that hold several components even then go on to their rarest items (prefix filter): a few
     representatives per item merge most components, and every pair of different components that may
     still link is verified, so none is lost.
     """
-    keys = shared_keys(rows, f"{tag}-keys")
-    members = saved(rows.join(small(keys), "key").distinct(), f"{tag}-members")
-    sets = saved(sets_of(members.select("node").distinct()), f"{tag}-sets")
+    sets = stored(sets_of(members.select("node").distinct()), f"{tag}-sets")
     first = members.filter("node <> lo").groupBy("node").agg(F.min("lo").alias("b")).select(F.col("node").alias("a"), "b")
-    two = members.groupBy("key").agg(F.count("*").alias("n"), F.max("node").alias("a"), F.max("lo").alias("b")).filter("n = 2")
-    links = saved(near(first.union(two.select("a", "b")).distinct(), sets, pct), f"{tag}-links")
-    comp = components(links, f"{tag}-cc")
-    placed = members.join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-    span = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"))
-    span = span.filter("lo < hi and n > 2").select("key")  # keys of two nodes are settled
-    still = saved(placed.join(span, "key", "left_semi").select("node").distinct(), f"{tag}-open")
+    two = members.filter("n = 2 and node <> lo").select(F.col("node").alias("a"), F.col("lo").alias("b"))
+    links = stored(near(first.union(two).distinct(), sets, pct), f"{tag}-links")
+    comp = stored(components(links, f"{tag}-cc"), f"{tag}-comp")
+    open_ = stored(several(members.filter("n > 2"), comp), f"{tag}-open")
+    reps = open_.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("node"), "node"))).filter(F.col("r") <= KEY_REPS)
+    reps = reps.select("key", F.col("node").alias("rep"), F.col("comp").alias("other"))
+    new = open_.join(reps, "key").filter("comp <> other").select(F.greatest("node", "rep").alias("a"), F.least("node", "rep").alias("b"))
+    new = stored(near(new.distinct(), sets, pct), f"{tag}-links")
+    if not new.isEmpty():
+        comp = stored(components(links.union(new), f"{tag}-cc"), f"{tag}-comp")
+    # keys of no more nodes than representatives are settled now
+    still = several(open_.filter(F.col("n") > KEY_REPS).drop("comp"), comp)
+    still = stored(still.select("node").distinct(), f"{tag}-still")
+    free(members, links, new, open_)
     if still.isEmpty():
+        free(sets)
         return comp
     head = rare_items(still, items(sets.join(still, "node", "left_semi")) if items else sets, pct, tag)
-    rows = saved(head.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")), f"{tag}-placed")
+    rows = stored(head.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")), f"{tag}-placed")
     stars = star_pairs(rows, pct, 0)
     for turn in range(1, STAR_TURNS):
         stars = stars.union(star_pairs(rows, pct, turn))
     for pairs in (lambda r: stars, lambda r: mixed_pairs(r, pct)):
-        new = saved(near(pairs(rows).distinct(), sets, pct), f"{tag}-links")
+        new = stored(near(pairs(rows).distinct(), sets, pct), f"{tag}-links")
         if not new.isEmpty():
-            comp = saved(components(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(new), f"{tag}-cc"), f"{tag}-cc")
+            comp = stored(components(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(new), f"{tag}-cc"), f"{tag}-comp")
             rows = head.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    free(sets, head)
     return comp
 
 
@@ -264,7 +377,7 @@ def rare_items(nodes: DataFrame, sets: DataFrame, pct: int, tag: str) -> DataFra
     least as many items as these words differ in bits.
     """
     held = sets.join(nodes, "node").select("node", F.size("items").alias("n"), F.explode("items").alias("item"))
-    held = saved(held, f"{tag}-held")
+    held = stored(held, f"{tag}-held")
     seen = held.groupBy("item").agg(F.count("*").alias("freq")).filter("freq > 1")
     flip = F.expr("shiftleft(1L, cast(item & 63 as int))")
     parity = [F.bit_xor(F.when(F.expr("shiftright(item, 6) & 7") == j, flip).otherwise(F.lit(0).cast("long"))).alias(f"s{j}")
@@ -273,7 +386,7 @@ def rare_items(nodes: DataFrame, sets: DataFrame, pct: int, tag: str) -> DataFra
         F.sort_array(F.collect_list(F.struct(F.coalesce("freq", F.lit(1)).alias("freq"), "item"))).alias("o"), *parity)
     lead = F.expr(f"slice(o, 1, int(n - ceil(n * {pct} / 100.0)) + 1)")
     head = order.select("node", "n", *_PARITY, F.posexplode(lead).alias("pos", "x")).filter("x.freq > 1")
-    return saved(head.select(F.col("x.item").alias("item"), "node", "n", "pos", *_PARITY), f"{tag}-head")
+    return stored(head.select(F.col("x.item").alias("item"), "node", "n", "pos", *_PARITY), f"{tag}-head")
 
 
 def may_link(a, b, pct: int):

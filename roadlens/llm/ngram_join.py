@@ -5,19 +5,20 @@ sizes in the same or in neighbouring *bands* and differ in at most k items, wher
 band's largest size.  For every band the 64-bit item domain is cut into n1 ranges and each of them
 into n2; if two sets differ in at most k items, some first-level range holds at most k2 of the
 differences, so the two agree on some choice of n2 - k2 of its parts.  Each choice, hashed with band,
-range and content, is one signature: a pair over the threshold always shares one.  The cheapest such
-scheme, used here by default, is n1 = k + 1 ranges with k2 = 0 (one subset each); ``parts`` > 1
-enumerates subsets of ``parts`` with one part left out.
+range and content, is one signature: a pair over the threshold always shares one.  By default half as many
+ranges as differences are cut into ``parts`` = 3, and the subsets with one part left out (k2 = 1) are enumerated;
+``parts`` = 1 is plain partitioning, n1 = k + 1 ranges with k2 = 0.
 
 Scale: one Arrow pass hashes all words of a chunk of texts at once, keeps only signatures (about
-(1 - t) / (1 + t) * 4 per shingle), and nodes are classes of equal sets, so thousands of copies
-are one node.  Signatures meet in one partially aggregated group-by; only those held by several
+(1 - t) / (1 + t) * 6 per shingle), and nodes are classes of equal sets, so thousands of copies
+are one node.  Signatures travel sorted and packed, and meet by ranges; only those held by several
 classes go further, where pairs are verified against one representative per signature and the rest
 by rarest shared items (``common.linked_groups``); nothing is ever expanded into all pairs.
 
 Defined results: a null or wordless text has an empty set and links with nothing; a text with fewer
-words than a shingle is one shingle; repeated rows get equal results; a null doc_id takes no part in
-links and has a null component; an empty table gives an empty table; other columns are not read.
+words than a shingle is one shingle; repeated rows get equal results; a row with a null doc_id is linked like any
+other, but never names a component (null only if no reachable row has an id); an empty table gives an empty table;
+other columns are not read (``keep_one`` keeps them).
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from pyspark.sql import functions as F
 from roadlens.llm import common as C
 
 _U = np.uint64
+#: Parts of a range, one of which may hold a difference; 1: plain partitioning.
+PARTS = 3
 _FOLD = (0x9E6C63D0876A9F2B, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA6B2F2A1D4D,
          0xFF51AFD7ED558CCD, 0xB492B66FBE98F273, 0xA24BAED4963EE407)
 
@@ -46,7 +49,7 @@ def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
     x = words[:len(words) - n + 1] * _U(_FOLD[0])
     for j in range(1, n):
         x = x + words[j:len(words) - n + 1 + j] * _U(_FOLD[j % 8])
-    return np.unique(C.mix(x ^ (x >> _U(29))))
+    return C.distinct(C.mix(x ^ (x >> _U(29))))
 
 
 def bands(pct: int, upto: int) -> list[tuple[int, int]]:
@@ -61,7 +64,7 @@ def bands(pct: int, upto: int) -> list[tuple[int, int]]:
 class PartEnum:
     """Signatures of a sorted array of distinct 64-bit items."""
 
-    def __init__(self, pct: int, parts: int = 1):
+    def __init__(self, pct: int, parts: int = PARTS):
         self.pct, self.parts, self.edges, self.table = pct, parts, {}, []
 
     def band(self, size: int) -> int:
@@ -105,73 +108,87 @@ class PartEnum:
         return np.concatenate(out)
 
 
-def signatures(docs: DataFrame, n: int, pct: int, parts: int = 1) -> DataFrame:
-    """(doc_id, n_shingles, cls, sigs): cls names the set (null when empty), sigs its signatures."""
-    schema = "doc_id long, n_shingles long, cls long, sigs array<long>"
+def signatures(docs: DataFrame, n: int, pct: int, parts: int = PARTS) -> DataFrame:
+    """(row, doc_id, tx, n_shingles, cls, sigs) of (row, doc_id, text): tx names the text, cls the set (null when empty), sigs its
+    signatures."""
+    schema = "row long, doc_id long, tx long, n_shingles long, cls long, sigs array<long>"
 
     def run(batches):
         scheme = PartEnum(pct, parts)
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            for first, bounds, words, _, _, _ in C.text_words(texts, lower=True):
-                sets = [shingle_hashes(words[a:b], n) for a, b in zip(bounds[:-1], bounds[1:])]
-                size = np.array([len(s) for s in sets], dtype=np.int64)
-                cls = C.mix(np.array([C.mix(s * _U(_FOLD[3])).sum(dtype=_U) for s in sets], dtype=_U) ^ size.astype(_U))
+            for first, sets, size, cls in batch_sets(batch.column(3), n):
                 sigs = [scheme.signatures(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(first, len(sets)), pa.array(size), pa.array(cls.view(np.int64), mask=size == 0),
-                     C.lists(sigs, pa.int64())], ["doc_id", "n_shingles", "cls", "sigs"])
+                    [*[batch.column(i).slice(first, len(sets)) for i in range(3)], pa.array(size),
+                     pa.array(cls.view(np.int64), mask=size == 0), C.lists(sigs, pa.int64())],
+                    ["row", "doc_id", "tx", "n_shingles", "cls", "sigs"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    text = F.col("text").cast("string")
+    return docs.select("row", F.col("doc_id").cast("long"), F.xxhash64(text), text).mapInArrow(run, schema)
 
 
-def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, cls, items) with the sorted distinct shingle hashes."""
+def batch_sets(texts: pa.Array, n: int):
+    """Yield (first row, shingle sets, their sizes, their names) for runs of texts."""
+    for first, bounds, words, _, _, _ in C.text_words(texts, lower=True):
+        sets = [shingle_hashes(words[a:b], n) for a, b in zip(bounds[:-1], bounds[1:])]
+        size = np.array([len(s) for s in sets], dtype=np.int64)
+        yield first, sets, size, C.mix(np.array([C.mix(s * _U(_FOLD[3])).sum(dtype=_U) for s in sets], dtype=_U) ^ size.astype(_U))
+
+
+def shingle_sets(texts: DataFrame, n: int) -> DataFrame:
+    """(cls, items) of rows (text): the sorted distinct shingle hashes."""
 
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            for first, bounds, words, _, _, _ in C.text_words(texts, lower=True):
-                sets = [shingle_hashes(words[a:b], n) for a, b in zip(bounds[:-1], bounds[1:])]
-                size = np.array([len(s) for s in sets], dtype=_U)
-                cls = C.mix(np.array([C.mix(s * _U(_FOLD[3])).sum(dtype=_U) for s in sets], dtype=_U) ^ size)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(first, len(sets)), pa.array(cls.view(np.int64)), C.lists(sets, pa.int64())],
-                    ["doc_id", "cls", "items"])
+            for _, sets, _, cls in batch_sets(batch.column(0), n):
+                yield pa.RecordBatch.from_arrays([pa.array(cls.view(np.int64)), C.lists(sets, pa.int64())], ["cls", "items"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, cls long, items array<long>")
+    return texts.mapInArrow(run, "cls long, items array<long>")
 
 
-def near_groups(docs: DataFrame, n: int = 5, pct: int = 80, parts: int = 1) -> DataFrame:
-    """(doc_id, n_shingles, component_id): the least doc_id reachable over links of at least ``pct`` %
-    Jaccard similarity of n-word shingle sets; a document without links is its own component."""
-    docs = docs.select("doc_id", "text")
-    sig = C.saved(signatures(docs, n, pct, parts), "partenum")
-    rows = sig.filter("doc_id is not null").select(F.explode("sigs").alias("key"), F.col("cls").alias("node"))
-    least = C.saved(sig.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id")), "classes")
+def linked_rows(docs: DataFrame, n: int, pct: int, parts: int) -> DataFrame:
+    """(row, doc_id, tx, n_shingles, cls, comp) of (row, doc_id, text): comp names the group of a row's set (null when empty)."""
+    sig = C.stored(signatures(docs, n, pct, parts), "partenum")
+    held = sig.filter("cls is not null")
+    members = C.packed_members(held.select(F.col("cls").alias("node"), F.col("sigs").alias("keys")),
+                               held.agg(F.sum(F.size("sigs"))).first()[0] or 0, "partenum")
+    rows = C.stored(sig.drop("sigs"), "sets")
+    C.free(sig)
 
     def sets_of(nodes: DataFrame) -> DataFrame:
-        wanted = C.saved(least.join(nodes, least["cls"] == nodes["node"], "left_semi"), "wanted")
-        texts = docs.join(C.small(wanted.select("doc_id")), "doc_id", "left_semi")
-        made = shingle_sets(texts, n).join(wanted.select("cls"), "cls", "left_semi")
+        text = rows.join(C.small(nodes, limit=C.BROADCAST_LINKS), rows["cls"] == nodes["node"], "left_semi").groupBy("cls").agg(F.min("tx").alias("tx"))
+        wanted = C.stored(text, "wanted")
+        of = docs.select(F.col("text").cast("string").alias("text")).withColumn("tx", F.xxhash64("text"))
+        of = of.join(C.small(wanted.select("tx").distinct(), limit=C.BROADCAST_LINKS), "tx", "left_semi").select("text")
+        made = shingle_sets(of, n).join(wanted.select("cls"), "cls", "left_semi")
         return made.select(F.col("cls").alias("node"), "items").dropDuplicates(["node"])
 
-    comp = C.linked_groups(rows, sets_of, pct, "partenum")
-    named = least.join(comp.withColumnRenamed("node", "cls"), "cls", "left").select(
-        "cls", "doc_id", F.coalesce("comp", "cls").alias("comp"))
-    first = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(first, "comp").select("cls", "component_id")
-    out = sig.select("doc_id", "n_shingles", "cls").join(named, "cls", "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    comp = C.linked_groups(members, sets_of, pct, "partenum").withColumnRenamed("node", "cls")
+    return rows.join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+
+
+def near_groups(docs: DataFrame, n: int = 5, pct: int = 80, parts: int = PARTS) -> DataFrame:
+    """(doc_id, n_shingles, component_id): the least doc_id reachable over links of at least ``pct`` %
+    Jaccard similarity of n-word shingle sets; a document without links is its own component."""
+    rows = C.stored(linked_rows(docs.select(F.lit(0).cast("long").alias("row"), "doc_id", "text"), n, pct, parts).drop("row", "tx"), "placed")
+    classes = rows.filter("cls is not null").groupBy("cls", "comp").agg(F.min("doc_id").alias("least"))
+    least = classes.groupBy("comp").agg(F.min("least").alias("component_id"))
+    named = C.stored(classes.select("cls", "comp").join(least, "comp").select("cls", "component_id"), "named")
+    out = rows.join(named, "cls", "left")
+    own = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"))
 
 
-def keep_one(docs: DataFrame, n: int = 5, pct: int = 80) -> DataFrame:
-    """The documents without those that another of their group stands for (the least doc_id stays)."""
-    groups = near_groups(docs, n, pct)
-    gone = groups.filter("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(C.saved(gone, "gone"), "doc_id", "left_anti")
+def keep_one(docs: DataFrame, n: int = 5, pct: int = 80, parts: int = PARTS) -> DataFrame:
+    """The documents without those that another of their group stands for: the first by doc_id (null last), text and row stays.
+    Rows are told apart whatever their doc_id is."""
+    row = C.fresh(docs, "row")
+    held = C.stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered-docs")
+    rows = linked_rows(held.select(F.col(row).alias("row"), "doc_id", "text"), n, pct, parts).filter("cls is not null")
+    rows = C.stored(rows.select("comp", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tx", "row").alias("place")), "placed")
+    first = rows.groupBy("comp").agg(F.min("place").alias("first"))
+    gone = rows.join(first, "comp").filter("place.row <> first.row").select(F.col("place.row").alias(row))
+    return held.join(C.small(C.stored(gone, "gone")), row, "left_anti").select(*docs.columns)
 
 
 def op6_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -131,8 +131,8 @@ def test_substring_same_id_other_text(spark):
     assert [(r.doc_id, r.n_words, r.n_removed) for r in got] == [(None, 60, 0), (1, 60, 0), (1, 61, 0), (2, 61, 60)]
 
 
-def line_sets(line, width):
-    return {line[m.start():m.start() + width] for m in re.finditer(r"(?<![^ ])[^ ]", line)}
+def every_window(line, width):
+    return {line[i:i + width] for i in range(max(1, len(line) - width + 1))}
 
 
 def test_line_dedup(spark):
@@ -146,9 +146,9 @@ def test_line_dedup(spark):
             if x:
                 places.append((d, p, x))
     lines = sorted({x for _, _, x in places})
-    feats = {x: line_sets(x, line_dedup.WIDTH) for x in lines}
+    feats = {x: every_window(x, line_dedup.WIDTH) for x in lines}
     held, links = collections.defaultdict(set), set()
-    for i, x in enumerate(lines):
+    for x in lines:
         for f in feats[x]:
             held[f].add(x)
     for x in lines:
@@ -171,10 +171,6 @@ def test_line_dedup(spark):
     assert {r.text for r in kept.filter("doc_id = 23").collect()} == {"second other line"}
 
 
-def every_window(line, width):
-    return {line[i:i + width] for i in range(max(1, len(line) - width + 1))}
-
-
 def test_line_dedup_whole_lines(spark):
     """Lines are compared by windows at every character: a like beginning is not enough, one changed letter is no bar."""
     alike = [("https://example.com/a/one", "https://example.com/b/entirely/other"), ("長い文章の始まりはここまで同じですが後は違う話になります", "長い文章の始まりはここまで同じですがその続きに別の人が来た"),
