@@ -13,9 +13,9 @@ by all three and once to counts, so a line in a third of all documents is pre-ag
 are few; they are joined to the lines by a join that the planner may broadcast by measured size or
 split for skew.  Everything per text (duplicate lines, repeated word windows) stays inside its row.
 
-Defined results: a null text has no words and no lines; a null host is a host of its own; a null doc_id is
-kept with its own figures (its lines count, and only the base rules judge it); rows repeated under one
-doc_id are judged together; an empty table gives an empty table; other columns are not read.
+Defined results: a null text has no words and no lines; a null host is a host of its own; a row is judged by its own host
+and text alone, so null and repeated doc_ids change nothing and equal rows are judged alike; an empty table gives an
+empty table; other columns are not read (``keep_good`` keeps them).
 """
 
 from __future__ import annotations
@@ -86,12 +86,12 @@ def line_name(line: Column) -> Column:
 
 
 def lines_of(docs: DataFrame, host: str) -> DataFrame:
-    """(doc_id, host, line, chars, sketch): normalised lines with a character, by hash; sketch: a hash of all
+    """(host, tx, line, chars, sketch): normalised lines with a character, by hash; tx: the text's hash; sketch: a hash of all
     lines of the document in order.  A document without lines has one row with a null line."""
     named = F.transform(normal_lines(F.col("text")), lambda x: F.struct(line_name(x).alias("line"), F.char_length(x).alias("chars")))
-    d = docs.select("doc_id", F.col(host).alias("host"), named.alias("x"))
+    d = docs.select(F.col(host).alias("host"), F.xxhash64("text").alias("tx"), named.alias("x"))
     d = d.withColumn("sketch", F.xxhash64(F.col("x.line")))
-    return d.select("doc_id", "host", "sketch", F.explode_outer("x").alias("x")).select("doc_id", "host", "x.line", "x.chars", "sketch")
+    return d.select("host", "tx", "sketch", F.explode_outer("x").alias("x")).select("host", "tx", "x.line", "x.chars", "sketch")
 
 
 def hosts_of(lines: DataFrame) -> DataFrame:
@@ -109,41 +109,48 @@ def frequent_lines(lines: DataFrame, hosts: DataFrame, line_docs: int, line_shar
 
 def depleted(docs: DataFrame, host: str = "source", line_docs: int = LINE_DOCS, line_share: int = LINE_SHARE,
              left_share: int = LEFT_SHARE) -> DataFrame:
-    """(doc_id, chars, gone) of documents that lose lines; depleted: 100 * (chars - gone) < left_share * chars."""
-    lines = C.saved(lines_of(docs, host), "lines")
-    often = C.saved(frequent_lines(lines, hosts_of(lines), line_docs, line_share), "frequent")
+    """(host, tx, chars, gone) of texts that lose lines; depleted: 100 * (chars - gone) < left_share * chars.  Both sums
+    take a text as often as the host holds it, which their ratio doesn't see."""
+    lines = C.stored(lines_of(docs, host), "lines")
+    often = C.stored(frequent_lines(lines, hosts_of(lines), line_docs, line_share), "frequent")
     hit = lines.join(often.withColumnRenamed("host", "h").withColumnRenamed("line", "l"),
                      (F.col("line") == F.col("l")) & F.col("host").eqNullSafe(F.col("h")))
-    gone = hit.filter("doc_id is not null").groupBy("doc_id").agg(F.sum("chars").alias("gone"))
-    whole = lines.join(gone.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.sum("chars").alias("chars"))
-    return whole.join(gone, "doc_id").filter(F.lit(100) * (F.col("chars") - F.col("gone")) < F.lit(left_share) * F.col("chars"))
+    gone = C.stored(hit.groupBy("host", "tx").agg(F.sum("chars").alias("gone")), "losing")
+    whole = lines.join(gone.select("tx").distinct(), "tx", "left_semi").groupBy("host", "tx").agg(F.sum("chars").alias("chars"))
+    gone = gone.select(F.col("host").alias("h"), F.col("tx").alias("t"), "gone")
+    both = whole.join(gone, (F.col("tx") == F.col("t")) & F.col("host").eqNullSafe(F.col("h"))).drop("h", "t")
+    bad = both.filter(F.lit(100) * (F.col("chars") - F.col("gone")) < F.lit(left_share) * F.col("chars"))
+    return C.stored(bad, "depleted")
 
 
 def judged(docs: DataFrame, host: str = "source") -> DataFrame:
-    """doc_id, the figures, base_failed and kept of every row."""
-    bad = C.saved(depleted(docs, host).select("doc_id", F.lit(True).alias("_bad")), "depleted")
-    out = rule_figures(docs.select("doc_id", "text")).drop("text").withColumn("base_failed", base_failed())
-    out = out.join(bad, "doc_id", "left")
-    return out.withColumn("kept", ~F.col("base_failed") & F.col("_bad").isNull()).drop("_bad")
+    """doc_id, host, tx (the text's hash), the figures, base_failed and kept of every row."""
+    bad = depleted(docs, host).select(F.col("host").alias("h"), F.col("tx").alias("t"))
+    out = rule_figures(docs.select("doc_id", F.col(host).alias("host"), "text", F.xxhash64("text").alias("tx"))).drop("text")
+    out = out.withColumn("base_failed", base_failed())
+    out = out.join(bad, (F.col("tx") == F.col("t")) & F.col("host").eqNullSafe(F.col("h")), "left")
+    return out.withColumn("kept", ~F.col("base_failed") & F.col("t").isNull()).drop("h", "t")
 
 
 def without_frequent_lines(docs: DataFrame, host: str = "source") -> DataFrame:
-    """The lines that stay of every document: (doc_id, host, line, chars, sketch) not over the limits."""
-    lines = C.saved(lines_of(docs, host), "lines")
-    often = C.saved(frequent_lines(lines, hosts_of(lines), LINE_DOCS, LINE_SHARE), "frequent")
+    """The lines that stay of every document: (host, tx, line, chars, sketch) not over the limits."""
+    lines = C.stored(lines_of(docs, host), "lines")
+    often = C.stored(frequent_lines(lines, hosts_of(lines), LINE_DOCS, LINE_SHARE), "frequent")
     often = often.withColumnRenamed("host", "h").withColumnRenamed("line", "l")
     return lines.filter("line is not null").join(often, (F.col("line") == F.col("l")) & F.col("host").eqNullSafe(F.col("h")), "left_anti")
 
 
 def keep_good(docs: DataFrame, host: str = "source") -> DataFrame:
-    """The documents whose rows are kept."""
-    bad = C.saved(judged(docs, host).filter("not kept").select("doc_id").distinct(), "rejected")
-    return docs.join(bad, "doc_id", "left_anti")
+    """The rows that are kept, with all their columns."""
+    bad = C.stored(judged(docs, host).filter("not kept").select("host", "tx").distinct(), "rejected")
+    h, t = C.fresh(docs, "h"), C.fresh(docs, "t")
+    bad = bad.select(F.col("host").alias(h), F.col("tx").alias(t))
+    return docs.join(bad, (F.xxhash64(docs["text"]) == F.col(t)) & docs[host].eqNullSafe(F.col(h)), "left_anti")
 
 
 def op5_quality(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return judged(docs)
+    return judged(docs).drop("host", "tx")
 
 
 OP5_SQL = rf"""
@@ -153,15 +160,15 @@ win AS (SELECT doc_id, p, md5(array_to_string(list_slice(w, p, p + 7), ' ')) AS
 again AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, g) AS n FROM win) WHERE n > 1),
 rep AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, pos FROM (SELECT doc_id, unnest(range(p, p + 8)) AS pos FROM again))
   GROUP BY doc_id),
-raw AS (SELECT doc_id, source, unnest(string_split(t, chr(10))) AS line FROM d),
+raw AS (SELECT doc_id, source, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS p FROM d),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM raw WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
-norm AS (SELECT doc_id, source, trim(regexp_replace(regexp_replace(lower(line), '[1-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS x
+norm AS (SELECT doc_id, source, p, trim(regexp_replace(regexp_replace(lower(line), '[1-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS x
   FROM raw),
-ln AS (SELECT doc_id, source, length(x) AS chars, CAST('0x' || substr(md5(x), 1, 15) AS BIGINT) AS line FROM norm WHERE x <> ''),
-two AS (SELECT doc_id, list_sort(list_distinct(list(line))) AS l FROM ln GROUP BY doc_id),
-sk AS (SELECT ln.*, CASE WHEN line = l[1] THEN coalesce(l[2], 0) ELSE l[1] END AS sketch FROM ln JOIN two USING (doc_id)),
-hosts AS (SELECT source, count(*) AS docs FROM documents GROUP BY source),
-often AS (SELECT s.source, line FROM (SELECT source, line, count(DISTINCT sketch) AS n FROM sk GROUP BY ALL) s
+ln AS (SELECT doc_id, source, length(x) AS chars, CAST('0x' || substr(md5(x), 1, 15) AS BIGINT) AS line, p FROM norm WHERE x <> ''),
+sk AS (SELECT d.doc_id, d.source, md5(coalesce(string_agg(CAST(line AS VARCHAR), ',' ORDER BY p), '')) AS sketch
+  FROM d LEFT JOIN ln USING (doc_id) GROUP BY ALL),
+hosts AS (SELECT source, count(DISTINCT sketch) AS docs FROM sk GROUP BY source),
+often AS (SELECT s.source, line FROM (SELECT ln.source, line, count(DISTINCT sketch) AS n FROM ln JOIN sk USING (doc_id) GROUP BY ALL) s
   JOIN hosts h ON s.source IS NOT DISTINCT FROM h.source WHERE n > {LINE_DOCS} AND 1000 * n > {LINE_SHARE} * docs),
 bad AS (SELECT doc_id FROM (SELECT ln.doc_id, sum(chars) AS chars,
     coalesce(sum(chars) FILTER (WHERE o.line IS NOT NULL), 0) AS gone
