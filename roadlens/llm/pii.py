@@ -23,6 +23,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -198,10 +200,10 @@ def spans(text: str) -> list[tuple[int, int, int, int, int]]:
             short = kind == 2 and not ok and len(d := digits_of(text[a:b])) < 16 and luhn(d)
             out.append((kind, a, b, int(ok), code_of(kind, vote(kind, text, a, b, 1 if ok or short else -1))))
     base = sorted((a, b) for _, a, b, ok, _ in out if ok)
-    starts = [a for a, _ in base]
+    starts, reach = [a for a, _ in base], list(accumulate((b for _, b in base), max))  # the furthest end of the spans so far
     for kind, a, b in more_matches(text):
-        i = int(np.searchsorted(starts, b))
-        if not any(base[j][1] > a for j in range(max(0, i - 4), i)):  # not over a base span
+        i = bisect_left(starts, b)
+        if not i or reach[i - 1] <= a:  # not over a base span
             out.append((kind, a, b, 0, code_of(kind, vote(kind, text, a, b, 0))))
     return sorted(out)
 
