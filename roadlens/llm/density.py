@@ -9,10 +9,11 @@ links and LT link tags of its subtree give its link-adjusted density
 
 and the density sum of its children.  The node with the largest sum is found; the least density on its
 path from the body is the threshold; every node at or over it that isn't marked yet marks the subtree
-with the largest sum inside it.  Marked subtrees, whole up to an enclosing article, are the text.
+with the largest sum inside it.  Marked subtrees, whole up to an enclosing article, are the text.  Where a page marks
+any text inside an article or main element, only text inside such elements counts (all of them).
 
 Pages are independent rows in Arrow batches; a task holds one page's tree at a time, time and memory
-follow the page length, and nothing is shuffled.
+follow the page length however deep its elements are nested, and nothing is shuffled.
 
 Defined results: a null or empty html, or one without article text, gives an empty text; broken markup
 is repaired as far as needed (unclosed elements end with their parent, an unterminated comment or
@@ -25,6 +26,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -57,7 +59,7 @@ LIMITS = set("ul ol dl table body html article section div".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "noise", "holds", "link", "chars", "tags", "lchars", "ltags", "density", "sum", "mark", "own")
+    __slots__ = ("tag", "parent", "kids", "noise", "holds", "link", "chars", "tags", "lchars", "ltags", "density", "sum", "mark", "own", "article", "main", "top")
 
     def __init__(self, tag: str, parent: "Node | None", noise: bool = False):
         self.tag, self.parent, self.kids, self.noise, self.holds = tag, parent, [], noise, False
@@ -65,6 +67,10 @@ class Node:
         self.chars = self.tags = self.lchars = self.ltags = 0
         self.density = self.sum = 0.0
         self.mark = self.own = False
+        # the outermost article and the innermost main around the element
+        self.article = parent.article if parent and parent.article else self if tag == "article" else None
+        self.main = self if tag == "main" else parent.main if parent else None
+        self.top = self
 
 
 def named(attrs: str) -> tuple[bool, bool]:
@@ -84,7 +90,11 @@ def tree(page: str) -> tuple[Node, list[Node], list[tuple[Node, str, int]]]:
     """(root, nodes in page order, text segments as (node, text, block number))."""
     root = Node("#root", None)
     nodes, texts, stack, block = [root], [], [root], 0
-    at, end = 0, len(page)
+    at, end, opened = 0, len(page), Counter()
+
+    def close_from(i: int) -> None:
+        opened.subtract(n.tag for n in stack[i:])
+        del stack[i:]
 
     def add_text(raw: str) -> None:
         texts.append((stack[-1], html.unescape(raw) if "&" in raw else raw, block))
@@ -107,23 +117,23 @@ def tree(page: str) -> tuple[Node, list[Node], list[tuple[Node, str, int]]]:
         if tag in BLOCK:
             block += 1
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if opened[tag] > 0 else ():
                 if stack[i].tag == tag:
-                    del stack[i:]
+                    close_from(i)
                     break
                 if stack[i].tag in LIMITS and tag not in BLOCK:  # a stray inline end tag closes no block
                     break
             continue
-        if tag in ("html", "body") and any(n.tag == tag for n in stack):
+        if tag in ("html", "body") and opened[tag] > 0:
             continue
-        if len(stack) > 1 and any(n.tag == "head" for n in stack) and tag not in HEAD:
-            del stack[next(i for i, n in enumerate(stack) if n.tag == "head"):]
+        if opened["head"] > 0 and tag not in HEAD:
+            close_from(next(i for i, n in enumerate(stack) if n.tag == "head"))
         closes = CLOSES.get(tag, ())
         if tag in BLOCK and tag != "body":
             closes = (*closes, "p")
-        for i in range(len(stack) - 1, 0, -1) if closes else ():
+        for i in range(len(stack) - 1, 0, -1) if any(opened[c] > 0 for c in closes) else ():
             if stack[i].tag in closes:
-                del stack[i:]
+                close_from(i)
                 break
             if stack[i].tag in LIMITS:
                 break
@@ -152,6 +162,7 @@ def tree(page: str) -> tuple[Node, list[Node], list[tuple[Node, str, int]]]:
             texts.append((parent, " ", block))
         elif tag not in VOID:  # a slash before the bracket closes nothing in html
             stack.append(node)
+            opened[tag] += 1
     return root, nodes, texts
 
 
@@ -188,14 +199,19 @@ def measure(nodes: list[Node], texts: list[tuple[Node, str, int]]) -> None:
         n.density = c / t * math.log(max(c / lc * t / lt, 1.0)) / math.log(base)
     for n in nodes:
         n.sum = sum(k.density for k in n.kids if not k.noise) or n.density
+    for n in reversed(nodes):  # the node with the largest sum in every subtree, the first of equal ones
+        for k in n.kids:
+            if not k.noise and k.top.sum > n.top.sum:
+                n.top = k.top
 
 
-def subtree(n: Node):
+def mark_all(n: Node) -> None:
+    """Mark the subtree of n; below a marked node everything is marked already."""
     todo = [n]
     while todo:
         x = todo.pop()
-        if not x.noise:
-            yield x
+        if not x.noise and not x.mark:
+            x.mark = True
             todo.extend(x.kids)
 
 
@@ -206,8 +222,8 @@ def main_text(page: str | None) -> str:
     root, nodes, texts = tree(page)
     measure(nodes, texts)
     body = next((n for n in nodes if n.tag == "body" and not n.noise), root)
-    best = max(subtree(body), key=lambda n: n.sum, default=None)
-    if best is None or not best.chars:
+    best = body.top
+    if not best.chars or best.noise:
         return ""
     limit, up = best.density, best
     while up is not None:
@@ -216,24 +232,14 @@ def main_text(page: str | None) -> str:
             break
         up = up.parent
 
-    def choose(n: Node) -> None:
-        """Mark the subtree with the largest sum in n, whole up to an enclosing article."""
-        top = max(subtree(n), key=lambda x: x.sum)
-        up, whole = top, None
-        while up is not None:
-            if up.tag == "article" or (up.tag == "main" and whole is None):
-                whole = up
-            up = up.parent
-        for x in subtree(whole or top):
-            x.mark = True
-
     todo = [body]
     while todo:
         n = todo.pop()
         if n.mark or n.noise or n.density < limit:
             continue
-        choose(n)
+        mark_all(n.top.article or n.top.main or n.top)  # the largest sum in n, whole up to an enclosing article
         todo.extend(reversed(n.kids))
+    inside = any(n.mark and (n.article or n.main) for n in nodes)
     lines, block, parts = [], -1, []
 
     def flush() -> None:
@@ -246,7 +252,7 @@ def main_text(page: str | None) -> str:
         if b != block:
             flush()
             block = b
-        if node.mark and not node.noise:
+        if node.mark and not node.noise and (not inside or node.article or node.main):
             parts.append(text)
     flush()
     return "\n".join(lines)
