@@ -258,8 +258,8 @@ def place(rows: DataFrame, length: int, group_docs: int) -> DataFrame:
     n = rows.count()
     groups = max(1, -(-n // group_docs))
     cols = rows.columns
-    by = [c for c in ("doc_id", "start", "ids_crc32") if c in cols]
-    dealt = rows.withColumn("_group", F.pmod(F.xxhash64(F.lit(29), *by), F.lit(groups)))
+    # pieces are dealt by the number of their written row, so equal pieces (copies, empty texts) are spread like others
+    dealt = rows.withColumn("_group", F.pmod(F.xxhash64(F.lit(29), F.monotonically_increasing_id()), F.lit(groups)))
     schema = rows.schema.add("sequence_id", "long").add("offset", "long")
 
     def run(table: pa.Table) -> pa.Table:
