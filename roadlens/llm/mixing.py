@@ -1,7 +1,9 @@
 """Mixing sources to target weights, with built-in functions only.
 
 The words of each source form one stream, documents in a pseudorandom order.  The stream is packed into
-blocks of a fixed length (lengths within a source differ by at most one word, so no block is short).
+blocks of a fixed length, ``block_words`` (lengths within a source differ by at most one word, so no block is short); a source
+of fewer than ``min_blocks`` such blocks is cut into ``min_blocks`` shorter ones, as whole draws of few long blocks
+would miss its target by up to half a block.
 Every source has a number of draws that meets its target.  All draws are dealt over the slots of the
 output shards by one pseudorandom permutation: the sources a shard receives are a multinomial draw
 (without replacement, so totals are met exactly).  The per-shard counts number the slots of a source;
@@ -157,23 +159,24 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, min_blocks:
     """The documents as mixed: one row per run of consecutive drawn blocks of a document and epoch, with
     all columns; ``text`` holds the run's words with the white space between them (the whole text when
     all of it is drawn) and ``n_chars`` its length."""
-    rid = F.xxhash64("doc_id", "source", "text").alias("rid")
-    rows = sized(docs, rid)
+    named = F.xxhash64("doc_id", "source", "text")
+    rows = sized(docs.select("doc_id", "source", "text"), named.alias("rid"))
     _, slots, pieces = mix(rows, block_words, min_blocks, seed)
     hit = pieces.select("rid", "sid", "off", "size", "block", "word", "words").join(slots.select("sid", "block", "epoch"), ["sid", "block"])
     w = Window.partitionBy("sid", "off", "epoch").orderBy("word")
     hit = hit.withColumn("_new", F.when(F.col("word") == F.lag(F.col("word") + F.col("words")).over(w), 0).otherwise(1))
     hit = hit.withColumn("_run", F.sum("_new").over(w))
     runs = hit.groupBy("rid", "sid", "off", "epoch", "_run", "size").agg(F.min("word").alias("word"), F.sum("words").alias("words"))
-    runs = C.saved(runs.groupBy("rid").agg(F.collect_list(F.struct("word", "words", "size")).alias("runs")), "runs")
-    again = C.saved(rows.groupBy("rid").agg(F.count("*").alias("n")).filter("n > 1").select("rid"), "again")
-    d = docs.withColumn("rid", rid)
-    d = d.join(C.small(again), "rid", "left_anti").unionByName(d.join(C.small(again), "rid", "left_semi").dropDuplicates(["rid"]))
-    d = d.join(runs, "rid").drop("rid")
-    d = d.withColumn("_parts", F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + C.WORD), F.lit(0)))
-    d = d.withColumn("_r", F.explode("runs"))
-    part = F.array_join(F.slice("_parts", (F.col("_r.word") + 1).cast("int"), F.col("_r.words").cast("int")), "")
-    d = d.withColumn("text", F.when(F.col("_r.words") == F.col("_r.size"), F.col("text")).otherwise(
+    rid, held, parts, run = (C.fresh(docs, c) for c in ("rid", "runs", "parts", "run"))  # columns of docs may have any name
+    runs = C.saved(runs.groupBy(F.col("rid").alias(rid)).agg(F.collect_list(F.struct("word", "words", "size")).alias(held)), "runs")
+    again = C.saved(rows.groupBy(F.col("rid").alias(rid)).agg(F.count("*").alias("n")).filter("n > 1").select(rid), "again")
+    d = docs.withColumn(rid, named)
+    d = d.join(C.small(again), rid, "left_anti").unionByName(d.join(C.small(again), rid, "left_semi").dropDuplicates([rid]))
+    d = d.join(runs, rid).drop(rid)
+    d = d.withColumn(parts, F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + C.WORD), F.lit(0)))
+    d = d.withColumn(run, F.explode(held))
+    part = F.array_join(F.slice(parts, (F.col(f"{run}.word") + 1).cast("int"), F.col(f"{run}.words").cast("int")), "")
+    d = d.withColumn("text", F.when(F.col(f"{run}.words") == F.col(f"{run}.size"), F.col("text")).otherwise(
         F.regexp_replace(part, "^" + C.GAP, "")))
     if "n_chars" in docs.columns:
         d = d.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))

@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from roadlens.llm import common, line_dedup, ngram_join, quality
+from roadlens.llm import common, line_dedup, mixing, ngram_join, packing, quality
 from tests.llm.test_corpus import every_window, groups, lowered, sets
 
 KINDS = "doc_id long, text string, source string, n_chars long, row long, gone string, h string, t long, tx long, comp long, cls long"
@@ -131,3 +131,23 @@ def test_freed_tables_are_gone(spark):
     assert kept.count() == 5
     with pytest.raises(Exception):
         gone.agg(F.sum("id")).collect()
+
+
+def test_mixing_keeps_columns_of_any_name(spark):
+    names = "doc_id long, text string, source string, n_chars long, rid long, runs string, parts int, run string, _run int, lane long, size long"
+    rows = [(i if i % 3 else None, f"word{i} " * (i % 50), "ab"[i % 2], 0, 7, "r", 8, "x", 9, 10, 11) for i in range(200)]
+    out = mixing.mixed_documents(spark.createDataFrame(rows, names))
+    assert out.columns == [c.split()[0] for c in names.split(", ")]
+    got = out.collect()
+    assert got and all((r.rid, r.runs, r.parts, r.run, r["_run"], r.lane, r.size, r.n_chars) == (7, "r", 8, "x", 9, 10, 11, len(r.text)) for r in got)
+
+
+def test_equal_pieces_are_spread(spark):
+    rows = spark.createDataFrame([(None, 0, 1, 5) for _ in range(5000)], "doc_id long, start long, length long, ids_crc32 long").repartition(6)
+    rows = common.saved(rows, "equal-pieces")
+    out = packing.place(rows, 2048, 100).collect()
+    groups_ = {}
+    for r in out:
+        groups_.setdefault(r.sequence_id // packing.GROUP_SPAN, []).append(r)
+    assert len(out) == 5000 and len(groups_) == 50 and max(map(len, groups_.values())) < 200
+    assert len({(r.sequence_id, r.offset) for r in out}) == 5000
