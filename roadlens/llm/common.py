@@ -8,6 +8,7 @@ a lost executor costs a re-read, never a recomputation from the start, and linea
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +29,43 @@ BROADCAST_ROWS = 1_000_000
 BROADCAST_LINKS = 250_000
 
 
+_noted: list[list[str]] = []
+
+
 def saved(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to a fresh folder in the shared checkpoint folder and read it back."""
     path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/corpus-{tag}-{uuid.uuid4().hex}"
+    for notes in _noted:
+        notes.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def noted():
+    """The folders of all tables that are written inside the block."""
+    _noted.append([])
+    try:
+        yield _noted[-1]
+    finally:
+        _noted.pop()
+
+
+def _remove(spark, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def free_unused(paths: list[str], *read: DataFrame) -> list[str]:
+    """Remove the tables below ``paths`` that none of the frames ``read`` is made from; returns the others."""
+    used = {f.rsplit("/", 1)[0].rsplit("/", 1)[1] for df in read for f in df.inputFiles()}
+    kept = [p for p in paths if p.rsplit("/", 1)[1] in used]
+    for p in paths:
+        if read and p not in kept:
+            _remove(read[0].sparkSession, p)
+    return kept
+
+
 #: Frees a query's shuffle files when it ends; a written table doesn't need them any more.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -53,12 +84,9 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
 def free(*tables: DataFrame) -> None:
     """Remove tables that ``saved`` or ``stored`` wrote and that no later query reads."""
     for t in tables:
-        spark = t.sparkSession
-        base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/corpus-"
         for name in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
-            if f"{base.split('://')[-1].split(':', 1)[-1]}" in name:
-                path = spark._jvm.org.apache.hadoop.fs.Path(name)
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            if name.rsplit("/", 1)[1].startswith("corpus-"):
+                _remove(t.sparkSession, name)
 
 
 def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -151,3 +151,27 @@ def test_equal_pieces_are_spread(spark):
         groups_.setdefault(r.sequence_id // packing.GROUP_SPAN, []).append(r)
     assert len(out) == 5000 and len(groups_) == 50 and max(map(len, groups_.values())) < 200
     assert len({(r.sequence_id, r.offset) for r in out}) == 5000
+
+
+def test_pipeline_of_nothing_and_of_odd_rows(spark, tmp_path):
+    """An empty table and one of nulls, empty texts, repeated ids and odd columns pass all stages; their tables go as they pass."""
+    import os
+
+    import corpus_pipeline
+
+    base = spark.conf.get("spark.checkpoint.dir")
+    tables = lambda: {d for d in os.listdir(base) if d.startswith("corpus-")}
+    rnd = random.Random(9)
+    odd = [(ids(rnd, i), t, ["a", "b", None][i % 3]) for i, t in enumerate(texts(rnd, 12))] + [(None, None, None), (7, "", "a"), (7, "x" * 9000, "a")]
+    for n, rows in enumerate(([], odd)):
+        docs, sizes = frame(spark, rows), []
+        for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            before = tables()
+            stage(spark, docs, "").write.parquet(f"{tmp_path}/{n}-{i}")
+            docs = spark.read.parquet(f"{tmp_path}/{n}-{i}")
+            sizes.append(docs.count())
+            assert name == "packing" or docs.columns == [c.split()[0] for c in KINDS.split(", ")]
+            if i:
+                assert not written & tables()  # the stage before left nothing behind
+            written = tables() - before
+        assert sizes[:3] == ([0, 0, 0] if not rows else [12, 12, 12])
