@@ -284,3 +284,14 @@ def q_vector_topk(spark, sf):
     emb = A.table(spark, sf, "embeddings")
     out = L.vector_topk_by_centroid(emb, "vec_id", "embedding", "label", 5)
     return out.select("query_label", "vec_id", "rk", F.round("score", 5).alias("score"))
+
+
+@register("vector_index")
+def q_vector_index(spark, sf):
+    """The approximate index: queries are the vectors with an id divisible by 100; with each query its share of the exact top ten."""
+    emb = A.table(spark, sf, "embeddings").select("vec_id", "embedding")
+    queries = emb.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.transform("embedding", lambda x: x.cast("double")).alias("q"))
+    found = scratch_table(L.vector_index(emb, "vec_id", "embedding", queries, 10), "index-found")
+    exact = L.vector_topk(emb, "vec_id", "embedding", queries, 10).select(F.col("query_label").alias("qid"), "vec_id", F.lit(1).alias("hit"))
+    share = found.join(exact, ["qid", "vec_id"], "left").groupBy("qid").agg((F.count("hit") / 10.0).alias("recall"))
+    return rounded(found.join(share, "qid").select("qid", "vec_id", "rk", F.round("score", 5).alias("score"), "recall"))
