@@ -48,17 +48,15 @@ def q_enc_scaler_fit(spark, sf):
     fit = E.fit(enc_input(spark, sf), NUM, CAT)
     rows = [F.struct(F.lit(c).alias("feature"), F.col(f"{c}__scale_mean").alias("scale_mean"),
                      F.col(f"{c}__scale_std").alias("scale_std")) for c in NUM]
-    return rounded(fit.select(F.explode(F.array(*rows)).alias("r")).select("r.*"))
+    return rounded(fit.stats.select(F.explode(F.array(*rows)).alias("r")).select("r.*"))
 
 
 @register("enc_onehot_fit", A.with_views(" UNION ALL ".join(
-    f"""SELECT '{c}' AS feature, array_to_string(list_sort(list_distinct(list(coalesce({c}, 'unknown')))), '|') AS categories FROM enc_in"""
+    f"""SELECT '{c}' AS feature, coalesce({c}, 'unknown') AS category, count(*) AS n FROM enc_in GROUP BY 2"""
     for c in CAT), ENC_IN_SQL))
 def q_enc_onehot_fit(spark, sf):
-    fit = E.fit(enc_input(spark, sf), NUM, CAT)
-    rows = [F.struct(F.lit(c).alias("feature"), F.concat_ws("|", F.col(f"{c}__categories")).alias("categories"))
-            for c in CAT]
-    return fit.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    """A row per column of the one-hot encoding, with the reports that have it."""
+    return E.fit(enc_input(spark, sf), NUM, CAT).categories
 
 
 @register("encode_features", A.with_views("""

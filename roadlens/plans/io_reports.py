@@ -13,6 +13,7 @@ from roadlens.plans.set_reports import STRATIFIED_SQL
 from roadlens.session import scratch_path
 from roadlens.sources import readers as R
 from roadlens.sources import sinks as K
+from roadlens.sources import tables as TB
 
 
 def _path(spark, name):
@@ -74,15 +75,50 @@ def q_src_json_incidents(spark, sf):
         broken.alias("broken_text"), F.col("_corrupt").isNotNull().alias("corrupt")))
 
 
-@register("src_incident_tables")
+_SRC_TABLES = """
+SELECT 'incidents' AS tbl, count(*) FILTER (WHERE {ok}) AS n_rows, count(*) FILTER (WHERE NOT ({ok})) AS n_rejected,
+  CAST(round(sum(CASE WHEN {ok} THEN CAST(latitude AS DECIMAL(10,8)) END), 6) AS DOUBLE) AS total, 12 AS n_columns, 'decimal(10,8)' AS kind FROM incidents
+UNION ALL SELECT 'predictions', count(*) FILTER (WHERE seq % 31 <> 0), count(*) FILTER (WHERE seq % 31 = 0),
+  CAST(round(sum(CASE WHEN seq % 31 <> 0 THEN CAST(predicted AS DECIMAL(5,2)) END), 2) AS DOUBLE), 11, 'decimal(5,2)' FROM predictions
+UNION ALL SELECT 'playbook_recommendations', count(*), 0, CAST(sum(length(event_cause)) AS DOUBLE), 6, 'string' FROM incidents
+UNION ALL SELECT 'models', count(*), 0, CAST(sum(n) AS DOUBLE), 7, 'int' FROM (SELECT model, count(*) AS n FROM predictions GROUP BY model) m
+UNION ALL SELECT 'audit_log', count(*), 0, CAST(sum(seq) AS DOUBLE), 5, 'bigint' FROM audit_entries""".format(
+    ok="k % 23 <> 0 AND k % 29 <> 0 AND severity_raw < 999.995")
+
+
+@register("src_incident_tables", A.with_views(_SRC_TABLES))
 def q_src_incident_tables(spark, sf):
+    """The typed tables written from the views with some rows that break a rule, and what they hold when read back."""
     p = _path(spark, "typed")
-    inc = A.table(spark, sf, "incidents").select(
-        "incident_id", F.col("latitude").cast("decimal(10,8)").alias("latitude"),
-        F.col("longitude").cast("decimal(11,8)").alias("longitude"), F.col("start_datetime").cast("timestamp").alias("timestamp"),
-        "incident_type", F.col("severity_raw").cast("decimal(8,2)").alias("severity_score"))
-    inc.write.mode("overwrite").parquet(p)
-    return spark.read.parquet(p)
+    inc, pred = A.table(spark, sf, "incidents"), A.table(spark, sf, "predictions")
+    k = F.col("k")
+    rows = {"incidents": inc.select(
+        "incident_id", F.when(k % 23 == 0, F.lit("north")).otherwise(F.col("latitude").cast("decimal(10,8)").cast("string")).alias("location_latitude"),
+        F.when(k % 29 == 0, F.lit(200.0)).otherwise(F.col("longitude")).cast("decimal(11,8)").alias("location_longitude"),
+        F.col("start_datetime").alias("timestamp"), "start_datetime", F.col("event_cause").alias("description"), "incident_type",
+        F.col("severity_raw").alias("severity_initial"), F.lit("pending").alias("status"), (~F.col("event_observed")).alias("is_ongoing"))}
+    rows["predictions"] = pred.select(F.col("seq").cast("string").alias("prediction_id"), F.when(F.col("seq") % 31 != 0, F.col("incident_id")).alias("incident_id"),
+                                      F.col("predicted").cast("decimal(5,2)").alias("severity_score"), F.lit("completed").alias("status"),
+                                      F.col("ts").alias("created_at"), F.col("model").alias("module_a_model_version"))
+    rows["playbook_recommendations"] = inc.select(*[F.col("incident_id").alias(c) for c in ("playbook_id", "prediction_id", "incident_id")],
+                                                  F.col("event_cause").alias("driver_alert"), F.col("start_datetime").alias("created_at"))
+    rows["models"] = pred.groupBy(F.col("model").alias("model_name")).agg(F.count("*").cast("int").alias("training_samples")).withColumns(
+        {"version": F.lit("v1"), "status": F.lit("testing")})
+    rows["audit_log"] = A.table(spark, sf, "audit_entries").select(F.col("seq").alias("entry_id"), "incident_id", "operation", "status", F.col("ts").alias("created_at"))
+    shown = {"incidents": "location_latitude", "predictions": "severity_score", "playbook_recommendations": "driver_alert",
+             "models": "training_samples", "audit_log": "entry_id"}
+    out = None
+    for name, table in TB.TABLES.items():
+        TB.write_table(rows[name], table, p)
+        d, c = TB.read_table(spark, name, p), shown[name]
+        kind = d.schema[c].dataType.simpleString()
+        value = F.length(c) if kind == "string" else F.col(c)
+        bad = TB.read_rejected(spark, name, p).agg(F.count("*").alias("n_rejected"))
+        row = d.agg(F.count("*").alias("n_rows"), F.sum(value).cast("double").alias("total")).join(F.broadcast(bad), F.lit(True)).select(
+            F.lit(name).alias("tbl"), "n_rows", "n_rejected", F.round("total", 2 if name == "predictions" else 6).alias("total"),
+            F.lit(len(table.fields())).alias("n_columns"), F.lit(kind).alias("kind"))
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @register("src_news_xml")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadlens.functions.scalars import redact_details
@@ -60,7 +60,9 @@ def append_features(df: DataFrame, path: str, version: str, stored_at_col) -> No
 
 
 def read_features(spark, path: str) -> DataFrame:
-    """Last write wins per (incident, version)."""
+    """Last write wins per (incident, version); of rows stored at one time the largest by its values."""
     df = spark.read.parquet(path)
-    w = Window.partitionBy("incident_id", "dataset_version").orderBy(F.col("stored_at").desc())
-    return df.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+    key = ["incident_id", "dataset_version"]
+    values = [c for c in df.columns if c not in key and c != "stored_at"]
+    last = df.groupBy(*key).agg(F.max(F.struct("stored_at", *values)).alias("_v"))
+    return last.select(*key, "_v.stored_at", *[F.col(f"_v.{c}").alias(c) for c in values])
