@@ -13,7 +13,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from roadlens.plans.registry import load_all  # noqa: E402
-from roadlens.session import build_session  # noqa: E402
+from roadlens.session import build_session, clear_scratch  # noqa: E402
 
 HEADLINE = ["val_combined", "dup_detect", "km_fit_by_type", "impute_end_datetime", "encode_features",
             "playbook_lookup", "nearest_node", "knn_graph", "weather_asof", "drift_mae", "latency_fallback",
@@ -37,6 +37,7 @@ def main() -> None:
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(json.dumps({"metric": "total_query_seconds", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": sf}))
+    clear_scratch(spark)
     spark.stop()
 
 

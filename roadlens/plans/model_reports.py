@@ -186,7 +186,7 @@ def q_calibrate_confidence(spark, sf):
     p = A.table(spark, sf, "predictions").select(F.col("seq").alias("id"), "predicted", "actual")
     f = fitted(spark, sf)
     d = f.duration.transform(_vectors(f.rows.filter("part <> 'train'"))).select(
-        F.col("incident_id").alias("id"), SC.from_log_duration(F.col("prediction")).alias("predicted"), F.col("duration_min").alias("actual"))
+        F.concat(F.lit("held out "), "incident_id").alias("id"), SC.from_log_duration(F.col("prediction")).alias("predicted"), F.col("duration_min").alias("actual"))
     out = None
     for kind, rows, scale in (("severity", p, 100.0), ("duration", d, 300.0)):
         share = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c / scale))  # noqa: E731, B023

@@ -55,9 +55,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A folder under the shared checkpoint dir for intermediate tables written to cut lineage."""
+    """A folder under the shared checkpoint dir for this application's intermediate tables, written to cut lineage."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/tables/{name}"
+    return f"{base}/tables/{spark.sparkContext.applicationId}/{name}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove this application's intermediate tables; for the end of a job, when its results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_path(spark, ""))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def scratch_table(df: DataFrame, name: str) -> DataFrame:

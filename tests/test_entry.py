@@ -22,3 +22,13 @@ def test_oracle_keys_subset_of_queries():
     m = _entry()
     assert set(m.oracle_sql()) <= set(m.queries())
     assert len(m.queries()) >= 100
+
+
+def test_scratch_tables_can_be_cleared(spark):
+    from roadlens.session import clear_scratch, scratch_path, scratch_table
+
+    t = scratch_table(spark.range(3), "gone")
+    assert t.count() == 3
+    clear_scratch(spark)
+    assert not os.path.exists(scratch_path(spark, "").removeprefix("file:"))
+    assert scratch_table(spark.range(4), "again").count() == 4

@@ -21,7 +21,7 @@ import duckdb  # noqa: E402
 
 from roadlens.adapters import BASE_TABLES  # noqa: E402
 from roadlens.plans.registry import load_all  # noqa: E402
-from roadlens.session import build_session  # noqa: E402
+from roadlens.session import build_session, clear_scratch  # noqa: E402
 
 
 def norm(v):
@@ -105,6 +105,7 @@ def main():
             only_d = list((dr - sr).items())[:3]
             print(f"MISMATCH {k}: spark={len(sp)} duck={len(dd)}\n  spark-only={only_s}\n  duck-only={only_d}")
     print(f"{n_ok}/{len(keys)} matched")
+    clear_scratch(spark)
 
 
 if __name__ == "__main__":
