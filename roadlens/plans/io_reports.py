@@ -121,7 +121,9 @@ def q_src_incident_tables(spark, sf):
     return out
 
 
-@register("src_news_xml")
+@register("src_news_xml", A.with_views(f"""
+SELECT trim(title, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS title, source, age_days,
+  strftime(TIMESTAMP '{AS_OF}' - to_days(CAST(age_days AS INT)), '%a, %d %b %Y %H:%M:%S GMT') AS pub_date FROM news"""))
 def q_src_news_xml(spark, sf):
     p = _path(spark, "rss")
     news = A.table(spark, sf, "news")
