@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -119,29 +119,43 @@ def _vectors(df):
     return df.withColumn("features", array_to_vector("x"))
 
 
-@dataclass
 class Fits:
-    """The models of one table set: fitted on the train part, bounds from the calib part."""
+    """The models of one table set, fitted when first asked for: on the train part, bounds from the calib part."""
 
-    rows: DataFrame
-    severity: object
-    duration: object
-    severity_bounds: tuple[float, float]
-    duration_bounds: tuple[float, float]
+    def __init__(self, rows: DataFrame):
+        self.rows = rows
+
+    def _fit(self, label: str):
+        return MD.fit_gbt(_vectors(_part(self.rows, "train")), label)
+
+    def _bounds(self, model, label: str) -> tuple[float, float]:
+        return MD.conformal_bounds(model, _vectors(_part(self.rows, "calib")), label)
+
+    @cached_property
+    def severity(self):
+        return self._fit("severity_label")
+
+    @cached_property
+    def duration(self):
+        return self._fit("duration_label")
+
+    @cached_property
+    def severity_bounds(self) -> tuple[float, float]:
+        return self._bounds(self.severity, "severity_label")
+
+    @cached_property
+    def duration_bounds(self) -> tuple[float, float]:
+        return self._bounds(self.duration, "duration_label")
 
 
 _fits: dict[tuple, Fits] = {}
 
 
 def fitted(spark, sf) -> Fits:
-    """The models, fitted once per application and table set: every key that scores uses the same ones."""
+    """The models of an application's table set: every key that scores uses the same ones."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _fits:
-        rows = _labelled(spark, sf)
-        train, calib = (_vectors(_part(rows, p)) for p in ("train", "calib"))
-        severity, duration = (MD.fit_gbt(train, c) for c in ("severity_label", "duration_label"))
-        _fits[key] = Fits(rows, severity, duration, MD.conformal_bounds(severity, calib, "severity_label"),
-                          MD.conformal_bounds(duration, calib, "duration_label"))
+        _fits[key] = Fits(_labelled(spark, sf))
     return _fits[key]
 
 
@@ -149,10 +163,9 @@ def _within(c):
     return F.least(F.lit(100.0), F.greatest(F.lit(0.0), c))
 
 
-def _estimates(f: Fits) -> DataFrame:
-    """All incidents with the severity, its interval, and the log of duration, as the models see them."""
-    out = f.severity.transform(_vectors(f.rows)).withColumnRenamed("prediction", "raw_severity")
-    out = f.duration.transform(out).withColumnRenamed("prediction", "log_duration").drop("features")
+def _severities(f: Fits) -> DataFrame:
+    """All incidents with the severity and its interval."""
+    out = f.severity.transform(_vectors(f.rows)).withColumnRenamed("prediction", "raw_severity").drop("features")
     low, high = f.severity_bounds
     return out.withColumns({"severity": _within(F.col("raw_severity")), "ci_lower": _within(F.col("raw_severity") + min(low, 0.0)),
                             "ci_upper": _within(F.col("raw_severity") + max(high, 0.0))})
@@ -175,7 +188,7 @@ def q_duration_model(spark, sf):
 def q_quantile_severity(spark, sf):
     """Severity of every incident with its 95 % interval: boosted trees and split-conformal residual quantiles; ``part`` tells
     the rows that the model was not fitted on."""
-    out = _estimates(fitted(spark, sf))
+    out = _severities(fitted(spark, sf))
     return rounded(out.select("incident_id", "severity", "ci_lower", "ci_upper", F.col("severity_label").alias("actual"), "part"))
 
 
@@ -337,7 +350,7 @@ def q_score_incidents(spark, sf):
     """The prediction row of every incident: severity and duration with intervals, route, weather and news, nearest node and
     its forecast, resources, strongest inputs."""
     f = fitted(spark, sf)
-    out = _estimates(f)
+    out = f.duration.transform(_vectors(_severities(f))).withColumnRenamed("prediction", "log_duration").drop("features")
     obs = A.table(spark, sf, "weather_obs").select("site", "ts", "precipitation", "obs_id")
     rain = asof_latest(out.select("incident_id", F.expr("user_id % 8").alias("site"), F.col("start_datetime").alias("ts")), obs, ["site"], "ts",
                        ["precipitation"], tie="obs_id")
