@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
 from pyspark.ml.functions import array_to_vector
@@ -148,6 +149,13 @@ class Fits:
         return self._bounds(self.duration, "duration_label")
 
 
+    def both(self) -> Fits:
+        """Fit the two models side by side: a fit is many small jobs that leave most cores idle."""
+        with ThreadPoolExecutor(2) as pool:
+            list(pool.map(lambda name: getattr(self, name), ("severity_bounds", "duration_bounds")))
+        return self
+
+
 _fits: dict[tuple, Fits] = {}
 
 
@@ -298,7 +306,7 @@ def _attributions(f: Fits, rows: DataFrame) -> DataFrame:
 @register("attributions")
 def q_attributions(spark, sf):
     """The five inputs that move every incident's severity and log duration most, by sampled Shapley values."""
-    f = fitted(spark, sf)
+    f = fitted(spark, sf).both()
     out = _attributions(f, f.rows)
     named = out.withColumn("id", F.struct("incident_id", "kind", "base_value", "prediction"))
     top = SE.topk_attributions(named, "id", "values", INPUTS, 5)
@@ -349,7 +357,7 @@ def _news(spark, sf, inc: DataFrame) -> DataFrame:
 def q_score_incidents(spark, sf):
     """The prediction row of every incident: severity and duration with intervals, route, weather and news, nearest node and
     its forecast, resources, strongest inputs."""
-    f = fitted(spark, sf)
+    f = fitted(spark, sf).both()
     out = f.duration.transform(_vectors(_severities(f))).withColumnRenamed("prediction", "log_duration").drop("features")
     obs = A.table(spark, sf, "weather_obs").select("site", "ts", "precipitation", "obs_id")
     rain = asof_latest(out.select("incident_id", F.expr("user_id % 8").alias("site"), F.col("start_datetime").alias("ts")), obs, ["site"], "ts",
