@@ -263,9 +263,10 @@ def shared_keys(rows: DataFrame, tag: str) -> DataFrame:
 PACK, PACK_BUCKET = 1 << 20, 1 << 20
 
 
-def packed_members(rows: DataFrame, n: int, tag: str) -> DataFrame:
-    """(key, node, lo, n): of ``rows`` (node, keys array<long>; ``n`` rows and keys to a row at most known by count), every key that
-    different nodes hold, with its nodes; ``lo`` is one of the key's nodes, at most the node itself, and ``n`` counts them (at least).
+def packed_members(rows: DataFrame, n: int, tag: str, make=None) -> DataFrame:
+    """(key, node, lo, n), written: of ``rows`` (node, keys array<long>; about ``n`` keys in all), or of what ``make`` turns batches of
+    ``rows`` into, every key that different nodes hold, with its nodes; ``lo`` is one of the key's nodes, at most the node itself, and ``n`` counts them (at least;
+    a batch counts 200 at most).
 
     Keys travel sorted, as packed arrays.  A batch settles its own keys first and sends one node a key, so a key that a
     third of all rows hold reaches its bucket as one number a batch.
@@ -296,12 +297,12 @@ def packed_members(rows: DataFrame, n: int, tag: str) -> DataFrame:
         count = np.diff(np.append(first, len(key)))
         many = np.repeat(count > 1, count)
         lo = np.repeat(node[first], count)
-        yield from cut(key[first], node[first], count, held=False)
+        yield from cut(key[first], node[first], np.minimum(count, 200).astype(np.uint8), held=False)
         yield from cut(key[many], node[many], lo[many], held=True)
 
     def emit(batches):
         keys, nodes, size = [], [], 0
-        for batch in batches:
+        for batch in make(batches) if make else batches:
             lists = batch.column(1)
             each = np.diff(lists.offsets.to_numpy())
             keys.append(lists.flatten().to_numpy().view(_U))
@@ -320,7 +321,7 @@ def packed_members(rows: DataFrame, n: int, tag: str) -> DataFrame:
             return np.concatenate([np.frombuffer(x.as_py(), dtype=kind) for x, k in zip(table.column(name), held) if k == which] or [np.zeros(0, dtype=kind)])
 
         key, node, first, kept = unlike(column("key", False, _U), column("node", False))
-        sent, count = column("key", False, _U), column("more", False)
+        sent, count = column("key", False, _U), column("more", False, np.uint8)
         heads = key[first]
         total = np.zeros(len(heads), dtype=np.int64)
         np.add.at(total, np.searchsorted(heads, sent), count)
@@ -332,12 +333,12 @@ def packed_members(rows: DataFrame, n: int, tag: str) -> DataFrame:
                np.concatenate([np.repeat(total, runs)[many], total[np.searchsorted(heads, own)]])]
         return pa.table([pa.array(x) for x in out], names=names)
 
-    sent = rows.select("node", "keys").mapInArrow(emit, "bucket int, held boolean, key binary, node binary, more binary")
+    sent = (rows if make else rows.select("node", "keys")).mapInArrow(emit, "bucket int, held boolean, key binary, node binary, more binary")
     return stored(sent.groupBy("bucket").applyInArrow(meet, "key long, node long, lo long, n long"), f"{tag}-members")
 
 
-#: Representatives of a key that its nodes are compared with.
-KEY_REPS = 12
+#: Representatives of a key that its nodes are compared with, after each of two rounds.
+KEY_REPS = (3, 12)
 
 
 def several(members: DataFrame, comp: DataFrame) -> DataFrame:
@@ -354,8 +355,8 @@ def linked_groups(members: DataFrame, sets_of, pct: int, tag: str, near=similar,
     distinct), or rows of another form that ``near`` compares as ``similar`` does and ``items`` turns into sets.
     No bucket is expanded into its pairs.  Each node is first verified against one node it
     shares a key with, and keys of just two nodes are settled so; linked nodes become components.
-    Where a key still holds several components, its nodes are verified against ``KEY_REPS`` representatives of it, which
-    settles keys of no more nodes.  Nodes of larger keys that hold several components even then go on to their rarest items (prefix filter): a few
+    Where a key still holds several components, its nodes are verified against representatives of it in other components, in
+    rounds of ``KEY_REPS``, which settles keys of no more nodes than that.  Nodes of larger keys that hold several components even then go on to their rarest items (prefix filter): a few
     representatives per item merge most components, and every pair of different components that may
     still link is verified, so none is lost.
     """
@@ -365,16 +366,19 @@ def linked_groups(members: DataFrame, sets_of, pct: int, tag: str, near=similar,
     links = stored(near(first.union(two).distinct(), sets, pct), f"{tag}-links")
     comp = stored(components(links, f"{tag}-cc"), f"{tag}-comp")
     open_ = stored(several(members.filter("n > 2"), comp), f"{tag}-open")
-    reps = open_.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("node"), "node"))).filter(F.col("r") <= KEY_REPS)
-    reps = reps.select("key", F.col("node").alias("rep"), F.col("comp").alias("other"))
-    new = open_.join(reps, "key").filter("comp <> other").select(F.greatest("node", "rep").alias("a"), F.least("node", "rep").alias("b"))
-    new = stored(near(new.distinct(), sets, pct), f"{tag}-links")
-    if not new.isEmpty():
-        comp = stored(components(links.union(new), f"{tag}-cc"), f"{tag}-comp")
+    free(members)
+    for low, high in zip((0, *KEY_REPS[:-1]), KEY_REPS):  # a few merge most components, the others meet what is still apart
+        numbered = open_.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("node"), "node"))).filter(F.col("r") <= high)
+        reps = numbered.filter(F.col("r") > low).select("key", F.col("node").alias("rep"), F.col("comp").alias("other"))
+        new = open_.join(reps, "key").filter("comp <> other").select(F.greatest("node", "rep").alias("a"), F.least("node", "rep").alias("b"))
+        new = stored(near(new.distinct(), sets, pct), f"{tag}-links")
+        if not new.isEmpty():
+            links = stored(links.union(new), f"{tag}-links")
+            comp = stored(components(links, f"{tag}-cc"), f"{tag}-comp")
+            open_ = stored(several(open_.drop("comp"), comp), f"{tag}-open")
     # keys of no more nodes than representatives are settled now
-    still = several(open_.filter(F.col("n") > KEY_REPS).drop("comp"), comp)
-    still = stored(still.select("node").distinct(), f"{tag}-still")
-    free(members, links, new, open_)
+    still = stored(open_.filter(F.col("n") > KEY_REPS[-1]).select("node").distinct(), f"{tag}-still")
+    free(links, open_)
     if still.isEmpty():
         free(sets)
         return comp

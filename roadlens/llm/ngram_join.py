@@ -35,6 +35,9 @@ from roadlens.llm import common as C
 _U = np.uint64
 #: Parts of a range, one of which may hold a difference; 1: plain partitioning.
 PARTS = 3
+#: Passes over the texts of ``keep_one``, each for its share of the ranges: half of the signatures are shuffled at a time, and those of
+#: parts without items are left out (``PartEnum``).
+PASSES = 2
 _FOLD = (0x9E6C63D0876A9F2B, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA6B2F2A1D4D,
          0xFF51AFD7ED558CCD, 0xB492B66FBE98F273, 0xA24BAED4963EE407)
 
@@ -64,8 +67,8 @@ def bands(pct: int, upto: int) -> list[tuple[int, int]]:
 class PartEnum:
     """Signatures of a sorted array of distinct 64-bit items."""
 
-    def __init__(self, pct: int, parts: int = PARTS):
-        self.pct, self.parts, self.edges, self.table = pct, parts, {}, []
+    def __init__(self, pct: int, parts: int = PARTS, spare: bool = True):
+        self.pct, self.parts, self.spare, self.edges, self.table = pct, parts, spare, {}, []
 
     def band(self, size: int) -> int:
         while not self.table or self.table[-1][1] < size:
@@ -73,17 +76,21 @@ class PartEnum:
             self.highs = np.array([h for _, h in self.table])
         return int(np.searchsorted(self.highs, size))
 
-    def ranges(self, band: int) -> np.ndarray:
-        """Lower edges of the n1 * n2 domain ranges of a band (n2 = parts, at most parts - 1 kept out)."""
+    def ranges(self, band: int) -> tuple[np.ndarray, int]:
+        """Lower edges of the n1 * n2 domain ranges of a band (n2 = parts, at most parts - 1 kept out), and how many first-level
+        ranges there are beyond those that k differences can spoil, less one: so many may be left out."""
         if band not in self.edges:
             high = self.table[band][1]
             k = (100 - self.pct) * 2 * high // (100 + self.pct)
             n1 = k + 1 if self.parts == 1 else k // 2 + 1  # k2 = 0, or 1 difference allowed in a range
-            n = n1 * self.parts
-            self.edges[band] = np.array([-(-(j << 64) // n) for j in range(n)], dtype=_U)
+            spare = n1 // 10 + 1 if self.spare and high >= 16 else 0
+            n = (n1 + spare) * self.parts
+            self.edges[band] = np.array([-(-(j << 64) // n) for j in range(n)], dtype=_U), spare
         return self.edges[band]
 
-    def signatures(self, items: np.ndarray) -> np.ndarray:
+    def signatures(self, items: np.ndarray, part: int = 0, of: int = 1) -> np.ndarray:
+        """The set's signatures from every ``of``-th first-level range.  Sets have signatures of nothing in common wherever both hold no item in a choice of parts; such ones
+        are left out if no more ranges have any than are spare, as an agreeing range with items is left then."""
         if len(items) == 0:
             return items
         own = self.band(len(items))
@@ -92,39 +99,53 @@ class PartEnum:
         np.cumsum(C.mix(items + _U(0x632BE59BD9B4E019)), dtype=_U, out=total[1:])
         out = []
         for band in (own, own + 1):
-            edges = self.ranges(band)
+            edges, spare = self.ranges(band)
             cut = np.append(np.searchsorted(items, edges), len(items))
             sums = total[cut[1:]] - total[cut[:-1]]
             place = np.arange(len(sums), dtype=_U) * _U(0x9FB21C651E98DF25) + _U((band + 1) * 0xD1B54A32D192ED03 % (1 << 64))
-            if self.parts == 1:
-                out.append(C.mix(sums ^ place))
-                continue
-            part = C.mix(sums ^ place).reshape(-1, self.parts)
-            for keep in combinations(range(self.parts), self.parts - 1):
-                x = np.zeros(len(part), dtype=_U)
+            content = C.mix(sums ^ place).reshape(-1, self.parts)
+            held = np.diff(cut).reshape(-1, self.parts)
+            names, full = [], []
+            for keep in combinations(range(self.parts), max(self.parts - 1, 1)):
+                x = np.zeros(len(content), dtype=_U)
                 for j in keep:
-                    x = x * _U(_FOLD[1]) + part[:, j]
-                out.append(C.mix(x + _U(keep[0] * 64 + keep[-1])))
+                    x = x * _U(_FOLD[1]) + content[:, j]
+                names.append(C.mix(x + _U(keep[0] * 64 + keep[-1])))
+                full.append(held[:, keep].any(axis=1))
+            names, full = np.stack(names), np.stack(full)
+            if (~full).any(axis=0).sum() > spare:
+                full[:] = True
+            out.append(names[:, part::of][full[:, part::of]])
         return np.concatenate(out)
 
 
-def signatures(docs: DataFrame, n: int, pct: int, parts: int = PARTS) -> DataFrame:
-    """(row, doc_id, tx, n_shingles, cls, sigs) of (row, doc_id, text): tx names the text, cls the set (null when empty), sigs its
-    signatures."""
-    schema = "row long, doc_id long, tx long, n_shingles long, cls long, sigs array<long>"
+def named_sets(docs: DataFrame, n: int) -> DataFrame:
+    """(row, doc_id, tx, n_shingles, cls) of (row, doc_id, text): tx names the text, cls the set (null when empty)."""
 
     def run(batches):
-        scheme = PartEnum(pct, parts)
         for batch in batches:
             for first, sets, size, cls in batch_sets(batch.column(3), n):
-                sigs = [scheme.signatures(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(i).slice(first, len(sets)) for i in range(3)], pa.array(size),
-                     pa.array(cls.view(np.int64), mask=size == 0), C.lists(sigs, pa.int64())],
-                    ["row", "doc_id", "tx", "n_shingles", "cls", "sigs"])
+                    [*[batch.column(i).slice(first, len(sets)) for i in range(3)], pa.array(size), pa.array(cls.view(np.int64), mask=size == 0)],
+                    ["row", "doc_id", "tx", "n_shingles", "cls"])
 
     text = F.col("text").cast("string")
-    return docs.select("row", F.col("doc_id").cast("long"), F.xxhash64(text), text).mapInArrow(run, schema)
+    return docs.select("row", F.col("doc_id").cast("long"), F.xxhash64(text), text).mapInArrow(
+        run, "row long, doc_id long, tx long, n_shingles long, cls long")
+
+
+def signed_batches(n: int, pct: int, parts: int, spare: bool, part: int, of: int):
+    """From batches of texts to batches (node, keys): every set's name and its signatures from every ``of``-th range."""
+
+    def run(batches):
+        scheme = PartEnum(pct, parts, spare)
+        for batch in batches:
+            for _, sets, size, cls in batch_sets(batch.column(0), n):
+                full = np.flatnonzero(size)
+                keys = C.lists([scheme.signatures(sets[i], part, of) for i in full], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(cls[full].view(np.int64)), keys], ["node", "keys"])
+
+    return run
 
 
 def batch_sets(texts: pa.Array, n: int):
@@ -146,14 +167,14 @@ def shingle_sets(texts: DataFrame, n: int) -> DataFrame:
     return texts.mapInArrow(run, "cls long, items array<long>")
 
 
-def linked_rows(docs: DataFrame, n: int, pct: int, parts: int) -> DataFrame:
+def linked_rows(docs: DataFrame, n: int, pct: int, parts: int, passes: int) -> DataFrame:
     """(row, doc_id, tx, n_shingles, cls, comp) of (row, doc_id, text): comp names the group of a row's set (null when empty)."""
-    sig = C.stored(signatures(docs, n, pct, parts), "partenum")
-    held = sig.filter("cls is not null")
-    members = C.packed_members(held.select(F.col("cls").alias("node"), F.col("sigs").alias("keys")),
-                               held.agg(F.sum(F.size("sigs"))).first()[0] or 0, "partenum")
-    rows = C.stored(sig.drop("sigs"), "sets")
-    C.free(sig)
+    rows = C.stored(named_sets(docs, n), "sets")
+    some = rows.agg(F.sum("n_shingles")).first()[0] or 0  # about a signature a shingle
+    members, texts = None, docs.select(F.col("text").cast("string"))
+    for part in range(passes):  # a pass's shuffle is freed before the next
+        found = C.packed_members(texts, some // passes, "partenum", signed_batches(n, pct, parts, passes > 1, part, passes))
+        members = found if members is None else members.unionByName(found)
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         text = rows.join(C.small(nodes, limit=C.BROADCAST_LINKS), rows["cls"] == nodes["node"], "left_semi").groupBy("cls").agg(F.min("tx").alias("tx"))
@@ -167,10 +188,10 @@ def linked_rows(docs: DataFrame, n: int, pct: int, parts: int) -> DataFrame:
     return rows.join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
 
 
-def near_groups(docs: DataFrame, n: int = 5, pct: int = 80, parts: int = PARTS) -> DataFrame:
+def near_groups(docs: DataFrame, n: int = 5, pct: int = 80, parts: int = PARTS, passes: int = 1) -> DataFrame:
     """(doc_id, n_shingles, component_id): the least doc_id reachable over links of at least ``pct`` %
     Jaccard similarity of n-word shingle sets; a document without links is its own component."""
-    rows = C.stored(linked_rows(docs.select(F.lit(0).cast("long").alias("row"), "doc_id", "text"), n, pct, parts).drop("row", "tx"), "placed")
+    rows = C.stored(linked_rows(docs.select(F.lit(0).cast("long").alias("row"), "doc_id", "text"), n, pct, parts, passes).drop("row", "tx"), "placed")
     classes = rows.filter("cls is not null").groupBy("cls", "comp").agg(F.min("doc_id").alias("least"))
     least = classes.groupBy("comp").agg(F.min("least").alias("component_id"))
     named = C.stored(classes.select("cls", "comp").join(least, "comp").select("cls", "component_id"), "named")
@@ -179,12 +200,12 @@ def near_groups(docs: DataFrame, n: int = 5, pct: int = 80, parts: int = PARTS)
     return out.select("doc_id", "n_shingles", own.alias("component_id"))
 
 
-def keep_one(docs: DataFrame, n: int = 5, pct: int = 80, parts: int = PARTS) -> DataFrame:
+def keep_one(docs: DataFrame, n: int = 5, pct: int = 80, parts: int = PARTS, passes: int = PASSES) -> DataFrame:
     """The documents without those that another of their group stands for: the first by doc_id (null last), text and row stays.
     Rows are told apart whatever their doc_id is."""
     row = C.fresh(docs, "row")
     held = C.stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered-docs")
-    rows = linked_rows(held.select(F.col(row).alias("row"), "doc_id", "text"), n, pct, parts).filter("cls is not null")
+    rows = linked_rows(held.select(F.col(row).alias("row"), "doc_id", "text"), n, pct, parts, passes).filter("cls is not null")
     rows = C.stored(rows.select("comp", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tx", "row").alias("place")), "placed")
     first = rows.groupBy("comp").agg(F.min("place").alias("first"))
     gone = rows.join(first, "comp").filter("place.row <> first.row").select(F.col("place.row").alias(row))
