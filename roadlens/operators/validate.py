@@ -103,7 +103,20 @@ def stripped(desc: Column) -> Column:
 
 
 #: Two groups of letters that take under half of ordinary text each, and leave under half to all other characters.
-LETTER_GROUPS = ("[eaiouy]", "[tnshrdl]")
+LETTER_GROUPS = ("[eaiouy]+", "[tnshrdl]+")
+
+
+def _without(low: Column, group: str) -> Column:
+    return F.regexp_replace(low, group, "")
+
+
+def _rate(s: Column, low: Column, left: Column, others: Column) -> Column:
+    """``repeat_rate`` from the text, its lower case, that without the first group of letters and without both."""
+    most = F.greatest(F.length(low) - F.length(left), F.length(left) - F.length(others), F.length(others))
+    chars = F.sort_array(F.array_remove(F.array_remove(F.split(low, ""), " "), ""))
+    middle = F.element_at(chars, (F.floor(F.size(chars) / 2) + 1).cast("int"))
+    rate = F.when(F.size(chars) > 0, (F.length(low) - F.length(F.replace(low, middle, F.lit("")))) / F.length(s))
+    return F.when(F.length(s) > 0, F.when(2 * most > F.length(s), rate).otherwise(F.lit(0.0)))
 
 
 def repeat_rate(s: Column) -> Column:
@@ -114,25 +127,34 @@ def repeat_rate(s: Column) -> Column:
     which some group of characters takes over half, as else no character can.
     """
     low = F.lower(s)
-    counts = [F.regexp_count(low, F.lit(g)) for g in LETTER_GROUPS]
-    counts.append(F.length(low) - counts[0] - counts[1])
-    chars = F.sort_array(F.array_remove(F.array_remove(F.split(low, ""), " "), ""))
-    middle = F.element_at(chars, (F.floor(F.size(chars) / 2) + 1).cast("int"))
-    rate = F.when(F.size(chars) > 0, (F.length(low) - F.length(F.replace(low, middle, F.lit("")))) / F.length(s))
-    return F.when(F.length(s) > 0, F.when(2 * F.greatest(*counts) > F.length(s), rate).otherwise(F.lit(0.0)))
+    left = _without(low, LETTER_GROUPS[0])
+    return _rate(s, low, left, _without(left, LETTER_GROUPS[1]))
+
+
+#: White space other than a space.  The range in front decides for most characters, as a class of many parts is slow.
+RARE_WS = rf"[\x{{09}}-\x{{1F}}\x{{85}}-\x{{3000}}&&{C.PY_WS}]"
+
+
+def plain_gaps(s: Column) -> Column:
+    """The text with a space for every other white space; ``\\n`` first, which leaves nothing to look for in most texts."""
+    t = F.replace(s, F.lit("\n"), F.lit(" "))
+    return F.when(t.rlike("[^ -~]"), F.regexp_replace(t, RARE_WS, " ")).otherwise(t)
 
 
 def word_count(s: Column) -> Column:
     """Words of a stripped text."""
-    return F.when(F.length(s) == 0, F.lit(0)).otherwise(F.size(F.split(s, C.PY_WS + "+")))
+    return F.length(F.regexp_replace(plain_gaps(s), "[^ ]+ *", "w"))
 
 
 def with_text_stats(df: DataFrame, desc: str = "description", only_if: Column | None = None) -> DataFrame:
     """Adds _desc_s (stripped), _desc_rate (share of a character over one half, see ``repeat_rate``) and _desc_words, by built-in
-    functions over whole texts."""
+    functions over whole texts.  What several expressions read is a column of its own, so it is computed once a row."""
     src = F.col(desc) if only_if is None else F.when(only_if, F.col(desc))
-    out = df.withColumn("_desc_s", stripped(src))
-    return out.withColumns({"_desc_rate": repeat_rate(F.col("_desc_s")), "_desc_words": word_count(F.col("_desc_s"))})
+    out = df.withColumn("_desc_s", stripped(src)).withColumn("_desc_low", F.lower("_desc_s"))
+    out = out.withColumn("_desc_left", _without(F.col("_desc_low"), LETTER_GROUPS[0]))
+    out = out.withColumn("_desc_others", _without(F.col("_desc_left"), LETTER_GROUPS[1]))
+    rate = _rate(*[F.col(f"_desc_{c}") for c in ("s", "low", "left", "others")])
+    return out.withColumns({"_desc_rate": rate, "_desc_words": word_count(F.col("_desc_s"))}).drop("_desc_low", "_desc_left", "_desc_others")
 
 
 def area_error(lat: Column, lon: Column, area: dict | None = None) -> Column:
@@ -191,9 +213,13 @@ def validate(df: DataFrame, as_of: str, area: dict | None = None) -> DataFrame:
 def validate_with_duplicates(df: DataFrame, as_of: str, window_minutes: float = C.DUP_WINDOW_MINUTES,
                              km: float = C.DUP_DISTANCE_KM, area: dict | None = None) -> DataFrame:
     """val_combined: validation plus the ids of earlier schema-valid reports that look like the same incident."""
+    return with_duplicates(validate(df, as_of, area), window_minutes, km)
+
+
+def with_duplicates(v: DataFrame, window_minutes: float = C.DUP_WINDOW_MINUTES, km: float = C.DUP_DISTANCE_KM) -> DataFrame:
+    """``validate_with_duplicates`` of reports that ``validate`` has seen; reads ``v`` more than once."""
     from roadlens.operators.dedup import dup_detect
 
-    v = validate(df, as_of, area)
     cand = v.filter("schema_ok").select("incident_id", "arrival_seq", "incident_type", "start_datetime",
                                          "latitude", "longitude")
     dups = dup_detect(cand, window_minutes=window_minutes, km=km)
@@ -203,6 +229,18 @@ def validate_with_duplicates(df: DataFrame, as_of: str, window_minutes: float =
         F.when(F.col("schema_ok"), F.coalesce("duplicate_incident_ids", F.array().cast("array<string>"))))
 
 
+def each_error(v: DataFrame, *keep: str) -> DataFrame:
+    """One row per error ``e``.  A filter on what is exploded would be pushed below the validation, which would then run twice, so
+    rows without errors go after it."""
+    return v.select(*keep, F.explode_outer("errors").alias("e")).filter(F.col("e").isNotNull())
+
+
+def failing(v: DataFrame) -> DataFrame:
+    """The reports with errors; as in ``each_error``, the rules run once a report."""
+    some = F.explode_outer(F.when(F.size("errors") > 0, F.array(F.lit(True))))
+    return v.withColumn("_some", some).filter(F.col("_some").isNotNull()).drop("_some")
+
+
 def ingest_gate(df: DataFrame, min_chars: int = C.DESC_MIN_CHARS) -> DataFrame:
     """val_ingest: door check before queueing (description length, coordinate bounds)."""
     return df.filter((F.length("description") >= min_chars)

@@ -9,6 +9,7 @@ from roadlens import config as C
 from roadlens.operators import validate as V
 from roadlens.operators.dedup import dup_detect
 from roadlens.plans.registry import AS_OF, joined, register, rounded
+from roadlens.session import scratch_table
 
 WS = C.PY_WS
 
@@ -17,6 +18,13 @@ def reports(spark, sf):
     return A.incident_reports(spark, sf)
 
 
+def _validated(spark, sf):
+    """The validated reports without their texts, written once: the search for duplicates and its callers read them."""
+    v = V.validate(reports(spark, sf), AS_OF)
+    return scratch_table(v.select("incident_id", "arrival_seq", "incident_type", "start_datetime", "latitude", "longitude", "schema_ok",
+                                  "errors", "valid"), "validated")
+
+
 def _flat(errors_col):
     """Arrays rendered as '|'-joined text for engine-neutral comparison."""
     return {
@@ -123,7 +131,7 @@ SELECT v.incident_id, len(v.errors) = 0 AS valid, len(v.schema_errors) = 0 AS sc
 FROM validated v LEFT JOIN dups d ON v.arrival_seq = d.arrival_seq""",
     VALIDATED_SQL, ("cand", "SELECT * FROM validated WHERE len(schema_errors) = 0"), DUPS_SQL))
 def q_val_combined(spark, sf):
-    v = V.validate_with_duplicates(reports(spark, sf), AS_OF)
+    v = V.with_duplicates(_validated(spark, sf))
     d = F.col("duplicate_incident_ids")
     return v.select("incident_id", "valid", "schema_ok", *[c.alias(k) for k, c in _flat(F.col("errors")).items()],
                     F.size(d).alias("n_duplicates").cast("long"), joined(d).alias("duplicate_ids"))
@@ -199,8 +207,7 @@ def q_val_db_check(spark, sf):
 SELECT v.incident_id, e.field AS field, e.error_code AS error_code, e.value AS value
 FROM validated v, unnest(v.errors) AS t(e)""", VALIDATED_SQL))
 def q_val_error_value(spark, sf):
-    v = V.validate(reports(spark, sf), AS_OF)
-    return v.select("incident_id", F.explode("errors").alias("e")).select(
+    return V.each_error(V.validate(reports(spark, sf), AS_OF), "incident_id").select(
         "incident_id", F.col("e.field").alias("field"), F.col("e.error_code").alias("error_code"),
         F.col("e.value").alias("value"))
 
@@ -230,7 +237,7 @@ SELECT incident_id, len(errors) AS error_count,
   array_to_string(list_transform(errors, lambda e: e.field || '/' || e.error_code), '|') AS details
 FROM validated WHERE len(errors) > 0""", VALIDATED_SQL))
 def q_err_payload_api(spark, sf):
-    v = V.validate(reports(spark, sf), AS_OF).filter(F.size("errors") > 0)
+    v = V.failing(V.validate(reports(spark, sf), AS_OF))
     p = F.from_json(V.api_payload(F.col("errors")),
                     "error string, message string, details array<struct<field:string,message:string,code:string>>, "
                     "error_count int, affected_fields array<string>")
@@ -246,7 +253,7 @@ SELECT incident_id, len(errors) AS error_count,
   array_to_string(list_sort(list_distinct(list_transform(errors, lambda e: e.field))), '|') AS affected_fields
 FROM validated WHERE len(errors) > 0""", VALIDATED_SQL))
 def q_err_payload_log(spark, sf):
-    v = V.validate(reports(spark, sf), AS_OF).filter(F.size("errors") > 0)
+    v = V.failing(V.validate(reports(spark, sf), AS_OF))
     p = F.from_json(V.log_payload(F.col("errors"), F.col("incident_id")),
                     "event string, incident_id string, error_count int, error_codes array<string>, "
                     "affected_fields array<string>")
@@ -258,16 +265,14 @@ def q_err_payload_log(spark, sf):
 @register("err_by_field", _oracle("""
 SELECT e.field AS field, count(*) AS n FROM validated, unnest(errors) AS t(e) GROUP BY e.field""", VALIDATED_SQL))
 def q_err_by_field(spark, sf):
-    v = V.validate(reports(spark, sf), AS_OF)
-    return v.select(F.explode("errors").alias("e")).groupBy(F.col("e.field").alias("field")).agg(F.count("*").alias("n"))
+    return V.each_error(V.validate(reports(spark, sf), AS_OF)).groupBy(F.col("e.field").alias("field")).agg(F.count("*").alias("n"))
 
 
 @register("err_by_code", _oracle("""
 SELECT e.error_code AS error_code, count(*) AS n FROM validated, unnest(errors) AS t(e) GROUP BY e.error_code""",
                                  VALIDATED_SQL))
 def q_err_by_code(spark, sf):
-    v = V.validate(reports(spark, sf), AS_OF)
-    return v.select(F.explode("errors").alias("e")).groupBy(F.col("e.error_code").alias("error_code")) \
+    return V.each_error(V.validate(reports(spark, sf), AS_OF)).groupBy(F.col("e.error_code").alias("error_code")) \
         .agg(F.count("*").alias("n"))
 
 
@@ -279,7 +284,7 @@ SELECT count(*) AS total, count_if(len(v.errors) = 0) AS valid, count_if(len(v.e
 FROM validated v LEFT JOIN dups d ON v.arrival_seq = d.arrival_seq""",
     VALIDATED_SQL, ("cand", "SELECT * FROM validated WHERE len(schema_errors) = 0"), DUPS_SQL))
 def q_val_stats(spark, sf):
-    v = V.validate_with_duplicates(reports(spark, sf), AS_OF)
+    v = V.with_duplicates(_validated(spark, sf))
     nd = F.size("duplicate_incident_ids")
     return rounded(v.agg(
         F.count("*").alias("total"), F.count_if("valid").alias("valid"), F.count_if(~F.col("valid")).alias("invalid"),

@@ -31,3 +31,31 @@ def test_rate_and_words(spark):
             assert abs(r["_desc_rate"] - rate) < 1e-12, repr(t)
         else:
             assert r["_desc_rate"] is None or r["_desc_rate"] <= 0.5, repr(t)
+
+
+def _evaluations(df, name: str) -> int:
+    """How often the optimized plan computes a function."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count(f"{name}(")
+
+
+def test_rules_run_once_a_report(spark):
+    """Neither a filter on errors nor their explosion brings the text rules into the plan a second time, and no side is broadcast."""
+    rows = [("a", "word " * 20), ("b", "x" * 40), ("c", None), ("d", "two words here\nand\x1cthere")]
+    df = spark.createDataFrame(rows, "incident_id string, description string").selectExpr(
+        "*", "timestamp'2024-01-02 00:00:00' AS start_datetime", "-33.9D AS latitude", "151D AS longitude", "'accident' AS incident_type",
+        "true AS is_ongoing", "cast(null AS timestamp) AS end_datetime")
+    once = _evaluations(V.validate(df, "2024-01-30 12:00:00").select("incident_id", "errors"), "regexp_replace")
+    for out in (V.failing(V.validate(df, "2024-01-30 12:00:00")).select("incident_id", "errors"), V.each_error(V.validate(df, "2024-01-30 12:00:00"), "incident_id")):
+        assert _evaluations(out, "regexp_replace") <= once
+    bad = {r.incident_id: [e.error_code for e in r.errors] for r in V.failing(V.validate(df, "2024-01-30 12:00:00")).collect()}
+    each = sorted((r.incident_id, r.e.error_code) for r in V.each_error(V.validate(df, "2024-01-30 12:00:00"), "incident_id").collect())
+    assert set(bad) == {"b", "c"} and each == sorted((k, c) for k, v in bad.items() for c in v) and len(bad["b"]) == 2
+
+
+def test_texts_are_dealt_over_tasks(spark):
+    from roadlens import adapters as A
+
+    from .conftest import SF_SMALL
+
+    plan = A.table(spark, SF_SMALL, "incidents_text").select("incident_id", "description")._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
