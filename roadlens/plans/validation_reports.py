@@ -303,7 +303,7 @@ GROUP BY p.incident_id"""))
 def q_dup_detect(spark, sf):
     inc = A.table(spark, sf, "incidents")
     d = dup_detect(inc)
-    return (d.join(inc.select("arrival_seq", "incident_id"), "arrival_seq")
+    return (d.join(inc.select("arrival_seq", "incident_id").hint("merge"), "arrival_seq")
             .select("incident_id", F.size("duplicate_incident_ids").cast("long").alias("n_duplicates"),
                     F.concat_ws("|", "duplicate_incident_ids").alias("duplicate_ids")))
 
