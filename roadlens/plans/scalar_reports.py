@@ -229,10 +229,11 @@ def q_map_incident_view(spark, sf):
                                                F.max_by("latitude", "arrival_seq").alias("latitude"),
                                                F.max_by("longitude", "arrival_seq").alias("longitude"))
     covered = nearby_targets(targets, inc).select("incident_id")
-    v = mitigated_flag(it.select("incident_id", "severity_raw", "event_cause", "description", "duration_min"), covered)
+    short = SC.ellipsis(F.col("description"), 100).alias("desc_short")  # before the shuffle by incident: whole texts would travel with it
+    v = mitigated_flag(it.select("incident_id", "severity_raw", "event_cause", short, "duration_min"), covered)
     sev = F.least("severity_raw", F.lit(100.0))
     return rounded(v.select("incident_id", F.when(F.col("mitigated"), sev * 0.4).otherwise(sev).alias("effective_severity"),
                             SC.title_words(F.col("event_cause")).alias("type_title"),
-                            SC.ellipsis(F.col("description"), 100).alias("desc_short"),
+                            "desc_short",
                             SC.format_duration(F.col("duration_min")).alias("duration_display"),
                             F.lit("Unknown Location").alias("address")))

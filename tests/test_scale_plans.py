@@ -23,3 +23,14 @@ def test_probes_of_duplicates_are_not_broadcast(spark, tmp_path):
     for out in (dedup.duplicate_pairs(df), dedup.radius_search(df, centers)):
         joins = [line for line in plan(out).splitlines() if "Join" in line and "_part" in line]
         assert joins and all("SortMergeJoin" in line for line in joins)
+
+
+def test_map_view_shuffles_short_texts(spark):
+    """Descriptions are shortened before incidents are shuffled by their id."""
+    from roadlens.plans.scalar_reports import q_map_incident_view
+    from tests.conftest import SF_SMALL
+
+    out = q_map_incident_view(spark, SF_SMALL)
+    text = plan(out)
+    top = next(i for i, line in enumerate(text.splitlines()) if "Join" in line and "incident_id" in line)
+    assert "substring(" not in "\n".join(text.splitlines()[:top + 1]) and "substring(" in text
