@@ -33,6 +33,10 @@ def _csv_source(spark, sf):
         F.col("corridor").alias("address"))
 
 
+#: Records of a landed CSV file: one file is read by one task, as texts hold line breaks, and small files share a task.
+CSV_FILE_RECORDS = 5000
+
+
 @register("src_csv_incidents", A.with_views("""
 SELECT round(latitude, 6) AS latitude, round(longitude, 6) AS longitude, strftime(start_datetime, '%Y-%m-%d %H:%M:%S') AS start_text,
   CAST(NULL AS VARCHAR) AS end_text, CAST(NULL AS VARCHAR) AS resolved_text, CAST(NULL AS VARCHAR) AS closed_text, event_cause,
@@ -40,8 +44,8 @@ SELECT round(latitude, 6) AS latitude, round(longitude, 6) AS longitude, strftim
 FROM incidents_text WHERE k % 17 <> 0"""))
 def q_src_csv_incidents(spark, sf):
     p = _path(spark, "csv")
-    _csv_source(spark, sf).write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False,
-                                         ignoreTrailingWhiteSpace=False).csv(p)
+    _csv_source(spark, sf).write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+                                         maxRecordsPerFile=CSV_FILE_RECORDS).csv(p)
     d = R.read_incident_csv(spark, p)
     text = {f"{c}_text": F.date_format(f"{c}_datetime", "yyyy-MM-dd HH:mm:ss") for c in ("start", "end", "resolved", "closed")}
     return rounded(d.withColumns(text).drop("start_datetime", "end_datetime", "resolved_datetime", "closed_datetime"))

@@ -34,3 +34,22 @@ def test_map_view_shuffles_short_texts(spark):
     text = plan(out)
     top = next(i for i, line in enumerate(text.splitlines()) if "Join" in line and "incident_id" in line)
     assert "substring(" not in "\n".join(text.splitlines()[:top + 1]) and "substring(" in text
+
+
+def test_landed_csv_files_are_bounded(spark, monkeypatch):
+    """A file of the CSV source holds a bounded number of records, and all records are read."""
+    import glob
+
+    from roadlens.plans import io_reports
+    from tests.conftest import SF_SMALL
+
+    where = []
+    path = io_reports._path
+    monkeypatch.setattr(io_reports, "_path", lambda *a: where.append(path(*a)) or where[-1])
+    whole = {tuple(r) for r in io_reports.q_src_csv_incidents(spark, SF_SMALL).collect()}
+    monkeypatch.setattr(io_reports, "CSV_FILE_RECORDS", 40)
+    cut = io_reports.q_src_csv_incidents(spark, SF_SMALL)
+    assert {tuple(r) for r in cut.collect()} == whole
+    files = glob.glob(f"{where[-1].removeprefix('file:')}/*.csv")
+    rows = [spark.read.csv(f, header=True, multiLine=True, escape='"').count() for f in files]
+    assert max(rows) <= 40 and len(files) >= 20
