@@ -17,6 +17,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from functools import partial
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ from roadlens.session import scratch_path
 from roadlens.streaming import stateful as S
 
 INPUT = "key string, seq long, t long, flag boolean, at timestamp"
-STATE = "t array<long>, seq array<long>, flag array<boolean>, a long, b long"
+STATE = "t binary, seq binary, flag binary, a long, b long"
 MARK = "\0end"
 #: A state without a period: times are microseconds, so this is before any of them.
 NEVER = -(1 << 62)
@@ -55,35 +56,49 @@ def rate_step(t: int, _: bool, a: int, b: int, limit: int = S.RATE_LIMIT):
     return int(b + 1 > limit), a, b + 1
 
 
-def rule(step: Callable, keeps_b: bool):
-    """The state function of a rule: answers (key, seq, t, answer, a) of the events that the watermark has passed."""
+#: Answers of a key that are made at once.
+ANSWERS = 50_000
+KINDS = (np.int64, np.int64, np.bool_)
+NONE = pd.DataFrame({"key": pd.Series(dtype=object), **{c: np.zeros(0, dtype=np.int64) for c in ("seq", "t", "answer", "a")}})
+
+
+def rule(step: Callable, keeps_b: bool, packed: bool = False):
+    """The state function of a rule: answers (key, seq, t, answer, a) of the events that the watermark has passed.  Events are held in
+    arrays, and answered ``ANSWERS`` at a time; ``packed``: the state keeps them as the arrays' bytes, not as lists of objects."""
+    hold = np.ndarray.tobytes if packed else np.ndarray.tolist
 
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         passed = state.getCurrentWatermarkMs()
-        t, seq, flag, a, b = (list(x) if isinstance(x, (list, tuple)) or hasattr(x, "tolist") else x for x in state.get) if state.exists else (
-            [], [], [], NEVER, 0)
+        *held, a, b = state.get if state.exists else (b"", b"", b"", NEVER, 0)
+        parts = [[np.frombuffer(x, dtype=k) if isinstance(x, (bytes, bytearray)) else np.asarray(x, dtype=k)] for x, k in zip(held, KINDS)]
+        del held
         if not state.hasTimedOut:
             for pdf in batches:
-                t += pdf["t"].tolist()
-                seq += pdf["seq"].tolist()
-                flag += pdf["flag"].tolist()
-        order = sorted(range(len(t)), key=lambda i: (t[i], seq[i]))
-        done, out = 0, []
-        for i in order:
-            if t[i] > passed * 1000 or key[0] == MARK:
-                break
-            answer, a, b = step(int(t[i]), bool(flag[i]), a, b)
-            out.append((key[0], int(seq[i]), int(t[i]), answer, a))
-            done += 1
-        rest = [] if key[0] == MARK else order[done:]
+                for part, column, kind in zip(parts, ("t", "seq", "flag"), KINDS):
+                    part.append(pdf[column].to_numpy(dtype=kind))
+        t, seq, flag = (np.concatenate(part) for part in parts)
+        del parts
+        order = np.lexsort((seq, t))
+        t, seq, flag = t[order], seq[order], flag[order]
+        del order
+        done = 0 if key[0] == MARK else int(np.searchsorted(t, passed * 1000, side="right"))
+        for at in range(0, done, ANSWERS):
+            to = min(at + ANSWERS, done)
+            answers, ends = np.empty(to - at, dtype=np.int64), np.empty(to - at, dtype=np.int64)
+            for i, (when, what) in enumerate(zip(t[at:to].tolist(), flag[at:to].tolist())):
+                answers[i], a, b = step(when, what, a, b)
+                ends[i] = a
+            yield pd.DataFrame({"key": key[0], "seq": seq[at:to], "t": t[at:to], "answer": answers, "a": ends})
+        if not done:
+            yield NONE
+        rest = 0 if key[0] == MARK else len(t) - done
         if rest or (keeps_b and b) or a > passed * 1000:
-            state.update(([int(t[i]) for i in rest], [int(seq[i]) for i in rest], [bool(flag[i]) for i in rest], a, b))
-            call = -(-int(t[rest[0]]) // 1000) if rest else -(-a // 1000)
+            state.update((*(hold(x[len(t) - rest:]) for x in (t, seq, flag)), a, b))
+            call = -(-int(t[done]) // 1000) if rest else -(-a // 1000)
             if rest or a > passed * 1000:
                 state.setTimeoutTimestamp(max(call, passed + 1))
         elif state.exists:
             state.remove()
-        yield pd.DataFrame(out, columns=["key", "seq", "t", "answer", "a"])
 
     return run
 
@@ -91,7 +106,7 @@ def rule(step: Callable, keeps_b: bool):
 def answered(events: DataFrame, step: Callable, delay: str, keeps_b: bool = False) -> DataFrame:
     """The stream (key, seq, t, answer, a) of events (``INPUT``), in append mode."""
     return events.withWatermark("at", delay).groupBy("key").applyInPandasWithState(
-        rule(step, keeps_b), "key string, seq long, t long, answer int, a long", STATE, "append", GroupStateTimeout.EventTimeTimeout)
+        rule(step, keeps_b, packed=True), "key string, seq long, t long, answer int, a long", STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def events_of(df: DataFrame, key: str, ts: str, seq: str, flag) -> DataFrame:
