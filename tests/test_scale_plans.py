@@ -53,3 +53,50 @@ def test_landed_csv_files_are_bounded(spark, monkeypatch):
     files = glob.glob(f"{where[-1].removeprefix('file:')}/*.csv")
     rows = [spark.read.csv(f, header=True, multiLine=True, escape='"').count() for f in files]
     assert max(rows) <= 40 and len(files) >= 20
+
+
+def test_attributions_are_dealt_over_tasks(spark, monkeypatch):
+    """Rows of one file are scored in several tasks, with the same values."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.regression import LinearRegression
+
+    from roadlens.operators import shapley
+
+    df = spark.createDataFrame([(i, [float(i % 5), float(i % 3)], float(i % 5 + 2 * (i % 3))) for i in range(90)], "id long, x array<double>, y double").coalesce(1)
+    model = LinearRegression(labelCol="y").fit(df.withColumn("features", array_to_vector("x")))
+    monkeypatch.setattr(shapley, "TASK_ROWS", 10)
+    out = shapley.shapley(df, "id", "x", shapley.coalitions([[0.0, 0.0]], [(0, 1), (1, 2)]), {"m": model})
+    assert "RoundRobinPartitioning(9)" in plan(out)
+    assert all(abs(r["values"][0] - r.id % 5) < 1e-6 and abs(r["values"][1] - 2 * (r.id % 3)) < 1e-6 for r in out.collect())
+
+
+def test_waiting_events_are_held_as_bytes():
+    """A state of many events is a few arrays, and answers come in parts."""
+    import numpy as np
+    import pandas as pd
+
+    from roadlens.streaming import rules as R
+
+    class State:
+        exists, hasTimedOut, get, passed = False, False, None, 0
+
+        def getCurrentWatermarkMs(self):
+            return self.passed
+
+        def update(self, x):
+            self.exists, self.get = True, x
+
+        def remove(self):
+            self.exists = False
+
+        def setTimeoutTimestamp(self, x):
+            pass
+
+    n, s = 2 * R.ANSWERS + 7, State()
+    rows = pd.DataFrame({"t": np.arange(n)[::-1] * 1000 + 1, "seq": np.arange(n)[::-1], "flag": np.zeros(n, dtype=bool)})
+    run = R.rule(R.lockout_step, True, packed=True)
+    assert sum(len(x) for x in run(("k",), iter([rows[:100], rows[100:]]), s)) == 0
+    assert [len(x) for x in s.get[:3]] == [8 * n, 8 * n, n]
+    s.passed, s.hasTimedOut = 10 * n, True
+    parts = list(run(("k",), iter([]), s))
+    assert [len(x) for x in parts] == [R.ANSWERS, R.ANSWERS, 7] and [*pd.concat(parts)["seq"]] == list(range(n))
