@@ -100,3 +100,35 @@ def test_waiting_events_are_held_as_bytes():
     s.passed, s.hasTimedOut = 10 * n, True
     parts = list(run(("k",), iter([]), s))
     assert [len(x) for x in parts] == [R.ANSWERS, R.ANSWERS, 7] and [*pd.concat(parts)["seq"]] == list(range(n))
+
+
+def test_exact_search_by_parts(spark, monkeypatch):
+    """Parts and blocks of any size give the same ranking: copies by id, missing values and other lengths last."""
+    import math
+    import random
+
+    from roadlens.operators import lookups as L
+
+    rnd = random.Random(4)
+    rows = [(i, [rnd.choice([-1.0, 0.5, 2.0, rnd.random()]) for _ in range(3)]) for i in range(120)]
+    rows += [(200 + i, [1.0, 2.0, 3.0]) for i in range(40)] + [(300, None), (301, [1.0, None, 2.0]), (302, [1.0, 2.0]), (None, [3.0, 2.0, 1.0])]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    queries = df.filter("id % 20 = 0 and id != 300").selectExpr("id as qid", "v as q")
+
+    def score(a, b):
+        if a is None or len(a) != len(b) or None in a + b:
+            return None
+        dot = lambda x, y: x[0] * y[0] + x[1] * y[1] + x[2] * y[2]
+        return dot(a, b) / (math.sqrt(dot(a, a)) * math.sqrt(dot(b, b)))
+
+    def want(q, k):
+        held = [(i, score(v, q)) for i, v in rows]
+        held.sort(key=lambda x: (x[1] is None, -(x[1] or 0), -1 if x[0] is None else x[0]))
+        return [i for i, _ in held[:k]]
+
+    for size, block, k in ((20_000, 4096, 5), (17, 3, 5), (17, 3, 170)):
+        monkeypatch.setattr(L, "PART_VECTORS", size)
+        monkeypatch.setattr(L, "PART_QUERIES", block)
+        out = L.vector_topk(df, "id", "v", queries, k).orderBy("query_label", "rk").collect()
+        for q in queries.collect():
+            assert [r.id for r in out if r.query_label == q.qid][:160] == want(q.q, k)[:160], (q.qid, size, k)
