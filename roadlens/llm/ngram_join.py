@@ -13,7 +13,8 @@ Scale: one Arrow pass hashes all words of a chunk of texts at once, keeps only s
 (1 - t) / (1 + t) * 6 per shingle), and nodes are classes of equal sets, so thousands of copies
 are one node.  Signatures travel sorted and packed, and meet by ranges; only those held by several
 classes go further, where pairs are verified against one representative per signature and the rest
-by rarest shared items (``common.linked_groups``); nothing is ever expanded into all pairs.
+by rarest shared items (``common.linked_groups``); nothing is ever expanded into all pairs.  Pairs that the sets' parity sketches
+rule out (most, where few documents are alike) never fetch their sets.
 
 Defined results: a null or wordless text has an empty set and links with nothing; a text with fewer
 words than a shingle is one shingle; repeated rows get equal results; a row with a null doc_id is linked like any
@@ -119,19 +120,51 @@ class PartEnum:
         return np.concatenate(out)
 
 
+#: Longs of a set's parity sketch: a bit tells whether an odd number of items fall on it, so two sets differ in at least as many
+#: items as their sketches in bits.
+SKETCH = [f"q{j}" for j in range(16)]
+
+
+def sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """The sketches (row: set, column: long) of arrays of distinct hashes."""
+    bits, out = 64 * len(SKETCH), np.zeros((len(sets), len(SKETCH)), dtype=_U)
+    for at in range(0, len(sets), 512):
+        some = sets[at:at + 512]
+        row = np.repeat(np.arange(len(some)), [len(s) for s in some])
+        place = row * bits + (np.concatenate(some) & _U(bits - 1)).astype(np.int64)
+        odd = (np.bincount(place, minlength=len(some) * bits) & 1).astype(np.uint8)
+        out[at:at + 512] = np.packbits(odd, bitorder="little").view("<u8").reshape(len(some), -1)
+    return out
+
+
+def may_reach(classes: DataFrame, pct: int):
+    """A function that keeps the pairs (a, b) whose sets may reach ``pct`` by their sketches: sets that do differ in at most
+    (1 - t) / (1 + t) of both sizes.  ``classes``: (node, n_shingles, the sketch)."""
+    def side(x):
+        return classes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"{x}_n"), *[F.col(c).alias(f"{x}_{c}") for c in SKETCH])
+
+    def keep(pairs: DataFrame) -> DataFrame:
+        apart = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in SKETCH), F.lit(0))
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        return both.filter(F.lit(100 + pct) * apart <= F.lit(100 - pct) * (F.col("a_n") + F.col("b_n"))).select("a", "b")
+
+    return keep
+
+
 def named_sets(docs: DataFrame, n: int) -> DataFrame:
-    """(row, doc_id, tx, n_shingles, cls) of (row, doc_id, text): tx names the text, cls the set (null when empty)."""
+    """(row, doc_id, tx, n_shingles, cls, the sketch) of (row, doc_id, text): tx names the text, cls the set (null when empty)."""
 
     def run(batches):
         for batch in batches:
             for first, sets, size, cls in batch_sets(batch.column(3), n):
+                odd = sketches(sets).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(i).slice(first, len(sets)) for i in range(3)], pa.array(size), pa.array(cls.view(np.int64), mask=size == 0)],
-                    ["row", "doc_id", "tx", "n_shingles", "cls"])
+                    [*[batch.column(i).slice(first, len(sets)) for i in range(3)], pa.array(size), pa.array(cls.view(np.int64), mask=size == 0),
+                     *[pa.array(np.ascontiguousarray(x)) for x in odd.T]], ["row", "doc_id", "tx", "n_shingles", "cls", *SKETCH])
 
     text = F.col("text").cast("string")
     return docs.select("row", F.col("doc_id").cast("long"), F.xxhash64(text), text).mapInArrow(
-        run, "row long, doc_id long, tx long, n_shingles long, cls long")
+        run, "row long, doc_id long, tx long, n_shingles long, cls long, " + ", ".join(f"{c} long" for c in SKETCH))
 
 
 def signed_batches(n: int, pct: int, parts: int, spare: bool, part: int, of: int):
@@ -184,7 +217,13 @@ def linked_rows(docs: DataFrame, n: int, pct: int, parts: int, passes: int) -> D
         made = shingle_sets(of, n).join(wanted.select("cls"), "cls", "left_semi")
         return made.select(F.col("cls").alias("node"), "items").dropDuplicates(["node"])
 
-    comp = C.linked_groups(members, sets_of, pct, "partenum").withColumnRenamed("node", "cls")
+    def may(nodes: DataFrame):
+        held = rows.join(C.small(nodes, limit=C.BROADCAST_LINKS), rows["cls"] == nodes["node"], "left_semi")
+        held = held.groupBy(F.col("cls").alias("node")).agg(*[F.first(c).alias(c) for c in ("n_shingles", *SKETCH)])
+        return may_reach(C.stored(held, "sketches"), pct)
+
+    comp = C.linked_groups(members, sets_of, pct, "partenum", may=may).withColumnRenamed("node", "cls")
+    rows = rows.drop(*SKETCH)
     return rows.join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
 
 

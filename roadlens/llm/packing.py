@@ -21,6 +21,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -175,11 +176,22 @@ def tokenizer(path: str) -> Tokenizer:
     return _tokenizers[path]
 
 
+def narrowed(ids: np.ndarray) -> bytes:
+    """A piece's ids as they travel: two bytes each where that holds them all."""
+    return (ids.astype("<u2") if len(ids) and ids.max() < 1 << 16 else ids).tobytes()
+
+
+def widened(ids, sizes) -> pa.Array:
+    """The ids of pieces (``sizes`` counts them) as four bytes each, however they travelled."""
+    return pa.array([np.frombuffer(x, dtype="<u2").astype("<u4").tobytes() if len(x) == 2 * n else x
+                     for x, n in zip((i.as_py() for i in ids), sizes)], type=pa.binary())
+
+
 def pieces(docs: DataFrame, path: str, length: int, with_ids: bool = True) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens, ids) cut at multiples of ``length``."""
+    """(doc_id, start, length, ids_crc32, doc_tokens, ids) cut at multiples of ``length``; ids as ``narrowed`` gives them."""
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
     names = [c.split()[0] for c in schema.split(", ")]
-    end = np.array([END_ID], dtype="<u4").tobytes()
+    end = np.array([END_ID], dtype="<u4")
 
     def run(batches):
         tok = tokenizer(path)
@@ -193,11 +205,11 @@ def pieces(docs: DataFrame, path: str, length: int, with_ids: bool = True) -> Da
                 return pa.RecordBatch.from_arrays(cols, names)
 
             for row, found in tok.encode(batch.column(1)):
-                blob = found.tobytes() + end
-                n = len(blob) // 4
+                whole = np.concatenate([found, end])
+                n = len(whole)
                 for start in range(0, n, length):
-                    part = blob[4 * start:4 * (start + length)]
-                    for col, v in zip(rows, (ids[row], start, len(part) // 4, zlib.crc32(part), n, part if with_ids else b"")):
+                    part = whole[start:start + length]
+                    for col, v in zip(rows, (ids[row], start, len(part), zlib.crc32(part.tobytes()), n, narrowed(part) if with_ids else b"")):
                         col.append(v)
                 if len(rows[0]) >= 2_000:
                     yield flush()
@@ -263,11 +275,14 @@ def place(rows: DataFrame, length: int, group_docs: int) -> DataFrame:
     schema = rows.schema.add("sequence_id", "long").add("offset", "long")
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([(c, "ascending") for c in ("doc_id", "start", "length", "ids_crc32") if c in cols])
+        order = pa.compute.sort_indices(table, [(c, "ascending") for c in ("doc_id", "start", "length", "ids_crc32") if c in cols]).to_numpy()
         sizes = table.column("length").to_numpy()
-        where, offset = first_fit_decreasing(sizes, length)
+        where, offset = np.empty(len(sizes), dtype=np.int64), np.empty(len(sizes), dtype=np.int64)
+        where[order], offset[order] = first_fit_decreasing(sizes[order], length)  # the rows, with their ids, stay where they are
         group = table.column("_group")[0].as_py()
         out = table.select(cols)
+        if "ids" in cols:
+            out = out.set_column(cols.index("ids"), "ids", widened(table.column("ids"), sizes))
         return out.append_column("sequence_id", pa.array(group * GROUP_SPAN + where)).append_column("offset", pa.array(offset))
 
     return dealt.groupBy("_group").applyInArrow(run, schema)

@@ -3,11 +3,13 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from roadlens.llm import common, line_dedup, mixing, ngram_join, packing, quality
-from tests.llm.test_corpus import every_window, groups, lowered, sets
+from tests.llm.test_corpus import SF, every_window, groups, lowered, sets
 
 KINDS = "doc_id long, text string, source string, n_chars long, row long, gone string, h string, t long, tx long, comp long, cls long"
 
@@ -175,3 +177,48 @@ def test_pipeline_of_nothing_and_of_odd_rows(spark, tmp_path):
                 assert not written & tables()  # the stage before left nothing behind
             written = tables() - before
         assert sizes[:3] == ([0, 0, 0] if not rows else [12, 12, 12])
+
+
+def test_sketches_bound_and_choose_pairs(spark, monkeypatch):
+    """A sketch differs in no more bits than the sets in items; only pairs that it leaves fetch their sets."""
+    rnd = random.Random(8)
+    base = texts(rnd, 1)[0].split(" ")
+    some = [ngram_join.shingle_hashes(common.mix(np.array([rnd.randrange(60) if j % 9 == i else j for j in range(40 * i)], dtype=np.uint64)), 3) for i in range(9)]
+    bits = ngram_join.sketches(some)
+    for x, p in zip(some, bits):
+        for y, q in zip(some, bits):
+            assert sum(int(w).bit_count() for w in p ^ q) <= len(set(x.tolist()) ^ set(y.tolist()))
+    rows = [(i, " ".join(base[:30] + texts(rnd, 1)[0].split(" ")[:3 if i < 6 else 60]), "a") for i in range(40)]
+    fetched, made = [], ngram_join.shingle_sets
+    monkeypatch.setattr(ngram_join, "shingle_sets", lambda t, n: fetched.append(t.count()) or made(t, n))
+    out = {r.doc_id: r.component_id for r in ngram_join.near_groups(frame(spark, rows), 5, 80).collect()}
+    s = sets(rows, 5)
+    links = [(a, b) for a in s for b in s if a < b and 100 * len(s[a] & s[b]) >= 80 * len(s[a] | s[b])]
+    assert out == groups(list(s), links)
+    assert all(n <= 6 for n in fetched)
+
+
+def test_written_stages_are_removed(spark, monkeypatch):
+    """When a stage runs, its predecessor's written result is the only one of the pipeline that is still there."""
+    import os
+
+    import corpus_pipeline
+
+    seen = []
+
+    def stage(spark, docs, sf_dir):
+        seen.append(docs)
+        there = [os.path.exists(d.inputFiles()[0].removeprefix("file://").removeprefix("file:")) for d in seen[1:]]
+        assert there == [False] * (len(seen) - 2) + [True] * (len(seen) > 1)
+        return docs
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(name, stage) for name in ("one", "two", "three", "four")])
+    assert corpus_pipeline.run(spark, SF).count() == spark.read.parquet(f"{SF}/documents.parquet").count() and len(seen) == 4
+
+
+def test_ids_travel_narrow(spark):
+    for ids in ([5, 65535], [5, 65536], [], [1]):
+        x = np.array(ids, dtype="<u4")
+        sent = packing.narrowed(x)
+        assert len(sent) == len(ids) * (2 if ids and max(ids) < 65536 else 4)
+        assert packing.widened(pa.array([sent], type=pa.binary()), [len(ids)])[0].as_py() == x.tobytes()
