@@ -192,6 +192,21 @@ def test_line_dedup_whole_lines(spark):
     assert [len(x) for x in got] == [len(every_window(x, width)) for x in texts]
 
 
+def test_line_dedup_is_native(spark):
+    """No Python runs on the executors (it did), and windows by built-in functions are those of brute force."""
+    plain = line_dedup.line_report(table(spark, ROWS))._jdf.queryExecution()
+    assert "Arrow" not in plain.toString() and "Python" not in plain.toString()
+    texts = ["", "a", "abcd", "abcde", "abcdef", "aaaaaaaaaaaa", "é漢\U0001f600字ß" * 3, "x\u2028yz" + "long line " * 3000]
+    lines = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "node long, line string")
+    sets_ = line_dedup.sets_of(lines, line_dedup.WIDTH)
+    assert "Python" not in sets_._jdf.queryExecution().toString()
+    got = {r.node: r["items"] for r in sets_.collect()}
+    assert {i: len(got[i]) for i in got} == {i: len(every_window(x, line_dedup.WIDTH)) for i, x in enumerate(texts)}
+    keyed = line_dedup.with_keys(lines, line_dedup.WIDTH, line_dedup.HEADS)
+    assert "Python" not in keyed._jdf.queryExecution().toString()
+    assert all(1 <= len(r["keys"]) <= 2 * line_dedup.HEADS for r in keyed.collect())
+
+
 def test_line_dedup_recall(spark):
     """Against a brute force over the windows at every character: at most one pair in fifty is missed."""
     rows = [(d, t, s) for d, t, s in small_corpus(spark)]
