@@ -302,10 +302,10 @@ FROM incidents p JOIN incidents b ON p.incident_type = b.incident_type AND b.arr
 GROUP BY p.incident_id"""))
 def q_dup_detect(spark, sf):
     inc = A.table(spark, sf, "incidents")
-    d = dup_detect(inc)
-    return (d.join(inc.select("arrival_seq", "incident_id").hint("merge"), "arrival_seq")
-            .select("incident_id", F.size("duplicate_incident_ids").cast("long").alias("n_duplicates"),
-                    F.concat_ws("|", "duplicate_incident_ids").alias("duplicate_ids")))
+    inc = inc.select("incident_id", "arrival_seq", "incident_type", "start_datetime", "latitude", "longitude")
+    d = dup_detect(inc, keep=["incident_id"])
+    return d.select("incident_id", F.size("duplicate_incident_ids").cast("long").alias("n_duplicates"),
+                    F.concat_ws("|", "duplicate_incident_ids").alias("duplicate_ids"))
 
 
 @register("dup_stats", A.with_views("""

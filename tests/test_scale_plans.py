@@ -132,3 +132,60 @@ def test_exact_search_by_parts(spark, monkeypatch):
         out = L.vector_topk(df, "id", "v", queries, k).orderBy("query_label", "rk").collect()
         for q in queries.collect():
             assert [r.id for r in out if r.query_label == q.qid][:160] == want(q.q, k)[:160], (q.qid, size, k)
+
+
+def odd_reports(spark, n=300):
+    """Reports in few blocks, some without a place, time or number, some under one number."""
+    import random
+
+    rnd = random.Random(8)
+    rows = []
+    for i in range(n):
+        seq = None if i % 41 == 0 else i - i % 2 if i % 19 == 0 else i
+        rows.append((f"r{rnd.randrange(n)}" if i % 23 else None, seq, rnd.choice(["a", "b", None]), 1_700_000_000 + rnd.randrange(4 * 3600),
+                     None if i % 31 == 0 else rnd.uniform(10, 10.05), float("nan") if i % 37 == 0 else rnd.uniform(-0.03, 0.03)))
+    df = spark.createDataFrame(rows, "incident_id string, arrival_seq long, incident_type string, s long, latitude double, longitude double")
+    return rows, df.withColumn("start_datetime", F.timestamp_seconds("s")).drop("s")
+
+
+def plain_lists(rows):
+    def like(p, b):
+        if None in (*p[1:], *b[1:]) or p[2] != b[2] or b[1] >= p[1] or abs(p[3] - b[3]) > 1800:
+            return False
+        return ((p[4] - b[4]) ** 2 + (p[5] - b[5]) ** 2) ** 0.5 * 111.0 <= 2.0
+
+    found = {}
+    for p in rows:
+        found.setdefault(p[1], []).extend((b[1], b[0] or "", b[0]) for b in rows if like(p, b))
+    return {k: [x[2] for x in sorted(v, key=lambda x: x[:2])] for k, v in found.items() if v}
+
+
+def test_duplicate_lists_need_no_shuffle_of_pairs(spark, monkeypatch):
+    """dup_detect: lists are made where a report's block is read: one shuffle of reports, nothing collected or sorted behind it."""
+    from roadlens.plans import blocking
+    from roadlens.plans.validation_reports import q_dup_detect
+    from tests.conftest import SF_SMALL
+
+    text = plan(q_dup_detect(spark, SF_SMALL))
+    assert "collect_list" not in text and text.count("Exchange hashpartitioning") == 1
+    rows, df = odd_reports(spark)
+    want = plain_lists(rows)
+    for load, candidates, answers in ((2000, dedup.CANDIDATES, dedup.ANSWERS), (7, 5, 3)):
+        monkeypatch.setattr(blocking.split_blocks, "__defaults__", (load,))
+        monkeypatch.setattr(dedup, "CANDIDATES", candidates)
+        monkeypatch.setattr(dedup, "ANSWERS", answers)
+        got = dedup.dup_detect(df).collect()
+        assert {r.arrival_seq: r.duplicate_incident_ids for r in got} == want and len(got) == len(want)
+        every = dedup.with_matches(df).collect()
+        assert len(every) == len(rows) and all(r.duplicate_incident_ids == want.get(r.arrival_seq) for r in every)
+
+
+def test_block_over_several_batches(spark):
+    """A block whose rows come in many Arrow batches gives the same lists."""
+    rows, df = odd_reports(spark)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert {r.arrival_seq: r.duplicate_incident_ids for r in dedup.dup_detect(df).collect()} == plain_lists(rows)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
