@@ -218,15 +218,12 @@ def validate_with_duplicates(df: DataFrame, as_of: str, window_minutes: float =
 
 def with_duplicates(v: DataFrame, window_minutes: float = C.DUP_WINDOW_MINUTES, km: float = C.DUP_DISTANCE_KM) -> DataFrame:
     """``validate_with_duplicates`` of reports that ``validate`` has seen; reads ``v`` more than once."""
-    from roadlens.operators.dedup import dup_detect
-
-    cand = v.filter("schema_ok").select("incident_id", "arrival_seq", "incident_type", "start_datetime",
-                                         "latitude", "longitude")
-    dups = dup_detect(cand, window_minutes=window_minutes, km=km)
-    out = v.join(dups, "arrival_seq", "left")
-    return out.withColumn(
-        "duplicate_incident_ids",
-        F.when(F.col("schema_ok"), F.coalesce("duplicate_incident_ids", F.array().cast("array<string>"))))
+    from roadlens.operators.dedup import MATCHES, with_matches
+
+    found = with_matches(v.filter("schema_ok"), window_minutes, km)
+    found = found.withColumn(MATCHES, F.coalesce(MATCHES, F.array().cast("array<string>")))
+    rest = v.filter(~F.coalesce(F.col("schema_ok"), F.lit(False))).withColumn(MATCHES, F.lit(None).cast("array<string>"))
+    return found.unionByName(rest).select("arrival_seq", *[c for c in v.columns if c != "arrival_seq"], MATCHES)
 
 
 def each_error(v: DataFrame, *keep: str) -> DataFrame:

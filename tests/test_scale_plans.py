@@ -189,3 +189,21 @@ def test_block_over_several_batches(spark):
         assert {r.arrival_seq: r.duplicate_incident_ids for r in dedup.dup_detect(df).collect()} == plain_lists(rows)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_validated_reports_are_not_joined_with_their_lists(spark):
+    """val_combined, val_stats: lists are attached where they are made, not shuffled, sorted and joined; same lists as dup_detect."""
+    from roadlens.operators import validate
+
+    rows, df = odd_reports(spark)
+    v = df.withColumns({"schema_ok": F.col("incident_id").isNotNull(), "errors": F.array().cast(validate.ERROR_TYPE)})
+    out = validate.with_duplicates(v)
+    assert out.columns[0] == "arrival_seq" and set(out.columns) == {*v.columns, dedup.MATCHES}
+    got = out.collect()
+    want = plain_lists([r for r in rows if r[0] is not None])
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.duplicate_incident_ids == (want.get(r.arrival_seq, []) if r.schema_ok else None)
+    unlike = v.filter("arrival_seq % 2 = 1")
+    text = plan(validate.with_duplicates(unlike))
+    assert "collect_list" not in text and "SortMergeJoin" not in text and "ShuffledHashJoin" not in text
