@@ -58,7 +58,7 @@ FROM incidents p JOIN incidents b ON p.incident_type = b.incident_type AND b.arr
   AND sqrt(pow(abs(p.latitude - b.latitude), 2) + pow(abs(p.longitude - b.longitude), 2)) * 111.0 <= 2.0
 GROUP BY p.incident_type"""))
 def q_stream_dup_detect(spark, sf):
-    return P.dup_pairs(spark, sf).groupBy("typ").agg(F.count("*").alias("duplicate_pairs"))
+    return P.dup_counts(spark, sf)
 
 
 @register("stream_latest", A.with_views("""

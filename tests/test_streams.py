@@ -72,3 +72,23 @@ def test_health_of_a_folder_of_part_files(spark, tmp_path):
     d = split_table(spark, tmp_path)
     rows = lambda df: sorted(tuple(r) for r in df.collect())
     assert rows(S.q_stream_health(spark, d)) == rows(S.q_stream_health(spark, SF_SMALL))
+
+
+def test_duplicates_are_counted_by_batch(spark, tmp_path, monkeypatch):
+    """Counts of part files in mixed time order equal those of the pairs, no pair is written, and the join keeps no state of reports."""
+    import glob
+
+    d = split_table(spark, tmp_path)
+    bases = []
+    run = P.run_available
+    monkeypatch.setattr(P, "run_available", lambda *a, **k: bases.append(run(*a, **k)) or bases[-1])
+    want = {r.typ: r["count"] for r in P.dup_pairs(spark, SF_SMALL).groupBy("typ").count().collect()}
+    bases.clear()
+    assert sum(want.values()) > 0
+    for delay in ("1 day", "1 minute"):
+        assert {r.typ: r.duplicate_pairs for r in P.dup_counts(spark, d, delay=delay).collect()} == want
+    assert {r.typ: r.duplicate_pairs for r in S.q_stream_dup_detect(spark, d).collect()} == want
+    for base in bases:
+        base = base.removeprefix("file:")
+        assert not glob.glob(f"{base}/pairs*") and glob.glob(f"{base}/counts/batch=*")
+        assert len(glob.glob(f"{base}/_checkpoint/state/*")) == 1  # ids of the reports, nothing of the join
