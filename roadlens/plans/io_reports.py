@@ -35,6 +35,8 @@ def _csv_source(spark, sf):
 
 #: Records of a landed CSV file: one file is read by one task, as texts hold line breaks, and small files share a task.
 CSV_FILE_RECORDS = 5000
+#: Landings of more records than this are compressed, as every record holds a whole text.
+CSV_PLAIN_RECORDS = 50_000
 
 
 @register("src_csv_incidents", A.with_views("""
@@ -44,8 +46,9 @@ SELECT round(latitude, 6) AS latitude, round(longitude, 6) AS longitude, strftim
 FROM incidents_text WHERE k % 17 <> 0"""))
 def q_src_csv_incidents(spark, sf):
     p = _path(spark, "csv")
+    packed = "gzip" if A.table(spark, sf, "incidents").count() > CSV_PLAIN_RECORDS else "none"
     _csv_source(spark, sf).write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
-                                         maxRecordsPerFile=CSV_FILE_RECORDS).csv(p)
+                                         maxRecordsPerFile=CSV_FILE_RECORDS, compression=packed).csv(p)
     d = R.read_incident_csv(spark, p)
     text = {f"{c}_text": F.date_format(f"{c}_datetime", "yyyy-MM-dd HH:mm:ss") for c in ("start", "end", "resolved", "closed")}
     return rounded(d.withColumns(text).drop("start_datetime", "end_datetime", "resolved_datetime", "closed_datetime"))

@@ -207,3 +207,22 @@ def test_validated_reports_are_not_joined_with_their_lists(spark):
     unlike = v.filter("arrival_seq % 2 = 1")
     text = plan(validate.with_duplicates(unlike))
     assert "collect_list" not in text and "SortMergeJoin" not in text and "ShuffledHashJoin" not in text
+
+
+def test_large_csv_landings_are_compressed(spark, monkeypatch):
+    """src_csv_incidents: a large landing takes a fraction of its texts, and gives the same rows."""
+    import glob
+    import os
+
+    from roadlens.plans import io_reports
+    from tests.conftest import SF_SMALL
+
+    where = []
+    path = io_reports._path
+    monkeypatch.setattr(io_reports, "_path", lambda *a: where.append(path(*a)) or where[-1])
+    sizes, rows = [], []
+    for plain in (io_reports.CSV_PLAIN_RECORDS, 10):
+        monkeypatch.setattr(io_reports, "CSV_PLAIN_RECORDS", plain)
+        rows.append(sorted((tuple(r) for r in io_reports.q_src_csv_incidents(spark, SF_SMALL).collect()), key=repr))
+        sizes.append(sum(os.path.getsize(f) for f in glob.glob(f"{where[-1].removeprefix('file:')}/part-*")))
+    assert rows[0] == rows[1] and len(rows[0]) > 900 and sizes[1] < sizes[0] / 2
