@@ -226,3 +226,24 @@ def test_large_csv_landings_are_compressed(spark, monkeypatch):
         rows.append(sorted((tuple(r) for r in io_reports.q_src_csv_incidents(spark, SF_SMALL).collect()), key=repr))
         sizes.append(sum(os.path.getsize(f) for f in glob.glob(f"{where[-1].removeprefix('file:')}/part-*")))
     assert rows[0] == rows[1] and len(rows[0]) > 900 and sizes[1] < sizes[0] / 2
+
+
+def test_copies_of_centers_stay_in_proportion(spark, monkeypatch):
+    """radius_search: a center meets a bounded number of parts, however many points its block holds; same pairs."""
+    import random
+
+    from roadlens.plans import blocking
+
+    rnd = random.Random(3)
+    points = spark.createDataFrame([(i, 10 + rnd.random() / 500, 20 + rnd.random() / 500) for i in range(600)], "i long, latitude double, longitude double")
+    centers = spark.createDataFrame([(i, 10 + rnd.random() / 40, 20 + rnd.random() / 40) for i in range(30)], "center_id long, c_lat double, c_lon double")
+    rows = lambda: sorted((r.center_id, r.i) for r in dedup.radius_search(points, centers, 1000.0).collect())
+    whole, seen = rows(), []
+    monkeypatch.setattr(blocking.split_blocks, "__defaults__", (2,))
+    monkeypatch.setattr(dedup, "MOST_PARTS", 4)
+    split = dedup.split_blocks
+    monkeypatch.setattr(dedup, "split_blocks", lambda *a, **k: seen.append(split(*a, **k)) or seen[-1])
+    assert rows() == whole and len(whole) > 500
+    probe, build, keys = seen[-1]
+    assert build.select("_part").distinct().count() == 4
+    assert probe.count() <= 4 * probe.select("center_id", "_cy", "_cx").distinct().count()
