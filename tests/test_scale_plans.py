@@ -247,3 +247,39 @@ def test_copies_of_centers_stay_in_proportion(spark, monkeypatch):
     probe, build, keys = seen[-1]
     assert build.select("_part").distinct().count() == 4
     assert probe.count() <= 4 * probe.select("center_id", "_cy", "_cx").distinct().count()
+
+
+def test_line_keys_are_shuffled_once(spark, monkeypatch):
+    """op7_line_dedup: the least node of a key is found where its nodes meet; nothing but (key, node) travels."""
+    from roadlens.llm import line_dedup
+
+    lines = spark.createDataFrame([(i, [i // 2, 100 + i % 3, 200 + i]) for i in range(12)], "node long, keys array<long>")
+    want = sorted((k, n) for n in range(12) for k in (n // 2, 100 + n % 3))
+    plans = []
+    stored = line_dedup.C.stored
+    monkeypatch.setattr(line_dedup.C, "stored", lambda df, tag: plans.append(plan(df)) or stored(df, tag))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = line_dedup.key_members(lines, "t").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert sorted((r.key, r.node) for r in rows) == want
+    assert all(r.lo == (min(n for k, n in want if k == r.key)) and r.n == sum(k == r.key for k, _ in want) for r in rows)
+    assert len(plans) == 2 and all(p.count("Exchange hashpartitioning") == 2 and p.count("ReusedExchange") == 1 for p in plans)
+
+
+def test_tree_fits_take_two_tasks_a_core(spark, monkeypatch):
+    """duration_model, calibrate_confidence, quantile_severity: tasks, and with them the sums they send, are bounded by the cores."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.regression import GBTRegressor
+
+    from roadlens.operators import models
+
+    seen = []
+    fit = GBTRegressor.fit
+    monkeypatch.setattr(GBTRegressor, "fit", lambda self, rows: seen.append(rows.rdd.getNumPartitions()) or fit(self, rows))
+    df = spark.range(400).select(array_to_vector(F.array(F.col("id").cast("double"))).alias("features"), (F.col("id") % 7).cast("double").alias("y"))
+    models.fit_gbt(df, "y", max_iter=1, max_depth=2, rows_per_task=1)
+    models.fit_gbt(df, "y", max_iter=1, max_depth=2, rows_per_task=200)
+    assert seen == [2 * spark.sparkContext.defaultParallelism, 2]
